@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.operators.skew import heavy_keys, join_with_hot_keys
+from cohortia.operators.skew import sized_join
 
 REF = "campo string, codigo string, dia int, id bigint"
 SPAN = "campo string, codigo string, desde int, hasta int"
@@ -50,11 +50,7 @@ def probe(refs: DataFrame, parents: DataFrame, broadcast_rows: int = 200_000) ->
     hold at least 1/64 of the references salted.
     """
     index = parents.groupBy("campo", "codigo").agg(F.collect_set(F.struct("desde", "hasta")).alias("__spans"))
-    if index.count() <= broadcast_rows:
-        joined = refs.join(F.broadcast(index), ["campo", "codigo"], "left")
-    else:
-        hot = [r["clave"] for r in heavy_keys(refs, {"codigo": F.col("codigo")}, per=64).collect()]
-        joined = join_with_hot_keys(refs, index, ["codigo", "campo"], hot)
+    joined = sized_join(refs, index, ["codigo", "campo"], broadcast_rows=broadcast_rows)
     inside = lambda s: (s["desde"].isNull() | (F.col("dia") >= s["desde"])) & (s["hasta"].isNull() | (F.col("dia") <= s["hasta"]))
     found = F.when(F.col("__spans").isNull(), False).when(F.col("dia").isNull(), True).otherwise(F.exists("__spans", inside))
     return joined.select("campo", "codigo", "dia", "id", found.alias("hallado"), F.col("__spans").isNotNull().alias("conocido"))

@@ -66,3 +66,13 @@ def join_with_hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot:
     spread = left.withColumn("__salt", F.when(is_hot, F.floor(F.rand(7) * salts).cast("int")).otherwise(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return spread.join(right.withColumn("__salt", F.explode(copies)), [*keys, "__salt"], how).drop("__salt")
+
+
+def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", broadcast_rows: int = 200_000) -> DataFrame:
+    """Join in which right is counted first: up to broadcast_rows it is broadcast and left isn't shuffled at all;
+    beyond, both are shuffled, with the values of keys[0] that hold at least 1/64 of left's rows salted."""
+    if right.count() <= broadcast_rows:
+        return left.join(F.broadcast(right), keys, how)
+    kind = left.schema[keys[0]].dataType
+    hot = [r["clave"] for r in heavy_keys(left, {keys[0]: F.col(keys[0])}, per=64).collect()]
+    return join_with_hot_keys(left, right, keys, [F.lit(h).cast(kind) for h in hot], how)
