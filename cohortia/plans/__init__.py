@@ -1,6 +1,6 @@
 """Registered queries and the SQL that restates them."""
 
-from cohortia.plans import problems
+from cohortia.plans import cohort, problems
 
-REGISTRIES = [problems.REG]
-flagship = problems.REG.queries["p1_hospital_year"]
+REGISTRIES = [problems.REG, cohort.REG]
+flagship = cohort.REG.queries["readmission_30d_by_year_mdc"]
