@@ -83,8 +83,8 @@ def fold_spanish(c: Column) -> Column:
 def parse_two_format_date(c: Column) -> Column:
     """YYYY-MM-DD or DD-MM-YYYY by full match; anything else, impossible days included, is null."""
     t = trim_blanks(c)
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, F.lit("yyyy-MM-dd")))
-    dmy = F.when(t.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(t, F.lit("dd-MM-yyyy")))
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
+    dmy = F.when(t.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(t, "dd-MM-yyyy"))
     return F.coalesce(iso, dmy)
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cohortia.functions.text import code_category, read_value
 
@@ -25,10 +26,14 @@ def code_pairs(df: DataFrame, record_id: str, blocks: dict[str, list[str]], leve
         codes = F.array_compact(F.array(*(read_value(c) for c in cols)))
         for level in levels:
             own = F.array_distinct(codes if level == "COMPLETO" else F.transform(codes, code_category))
-            parts.append(F.transform(own, lambda c, b=block, v=level: F.struct(F.lit(b).alias("block"), F.lit(v).alias("level"), c.alias("code"))))
+            parts.append(_named(own, block, level))
     return df.select(F.col(record_id), *keep, F.inline(F.concat(*parts)))
 
 
+def _named(codes: Column, block: str, level: str) -> Column:
+    return F.transform(codes, lambda c: F.struct(F.lit(block).alias("block"), F.lit(level).alias("level"), c.alias("code")))
+
+
 def association(pairs: DataFrame, cases: DataFrame, record_id: str, outcome: str, by: tuple[str, ...] = ()) -> DataFrame:
     """2x2 table of each code with the outcome among cases that have one, per group in `by`: n cases with the code, c positives,
     rates in percent, chi2 without correction, v (Cramer), relative risk and direction.
@@ -68,7 +73,7 @@ def with_p_value(measured: DataFrame) -> DataFrame:
             f["p"] = [erfc(sqrt(max(x, 0.0) / 2)) for x in f["chi2"]]
             yield f
 
-    return measured.mapInPandas(run, measured.schema.add("p", "double"))
+    return measured.mapInPandas(run, StructType([*measured.schema.fields, StructField("p", DoubleType())]))
 
 
 def in_list_a(least_n: int = 100, least_v: float = 0.01) -> Column:

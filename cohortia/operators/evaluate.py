@@ -21,11 +21,11 @@ def ranking_metrics(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """auprc (average precision) and auroc per group; equal scores are one threshold."""
     down = Window.partitionBy(*by).orderBy(F.desc("score"))
     total = Window.partitionBy(*by)
-    cum = scores.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).withColumn("P", F.sum("p").over(total)).withColumn("Q", F.sum("q").over(total))
-    step = cum.withColumn("ap", F.col("p") / F.nullif("P", F.lit(0.0)) * F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0.0)))
+    cum = scores.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).withColumn("all_p", F.sum("p").over(total)).withColumn("all_q", F.sum("q").over(total))
+    step = cum.withColumn("ap", F.col("p") / F.nullif("all_p", F.lit(0.0)) * F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0.0)))
     won = F.col("q") * (F.col("tp") - F.col("p") / 2)  # positives above, ties half
     return step.groupBy(*by).agg(
-        F.round(F.sum("ap"), 6).alias("auprc"), F.round(F.sum(won) / F.nullif(F.max("P") * F.max("Q"), F.lit(0.0)), 6).alias("auroc"),
+        F.round(F.sum("ap"), 6).alias("auprc"), F.round(F.sum(won) / F.nullif(F.max("all_p") * F.max("all_q"), F.lit(0.0)), 6).alias("auroc"),
     )
 
 

@@ -61,10 +61,14 @@ def comorbidity(pairs: DataFrame, prefixes: DataFrame, replaces: list[tuple[str,
     per = marks.groupBy(record_id).agg(F.map_from_entries(F.collect_list(F.struct("condition", "weight"))).alias("m"))
     keep = F.col("m")
     for severe, mild in replaces:
-        keep = F.when(F.map_contains_key(F.col("m"), F.lit(severe)), F.map_filter(keep, lambda k, v, x=mild: k != x)).otherwise(keep)
+        keep = F.when(F.map_contains_key(F.col("m"), F.lit(severe)), _without(keep, mild)).otherwise(keep)
     return per.withColumn("m", keep).select(record_id, F.size("m").alias("conditions"), F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, w: a + w).alias("score"))
 
 
+def _without(marks: Column, condition: str) -> Column:
+    return F.map_filter(marks, lambda k, v: k != condition)
+
+
 def merge_rare(df: DataFrame, column: str, least: int = 100, other: str = "OTRO", missing: str = "SIN DATO") -> DataFrame:
     """column with null as `missing` and categories of fewer than `least` rows as `other`."""
     value = F.coalesce(F.col(column), F.lit(missing))

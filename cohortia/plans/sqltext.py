@@ -8,6 +8,10 @@ _BLANKS = "||".join(f"chr({ord(c)})" for c in BLANKS)
 _WORDS = ", ".join(f"'{w}'" for w in NO_DATA)
 
 
+def sql_blanks() -> str:
+    return _BLANKS
+
+
 def sql_read(c: str) -> str:
     t = f"upper(trim({c}, {_BLANKS}))"
     return f"(CASE WHEN {t} <> '' AND {t} NOT IN ({_WORDS}) THEN {t} END)"
