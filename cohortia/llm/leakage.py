@@ -114,7 +114,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """
     out: DataFrame | None = None
     spark = docs.sparkSession
-    pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    pairs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     for block in _blocks(items.select(item_id, item_text).orderBy(item_id), item_block):
         ids, texts = [r[0] for r in block], [words_of(r[1]) for r in block]
         wanted = spark.sparkContext.broadcast({g for t in texts for g in grams(t, n)})

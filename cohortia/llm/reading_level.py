@@ -216,5 +216,7 @@ def reading_levels(
     graded = features.join(sample, "doc_id").where(F.col("rasgos").isNotNull()).select("rasgos", "nivel").limit(max_labels).toPandas()
     if graded.empty and not features.limit(1).count():
         return features.select("doc_id", F.lit(None).cast("int").alias("nivel"))
+    if graded.empty:
+        raise ValueError("labels of at least two levels are needed")
     model = fit_ordinal(np.array(graded["rasgos"].tolist(), dtype=np.float64), graded["nivel"].to_numpy(), ridge)
     return features.select("doc_id", model.level(F.col("rasgos")).alias("nivel"))
