@@ -43,8 +43,10 @@ def association(pairs: DataFrame, cases: DataFrame, record_id: str, outcome: str
     known = cases.where(F.col(outcome).isNotNull()).select(record_id, *by, F.col(outcome).cast("bigint").alias("__y"))
     totals = known.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.sum("__y").alias("positives"))
     n = pairs.join(known, record_id).groupBy(*by, "block", "level", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("c"))
-    joined = n.join(F.broadcast(totals), list(by)) if by else n.crossJoin(F.broadcast(totals))  # one row of totals
-    return with_measures(joined)
+    if by:
+        return with_measures(n.join(totals, list(by)))
+    whole = totals.select(F.struct("total", "positives").alias("t")).scalar()
+    return with_measures(n.withColumn("t", whole).select("*", "t.total", "t.positives").drop("t"))
 
 
 def with_measures(counts: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortia.functions.draws import draw, poisson_weight
+from cohortia.operators.ordered import running_sums
 
 
 def score_table(df: DataFrame, score: str, label: str, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
@@ -18,10 +19,17 @@ def score_table(df: DataFrame, score: str, label: str, by: tuple[str, ...] = (),
 
 
 def ranking_metrics(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """auprc (average precision) and auroc per group; equal scores are one threshold."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    total = Window.partitionBy(*by)
-    cum = scores.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).withColumn("all_p", F.sum("p").over(total)).withColumn("all_q", F.sum("q").over(total))
+    """auprc (average precision) and auroc per group; equal scores are one threshold.
+
+    scores has one row per group and distinct score, which may still be many: the running sums are spread by range.
+    """
+    totals = scores.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    ranked = running_sums(scores, list(by), [F.desc("score")], {"tp": "p", "fp": "q"}, "umbrales")
+    if by:
+        cum = ranked.join(totals, list(by))
+    else:
+        whole = totals.select(F.struct("all_p", "all_q").alias("t")).scalar()
+        cum = ranked.withColumn("t", whole).select("*", "t.all_p", "t.all_q")
     step = cum.withColumn("ap", F.col("p") / F.nullif("all_p", F.lit(0.0)) * F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0.0)))
     won = F.col("q") * (F.col("tp") - F.col("p") / 2)  # positives above, ties half
     return step.groupBy(*by).agg(

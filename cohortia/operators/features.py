@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortia.operators.ordered import running_sums
+
 
 def history(cases: DataFrame, events: DataFrame, days: int, measures: dict[str, Column]) -> DataFrame:
     """cases (encounter_id, person_id, admit, episode_id) with, per measure, the number of other episodes whose end lies in
@@ -53,11 +55,7 @@ def comorbidity(pairs: DataFrame, prefixes: DataFrame, replaces: list[tuple[str,
 
     Prefixes (condition, prefix, weight) are matched with the distinct codes only; the small result is joined back.
     """
-    codes = pairs.select("code").distinct().withColumn("bare", F.replace("code", F.lit("."), F.lit("")))
-    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())
-    tries = codes.select("code", F.explode(F.array_distinct(F.array(*(F.substring("bare", 1, n) for n in lengths)))).alias("prefix"))
-    matched = tries.join(F.broadcast(prefixes), "prefix").select("code", "condition", "weight").distinct()
-    marks = pairs.join(F.broadcast(matched), "code").select(record_id, "condition", "weight").distinct()
+    marks = condition_marks(pairs, prefixes, record_id)
     per = marks.groupBy(record_id).agg(F.map_from_entries(F.collect_list(F.struct("condition", "weight"))).alias("m"))
     keep = F.col("m")
     for severe, mild in replaces:
@@ -65,6 +63,23 @@ def comorbidity(pairs: DataFrame, prefixes: DataFrame, replaces: list[tuple[str,
     return per.withColumn("m", keep).select(record_id, F.size("m").alias("conditions"), F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, w: a + w).alias("score"))
 
 
+def condition_marks(pairs: DataFrame, prefixes: DataFrame, record_id: str) -> DataFrame:
+    """Distinct (record, condition, weight) by prefix of the bare code; prefixes is a rule table."""
+    codes = pairs.select("code").distinct().withColumn("bare", F.replace("code", F.lit("."), F.lit("")))
+    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())
+    tries = codes.select("code", F.explode(F.array_distinct(F.array(*(F.substring("bare", 1, n) for n in lengths)))).alias("prefix"))
+    matched = tries.join(F.broadcast(prefixes), "prefix").select("code", "condition", "weight").distinct()
+    return pairs.join(matched, "code").select(record_id, "condition", "weight").distinct()
+
+
+def condition_rates(marks: DataFrame, cases: DataFrame, record_id: str, label: str) -> DataFrame:
+    """(condition, n, prevalence, rate) among cases with a label."""
+    known = cases.where(F.col(label).isNotNull()).select(record_id, F.col(label).cast("double").alias("__y"))
+    total = known.agg(F.count(F.lit(1)).alias("t"))
+    g = marks.join(known, record_id).groupBy("condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("__y"), 6).alias("rate"))
+    return g.withColumn("prevalence", F.round(F.col("n") / total.scalar(), 6))
+
+
 def _without(marks: Column, condition: str) -> Column:
     return F.map_filter(marks, lambda k, v: k != condition)
 
@@ -77,12 +92,11 @@ def merge_rare(df: DataFrame, column: str, least: int = 100, other: str = "OTRO"
 
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(n, positives, auroc), ties counting half. Rows are first summed per distinct score, so the ordered pass is over
-    distinct values only."""
+    """(n, positives, auroc), ties counting half. Rows are first summed per distinct score; the running sums over those are
+    spread by range."""
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     per = known.groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.sum(1 - F.col(label).cast("double")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    pairs = per.withColumn("won", F.col("p") * (below + F.col("q") / 2))
+    pairs = running_sums(per, [], [score], {"upto": "q"}, "valores").withColumn("won", F.col("p") * (F.col("upto") - F.col("q") / 2))
     return pairs.agg((F.sum("p") + F.sum("q")).cast("bigint").alias("n"), F.sum("p").cast("bigint").alias("positives"), F.round(F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0)), 6).alias("auroc"))
 
 

@@ -45,7 +45,7 @@ def design(cases: DataFrame, record_id: str, numeric: list[str], categorical: li
     if pairs is not None:
         kept = pairs.join(cases.select(record_id), record_id, "left_semi")
         marks = marks.unionByName(kept.select(record_id, F.concat_ws("|", "block", "level", "code").alias("feature")))
-    slots = marks.join(F.broadcast(vocab), "feature").groupBy(record_id).agg(F.sort_array(F.collect_set(F.col("slot") + len(numeric))).alias("slots"))
+    slots = marks.join(vocab, "feature").groupBy(record_id).agg(F.sort_array(F.collect_set(F.col("slot") + len(numeric))).alias("slots"))
     values = F.array(*((_numeric(c, stats[c][0], c in logged) - stats[c][1]) / (stats[c][2] or 1.0) for c in numeric))
     vector = F.udf(lambda v, s: SparseVector(width, list(range(len(v))) + list(s or []), list(v) + [1.0] * len(s or [])), VectorUDT())
     return cases.join(slots, record_id, "left").withColumn("features", vector(values, "slots")).drop("slots")
@@ -100,7 +100,12 @@ def matrix_size(pairs: DataFrame, lists: DataFrame, cases: DataFrame, record_id:
     """Per list: columns, ones, cases with any code and density of the case x code matrix."""
     total = cases.agg(F.count(F.lit(1)).alias("t"))
     cols = lists.groupBy("list").agg(F.count(F.lit(1)).alias("columns"))
-    hits = pairs.join(F.broadcast(lists), ["block", "level", "code"]).groupBy("list", record_id).agg(F.count(F.lit(1)).alias("k"))
+    hits = pairs.join(lists, ["block", "level", "code"]).groupBy("list", record_id).agg(F.count(F.lit(1)).alias("k"))
     g = hits.groupBy("list").agg(F.sum("k").alias("ones"), F.count(F.lit(1)).alias("cases_with_code"))
     return cols.join(g, "list", "left").select("list", "columns", F.coalesce("ones", F.lit(0)).alias("ones"), F.coalesce("cases_with_code", F.lit(0)).alias("cases_with_code"),
                                               F.round(F.coalesce("ones", F.lit(0)) / (F.col("columns") * total.scalar()), 6).alias("density"))
+
+
+def training_grid(outcomes: list[str], kinds: list[str], lists: list[str], done: set[tuple] = frozenset()) -> list[tuple[str, str, str, bool]]:
+    """(outcome, model, list, weighted) still to be trained; combinations in `done` are passed over, which resumes a run."""
+    return [c for o in outcomes for k in kinds for x in lists for w in (False, True) if (c := (o, k, x, w)) not in done]

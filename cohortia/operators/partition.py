@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.functions.draws import draw
+from cohortia.operators.ordered import running_sums
 
 
 def patient_strata(cases: DataFrame, labels: list[str]) -> DataFrame:
@@ -22,20 +23,13 @@ def patient_strata(cases: DataFrame, labels: list[str]) -> DataFrame:
 def systematic_deal(units: DataFrame, stratum: str, order: list[str], unit: str, parts: int, seed: int, purpose: str) -> DataFrame:
     """Adds part in 1..parts: within each stratum units are sorted by `order` and a draw and dealt in turn from a drawn start.
 
-    A stratum may hold nearly all units, so no stratum is sorted in one task: units get their place from a global sort
-    by range and the offsets of the sorted pieces. One count per (piece, stratum) is all the driver sees.
+    A stratum may hold nearly all units, so no stratum is sorted in one task: places come from running sums over a sort by
+    range.
     """
     keyed = units.withColumn("__u", draw(seed, purpose, F.col(unit)))
-    keys = [stratum, *order, "__u", unit]
-    placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__piece", F.spark_partition_id())
-    local = Window.partitionBy("__piece", stratum).orderBy(*keys)
-    numbered = placed.withColumn("__row", F.row_number().over(local))
-    sizes = placed.groupBy("__piece", stratum).agg(F.count(F.lit(1)).alias("__n"))
-    pieces = Window.partitionBy(stratum).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(pieces), F.lit(0))).drop("__n")
+    placed = running_sums(keyed, [stratum], [*order, "__u", unit], {"__row": F.lit(1)}, "reparto")
     start = F.pmod(draw(seed, f"{purpose}-start", F.col(stratum)), F.lit(parts))
-    joined = numbered.join(F.broadcast(offsets), ["__piece", stratum])
-    return joined.withColumn("part", (F.pmod(F.col("__off") + F.col("__row") - 1 + start, F.lit(parts)) + 1).cast("int")).drop("__u", "__piece", "__row", "__off")
+    return placed.withColumn("part", (F.pmod(F.col("__row") - 1 + start, F.lit(parts)) + 1).cast("int")).drop("__u", "__row")
 
 
 def split_patients(strata: DataFrame, parts: int = 5, seed: int = 20_250) -> DataFrame:
@@ -64,3 +58,12 @@ def balance(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
 def straddling_share(units: DataFrame, size: str, parts: int = 5) -> Column:
     """Expected share of cases whose unit would straddle folds if rows were dealt singly: mean of 1 - (1/k)**(m - 1)."""
     return F.sum(F.col(size) * (1 - F.pow(F.lit(1.0 / parts), F.col(size) - 1))) / F.sum(size)
+
+
+def registered_check(table: DataFrame, registered: DataFrame, key: str) -> DataFrame:
+    """(both, only_table, only_registered): whether a registered split covers exactly the table's keys, repeated keys once."""
+    a = table.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__a", F.lit(1))
+    b = registered.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__b", F.lit(1))
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    left, right = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+    return a.join(b, key, "full").agg(n(left & right).alias("both"), n(left & ~right).alias("only_table"), n(~left & right).alias("only_registered"))

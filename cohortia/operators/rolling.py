@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+EXACT = ("tinyint", "smallint", "int", "bigint")
+
 
 def rolling_totals(
     events: DataFrame,
@@ -20,7 +22,8 @@ def rolling_totals(
     `day` is an integer day number. Events are first summed to sparse daily totals; each day with activity then
     brings the calendar rows of the inactive days that follow it, up to the next active day, the end of the
     longest window or end_day. On every other day all totals are 0, so these rows hold the whole calendar.
-    Windows are RANGE frames over the day number: [day - n + 1, day]. Averages have the fixed denominator n.
+    Windows are RANGE frames over the day number: [day - n + 1, day], for whole-number measures as the difference of the
+    frames up to day and up to day - n. Averages have the fixed denominator n.
 
     floor=(measure, least) is the pushed-down filter `<measure>_<longest window> >= least`: totals of measures
     that aren't negative only fall on inactive days, so an active day below it needs no calendar rows. Rows
@@ -35,6 +38,9 @@ def rolling_totals(
     if end_day is not None:
         kept = kept.where(F.col(day) <= end_day)
     daily = kept.groupBy(key, day).agg(*sums)
+    if floor is None:
+        # A day brings up to `longest` rows: tasks are cut for what comes out, not for the small sparse table.
+        daily = daily.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
     by_day = Window.partitionBy(key).orderBy(day)
     last = F.least(F.lead(day).over(by_day) - 1, F.col(day) + (longest - 1), F.lit(end_day))
@@ -47,10 +53,17 @@ def rolling_totals(
         F.col("__day").alias(day),
         *(F.when(F.col("__day") == F.col(day), F.col(m)).otherwise(0).alias(m) for m in measures),
     )
-    frames = {n: Window.partitionBy(key).orderBy(day).rangeBetween(-(n - 1), 0) for n in windows}
-    totals = rows.select(
-        key, day, *(F.sum(m).over(frames[n]).alias(f"{m}_{n}") for m in measures for n in windows)
-    )
+    upto = Window.partitionBy(key).orderBy(day)
+    types = dict(rows.dtypes)
+
+    def trailing(m: str, n: int) -> Column:
+        if types[m] in EXACT:
+            # Sliding frames are added up anew for every row; the difference of two growing frames is one pass.
+            growing = lambda last: F.coalesce(F.sum(m).over(upto.rangeBetween(Window.unboundedPreceding, last)), F.lit(0))
+            return growing(0) - growing(-n)
+        return F.sum(m).over(upto.rangeBetween(-(n - 1), 0))
+
+    totals = rows.select(key, day, *(trailing(m, n).alias(f"{m}_{n}") for m in measures for n in windows))
     return totals.where(F.col(f"{floor[0]}_{longest}") >= floor[1]) if floor else totals
 
 

@@ -360,6 +360,20 @@ def site_presence(spark: SparkSession, d: str) -> DataFrame:
     return labels.site_presence(discharges(spark, d))
 
 
+@REG.add("id_quality_by_year", f"""WITH RECURSIVE {DISCHARGES_SQL}, {PERSONS_SQL}, {LABELS_SQL},
+am AS (SELECT patient_id FROM b WHERE patient_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT birth) > 1 OR count(DISTINCT sex) > 1)
+SELECT year, count(*) AS cases, count(am.patient_id) AS ambiguous, round(avg(readmit_30d), 6) AS rate, round(avg(readmit_30d) FILTER (am.patient_id IS NULL), 6) AS rate_without FROM lab LEFT JOIN am USING (patient_id) GROUP BY 1""")
+def id_quality_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """Cases under ambiguous identifiers per year, and the rate with and without them."""
+    rows = discharges(spark, d)
+    shaky = identity.ambiguous_identity(rows).select("patient_id", F.lit(1).alias("shaky"))
+    cases = labelled(spark, d).join(rows.select("encounter_id", "patient_id"), "encounter_id").join(shaky, "patient_id", "left")
+    return cases.groupBy("year").agg(
+        F.count(F.lit(1)).alias("cases"), F.count("shaky").alias("ambiguous"), F.round(F.avg("readmit_30d"), 6).alias("rate"),
+        F.round(F.avg(F.when(F.col("shaky").isNull(), F.col("readmit_30d"))), 6).alias("rate_without"),
+    )
+
+
 # ---------------------------------------------------------------- scenarios
 
 SCENARIOS = {"principal": {}, "margin_60": {"margin": 60}, "all_forms": {"unplanned": None}, "births_count": {"not_grd": ()}, "sessions_count": {"not_dx": ()}}
@@ -388,3 +402,15 @@ def scenario_diff(spark: SparkSession, d: str) -> DataFrame:
     base = labelled(spark, d).where(~F.col("discharge_type").eqNullSafe("FALLECIDO"))
     other = labelled(spark, d, labels.LabelRules().all_forms()).where(~F.col("discharge_type").startswith("DERIVACI"))
     return criteria.scenario_diff(base, other, "encounter_id", ["readmit_30d"])
+
+
+@REG.add("transfer_breakdown", f"""WITH {DISCHARGES_SQL}, {EPISODES_SQL},
+k AS (SELECT *, cont AND NOT mark AND admit >= l_discharge AND NOT (admit = l_discharge AND site IS NOT DISTINCT FROM l_site) AS split FROM ep)
+SELECT coalesce(admit_type, 'SIN DATO') AS admit_type, count(*) AS splits, CAST(sum((admit_type IN ('URGENCIA', 'OBSTETRICA'))::INTEGER) AS BIGINT) AS would_count FROM k WHERE split GROUP BY 1""")
+def transfer_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """Admissions that would open an episode of their own if joining needed a transfer mark, and those that would count as
+    unplanned re-admissions."""
+    with_leader = episodes.with_leader(discharges(spark, d).drop("episode_id"))
+    split = with_leader.where(episodes.continues() & ~episodes.continues(require_mark=True))
+    urgent = F.col("admit_type").isin("URGENCIA", "OBSTETRICA").cast("bigint")
+    return split.groupBy(F.coalesce("admit_type", F.lit("SIN DATO")).alias("admit_type")).agg(F.count(F.lit(1)).alias("splits"), F.sum(urgent).alias("would_count"))

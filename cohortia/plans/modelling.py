@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortia.functions.draws import sql_draw, sql_poisson
 from cohortia.operators import codes, evaluate, features, model, partition
 from cohortia.plans.cohort import LABELS_SQL, labelled
-from cohortia.plans.discharges import DISCHARGES_SQL, DX, PX, discharges
+from cohortia.plans.discharges import DISCHARGES_SQL, DX, PX, RECORDS_SQL, discharges, records
 from cohortia.plans.registry import Registry
 from cohortia.plans.sqltext import sql_read
 from cohortia.session import cut, table
@@ -85,6 +85,12 @@ def seen_patient(spark: SparkSession, d: str) -> DataFrame:
     return partition.temporal_groups(cases).select("encounter_id", "seen")
 
 
+@REG.add("registered_split_check", """WITH a AS (SELECT DISTINCT id_egreso FROM grd_depurado WHERE id_persona IS NOT NULL), b AS (SELECT DISTINCT id_egreso FROM particion)
+SELECT count(*) FILTER (a.id_egreso = b.id_egreso) AS "both", count(*) FILTER (b.id_egreso IS NULL) AS only_table, count(*) FILTER (a.id_egreso IS NULL) AS only_registered FROM a FULL JOIN b ON a.id_egreso = b.id_egreso""")
+def registered_split_check(spark: SparkSession, d: str) -> DataFrame:
+    return partition.registered_check(table(spark, d, "grd_depurado").where("id_persona IS NOT NULL"), table(spark, d, "particion"), "id_egreso")
+
+
 @REG.add("straddling_share", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, u AS (SELECT patient_id, block, count(*) AS m FROM lab WHERE patient_id IS NOT NULL GROUP BY ALL)
 SELECT round(sum(m * (1 - pow(0.2::DOUBLE, m - 1))) / sum(m), 6) AS straddling FROM u""")
 def straddling_share(spark: SparkSession, d: str) -> DataFrame:
@@ -337,6 +343,32 @@ def comorbidity_score(spark: SparkSession, d: str) -> DataFrame:
     return features.comorbidity(pairs, prefixes, REPLACES, "encounter_id")
 
 
+@REG.add("condition_rates", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {PAIRS_SQL},
+px(condition, prefix, weight) AS (VALUES {', '.join(f"('{c}', '{p}', {w})" for c, p, w in PREFIXES)}),
+mk AS (SELECT DISTINCT encounter_id, condition FROM pr JOIN px ON starts_with(replace(code, '.', ''), prefix) WHERE block = 'DIAGNOSTICO' AND level = 'COMPLETO')
+SELECT condition, count(*) AS n, round(avg(readmit_30d), 6) AS rate, round(count(*)::DOUBLE / (SELECT count(readmit_30d) FROM lab), 6) AS prevalence FROM mk JOIN lab USING (encounter_id) WHERE readmit_30d IS NOT NULL GROUP BY 1""")
+def condition_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Prevalence and re-admission rate of each comorbid condition."""
+    prefixes = spark.createDataFrame(PREFIXES, "condition string, prefix string, weight bigint")
+    marks = features.condition_marks(record_pairs(spark, d, ("COMPLETO",)).where("block = 'DIAGNOSTICO'"), prefixes, "encounter_id")
+    return features.condition_rates(marks, labelled(spark, d), "encounter_id", "readmit_30d")
+
+
+@REG.add("case_features", f"""WITH {DISCHARGES_SQL}, {RECORDS_SQL}, {LABELS_SQL}, {INDEX_SQL}
+SELECT lab.encounter_id, CAST(floor((ic.i - lab.birth) / 365.25::DOUBLE) AS BIGINT) AS age, coalesce(lab.sex, 'SIN DATO') AS sex, CAST(lab.discharge - ic.i AS INTEGER) AS stay, coalesce(lab.admit_type, 'SIN DATO') AS admit_type,
+  coalesce(lab.mdc, 'SIN DATO') AS mdc, CASE WHEN lab.weight <> 0 THEN lab.weight END AS weight, rec.n_dx, rec.n_px, CAST(month(lab.discharge) AS INTEGER) AS month, CAST(isodow(lab.discharge) >= 6 AS INTEGER) AS weekend
+FROM lab JOIN ic USING (encounter_id) JOIN rec USING (encounter_id)""")
+def case_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the case itself: missing categories get a label, a weight of 0 is missing."""
+    own = discharges(spark, d).select("encounter_id", "sex", "birth", "weight")
+    counts = records(spark, d).select("encounter_id", "n_dx", "n_px")
+    named = lambda c: F.coalesce(c, F.lit("SIN DATO")).alias(c)
+    return index_cases(spark, d).join(own, "encounter_id").join(counts, "encounter_id").select(
+        "encounter_id", F.floor(F.datediff("admit", "birth") / 365.25).alias("age"), named("sex"), F.datediff("discharge", "admit").alias("stay"), named("admit_type"), named("mdc"),
+        F.when(F.col("weight") != 0, F.col("weight")).alias("weight"), "n_dx", "n_px", F.month("discharge").alias("month"), (F.weekday("discharge") >= 5).cast("int").alias("weekend"),
+    )
+
+
 @REG.add("rare_merge", f"""WITH {DISCHARGES_SQL}, n AS (SELECT coalesce(site, 'SIN DATO') AS site, count(*) AS n FROM b GROUP BY 1)
 SELECT CASE WHEN n < 100 THEN 'OTRO' ELSE site END AS site, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1""")
 def rare_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -387,7 +419,7 @@ def model_cases(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("model_codes", f"{CODES_SQL}, a AS (SELECT block, level, code FROM ms WHERE {LIST_A}) SELECT pr.encounter_id, block, level, code FROM pr JOIN a USING (block, level, code)")
 def model_codes(spark: SparkSession, d: str) -> DataFrame:
     listed = measured(spark, d).where(codes.in_list_a(LEAST_N, LEAST_V)).select("block", "level", "code")
-    return case_pairs(spark, d).join(F.broadcast(cut(listed, "lista")), ["block", "level", "code"])
+    return case_pairs(spark, d).join(cut(listed, "lista"), ["block", "level", "code"])
 
 
 @REG.add("code_matrix_sizes", f"""{CODES_SQL}, a AS (SELECT 'A' AS list, block, level, code FROM ms WHERE {LIST_A} AND level = 'COMPLETO' UNION ALL SELECT 'C', block, level, code FROM ms WHERE {LIST_C} AND level = 'COMPLETO'

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_cuts: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,15 +42,31 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cohortia-{label}-{uuid.uuid4().hex}"
+    if not _cuts:
+        atexit.register(_drop_all)
+    _cuts[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_all() -> None:
+    """At the end of the driver's program nothing reads its cuts any more."""
+    for path, spark in _cuts.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  (the session has ended; the folder's owner clears it)
+            return
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by cut() that nothing reads any more."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/cohortia-" not in folder:
             continue
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
