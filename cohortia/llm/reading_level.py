@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from cohortia.session import cut
 
 WORD = re.compile(r"[^\W\d_]+")
-SHRINK = 8.0
+SHRINK = 2.0
+RARE = 9.0
+ENDINGS = ("mente", "ción", "ciones", "dad", "dades", "tion", "tions", "ly", "ity", "ment")
 STOP = re.compile(r"[.!?;:\n]+")
 
 # Connectives and subordinators of Spanish and English, and marks of subordinate clauses.
@@ -41,7 +43,44 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def document_features(text: str | None, rarity: dict[str, float], floor: float, stretch: int = 24) -> list[float] | None:
+class WordTable:
+    """What a word contributes to the features, worked out once per distinct word of a task.
+
+    Columns: letters, rarity, long (8+), very long (12+), short (up to 4), rarer than RARE, connective, clause mark, learned ending.
+    """
+
+    LIMIT = 500_000  # distinct words held; the table is then started anew, which changes no value
+
+    def __init__(self, rarity: dict[str, float], floor: float) -> None:
+        self.rarity, self.floor = rarity, floor
+        self.places: dict[str, int] = {}
+        self.rows = np.empty((1024, 9))
+
+    def __getitem__(self, words: list[str]) -> np.ndarray:
+        if len(self.places) > self.LIMIT:
+            self.places, self.rows = {}, np.empty((1024, 9))
+        known = self.places
+        ids = [known[w] if w in known else self._add(w) for w in words]
+        return self.rows[ids]
+
+    def _add(self, w: str) -> int:
+        k = self.places[w] = len(self.places)
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        n, rare = len(w), self.rarity.get(w, self.floor)
+        self.rows[k] = (n, rare, n >= 8, n >= 12, n <= 4, rare > RARE, w in CONNECTIVES, w in CLAUSE, w.endswith(ENDINGS))
+        return k
+
+
+def _between(ordered: np.ndarray, q: float) -> float:
+    """Quantile of sorted values by linear interpolation."""
+    at = q * (len(ordered) - 1)
+    low = int(at)
+    high = min(low + 1, len(ordered) - 1)
+    return float(ordered[low] + (at - low) * (ordered[high] - ordered[low]))
+
+
+def document_features(text: str | None, table: WordTable, stretch: int = 24) -> list[float] | None:
     """The number of words, then FEATURES over all words of one text; None for a text without words.
 
     Means over words are completed by medians and quartiles over stretches of `stretch` words, which single easier
@@ -51,21 +90,20 @@ def document_features(text: str | None, rarity: dict[str, float], floor: float,
     n = len(words)
     if not n:
         return None
-    size = np.fromiter(map(len, words), dtype=np.float64, count=n)
-    rare = np.fromiter((rarity.get(w, floor) for w in words), dtype=np.float64, count=n)
-    cuts = range(0, max(n - stretch // 2, 1), stretch)
-    size_of, rare_of = [size[i : i + stretch].mean() for i in cuts], [rare[i : i + stretch].mean() for i in cuts]
+    marks = table[words]
+    letters, rare, *shares = (marks.sum(axis=0) / n).tolist()
+    long, longest, short, very_rare, connectives, clauses, endings = shares
+    cuts = np.arange(0, max(n - stretch // 2, 1), stretch)
+    sums = np.add.reduceat(marks[:, :2], cuts, axis=0)  # the last stretch takes what is left
+    means = np.sort(sums / np.diff(np.append(cuts, n))[:, None], axis=0)
     window = min(n, 50)
     steps = range(0, n - window + 1, max(1, window // 2))
-    diversity = sum(len(set(words[i : i + window])) / window ** 0.9 for i in steps) / len(steps)
+    diversity = sum(len(set(words[i : i + window])) for i in steps) / window**0.9 / len(steps)
     phrases = [k for p in STOP.split(text) if (k := len(p.split()))]
-    share = lambda known: sum(w in known for w in words) / n
     return [
-        float(n), size.mean(), (size >= 8).mean(), (size >= 12).mean(), (size <= 4).mean(), diversity, rare.mean(),
-        (rare > 9).mean(), share(CONNECTIVES), share(CLAUSE), text.count(",") / n,
-        sum(w.endswith(("mente", "ción", "ciones", "dad", "dades", "tion", "tions", "ly", "ity", "ment")) for w in words) / n,
+        float(n), letters, long, longest, short, diversity, rare, very_rare, connectives, clauses, text.count(",") / n, endings,
         math.log(sum(phrases) / max(len(phrases), 1) + 1.0),
-        float(np.median(size_of)), float(np.median(rare_of)), float(np.quantile(size_of, 0.25)), float(np.quantile(size_of, 0.75)),
+        _between(means[:, 0], 0.5), _between(means[:, 1], 0.5), _between(means[:, 0], 0.25), _between(means[:, 0], 0.75),
     ]
 
 
@@ -189,9 +227,9 @@ def feature_table(docs: DataFrame, doc_id: str, text: str, rarity: dict[str, flo
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = WordTable(sent.value, floor)
         for b in batches:
-            rows = [document_features(t, known, floor) for t in b.column(1).to_pylist()]
+            rows = [document_features(t, known) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "rasgos"])
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, rasgos array<double>")
