@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
+COMMON_MARKS = re.compile("[\u0300-\u036f]+")
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 
+@lru_cache(maxsize=1)
+def _combining() -> re.Pattern[str]:
+    """All combining marks, as runs of code points."""
+    marks = [i for i in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(i))]
+    runs, first = [], None
+    for i, c in enumerate(marks):
+        first = c if first is None else first
+        if i + 1 == len(marks) or marks[i + 1] != c + 1:
+            runs.append(f"{chr(first)}-{chr(c)}")
+            first = None
+    return re.compile(f"[{''.join(runs)}]+")
+
+
 def fold(text: str) -> str:
     """Lower case without accents; ñ becomes n."""
     low = text.casefold()
     if low.isascii():
         return low
-    parts = unicodedata.normalize("NFKD", low)
-    return "".join(c for c in parts if not unicodedata.combining(c)).casefold()
+    plain = COMMON_MARKS.sub("", unicodedata.normalize("NFKD", low))
+    return plain if plain.isascii() else _combining().sub("", plain).casefold()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -34,58 +50,76 @@ def grams(words: list[str], n: int) -> list[str]:
     return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
-def pick_seeds(items: list[list[str]], frequency: dict[str, int], n: int, window: int) -> dict[str, list[tuple[int, int]]]:
-    """n-gram -> (item, place). In every run of `window` words of an item the rarest n-gram of the corpus is kept, so
-    a document that holds any such run holds a seed of it."""
-    chosen: dict[str, list[tuple[int, int]]] = defaultdict(list)
+def pick_seeds(items: list[list[str]], frequency: dict[str, int], n: int, window: int, rare: float) -> dict[str, list[tuple[int, bool]]]:
+    """n-gram -> (item, sure). In every run of `window` words of an item the corpus's rarest n-gram is a sure seed, so a
+    document that holds any such run holds one; where it occurs nowhere, no document holds that run and it costs
+    nothing. Other n-grams that occur at most `rare` times are seeds too, for edited copies."""
+    chosen: dict[str, dict[int, bool]] = defaultdict(dict)
     for k, words in enumerate(items):
         own = grams(words, n)
         span = max(1, min(window, len(words)) - n + 1)
-        places = {min(range(i, i + span), key=lambda j: (frequency.get(own[j], 0), own[j], j)) for i in range(len(own) - span + 1)}
-        for j in sorted(places):
-            chosen[own[j]].append((k, j))
-    return dict(chosen)
+        sure = {min(range(i, i + span), key=lambda j: (frequency.get(own[j], 0), own[j], j)) for i in range(len(own) - span + 1)}
+        for j, g in enumerate(own):
+            if j in sure or 0 < frequency.get(g, 0) <= rare:
+                chosen[g][k] = chosen[g].get(k, False) or j in sure
+    return {g: sorted(held.items()) for g, held in chosen.items()}
 
 
 def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
-    """(best local score, longest run of equal words in both, place in doc after the best alignment), by rows."""
-    cols = np.arange(len(doc) + 1)
-    above, run = np.zeros(len(doc) + 1, dtype=np.int64), np.zeros(len(doc) + 1, dtype=np.int64)
-    best, end, longest = 0, 0, 0
-    for w in item:
-        same = doc == w
-        row = np.zeros_like(above)
-        row[1:] = np.maximum(np.maximum(above[:-1] + np.where(same, MATCH, MISMATCH), above[1:] - GAP), 0)
-        row = np.maximum.accumulate(row + GAP * cols) - GAP * cols  # gaps in the item's row
-        new = np.zeros_like(run)
-        new[1:] = np.where(same, run[:-1] + 1, 0)
-        run, above = new, row
-        longest = max(longest, int(run.max()))
-        at = int(row.argmax())
-        if row[at] > best:
-            best, end = int(row[at]), at
-    return best, longest, end
+    """(best local score, longest run of equal words in both, place in doc after the best alignment), row by row."""
+    same = item[:, None] == doc[None, :]
+    gain = np.where(same, MATCH, MISMATCH).astype(np.int32)
+    slope = GAP * np.arange(1, len(doc) + 1, dtype=np.int32)
+    score = np.zeros((len(item) + 1, len(doc) + 1), dtype=np.int32)
+    run = np.zeros_like(score)
+    for i in range(len(item)):
+        row = score[i, :-1] + gain[i]
+        np.maximum(row, score[i, 1:] - GAP, out=row)
+        np.maximum(row, 0, out=row)
+        row += slope  # a gap along the row costs GAP a place: a running maximum on the slope
+        np.maximum.accumulate(row, out=row)
+        row -= slope
+        score[i + 1, 1:] = row
+        np.multiply(run[i, :-1] + 1, same[i], out=run[i + 1, 1:])
+    place = int(score.argmax())
+    return int(score.flat[place]), int(run.max()), place % (len(doc) + 1)
 
 
 def _stretches(places: list[int], reach: int) -> Iterator[tuple[int, int]]:
-    """Hits no more than 2 * reach apart belong to one stretch of the document, widened by reach on both sides."""
+    """Hits no more than 2 * reach apart belong to one stretch of the document, widened by reach on both sides.
+
+    A local alignment of an item of `reach` words spans at most 3 * reach words, as each gap costs half a match; longer
+    stretches are so cut into pieces that overlap by that much, and no alignment is lost.
+    """
     places = sorted(places)
-    low = high = places[0]
+    whole, low, high = [], places[0], places[0]
     for p in places[1:]:
         if p - high > 2 * reach:
-            yield low - reach, high + reach
+            whole.append((low - reach, high + reach))
             low = p
         high = p
-    yield low - reach, high + reach
-
-
-def leaks_in(words: list[str], seeds: dict[str, list[tuple[int, int]]], items: list[list[str]], n: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item, score, longest run, from, to) of every item with a seed in the document; the best stretch counts."""
+    whole.append((low - reach, high + reach))
+    piece, overlap = 20 * reach, 3 * reach
+    for a, b in whole:
+        while b - a > piece:
+            yield a, a + piece
+            a += piece - overlap
+        yield a, b
+
+
+def leaks_in(words: list[str], seeds: dict[str, list[tuple[int, bool]]], items: list[list[str]], n: int, least_hits: int = 3) -> Iterator[tuple[int, int, int, int, int]]:
+    """(item, score, longest run, from, to) of every item with a sure seed, or least_hits seeds, in the document; the best
+    stretch counts."""
     hits: dict[int, list[int]] = defaultdict(list)
+    certain: set[int] = set()
     for i, g in enumerate(grams(words, n)):
-        for k, _ in seeds.get(g, ()):
+        for k, sure in seeds.get(g, ()):
             hits[k].append(i)
+            if sure:
+                certain.add(k)
     for k, places in hits.items():
+        if k not in certain and len(places) < least_hits:
+            continue
         ids: dict[str, int] = {}
         item = np.array([ids.setdefault(w, len(ids)) for w in items[k]])
         found = (0, 0, 0, 0)
@@ -97,12 +131,13 @@ def leaks_in(words: list[str], seeds: dict[str, list[tuple[int, int]]], items: l
         yield k, *found
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 5, window: int = 12, min_score: int = 16, item_block: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 5, window: int = 12, rare_share: float = 1e-4, min_score: int = 16, item_block: int = 20_000) -> DataFrame:
     """(doc_id, item_id, puntaje, racha, desde, hasta): documents that hold passages of the items.
 
     1. The items' n-grams are counted over the whole corpus (partial counts per task, then one small aggregate).
-    2. In each window of the items the rarest n-gram becomes a seed. No frequency cutoff drops seeds, so any run of
-       `window` words is found.
+    2. In each window of the items the rarest n-gram becomes a seed, without any frequency cutoff, so every run of `window`
+       words is found. For edited copies, n-grams that occur at most 3 + rare_share * documents times are seeds as
+       well; three hits of those make a candidate.
     3. Documents with a seed are aligned with the seed's item by Smith-Waterman over words around the hits. `puntaje`
        is the best score (match 2, other word -1, gap -1), which tolerates edits; `racha` the longest run of
        equal consecutive words. Pairs below min_score are left out.
@@ -114,6 +149,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """
     out: DataFrame | None = None
     spark = docs.sparkSession
+    rare = 3 + rare_share * docs.count()
     pairs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     for block in _blocks(items.select(item_id, item_text).orderBy(item_id), item_block):
         ids, texts = [r[0] for r in block], [words_of(r[1]) for r in block]
@@ -130,7 +166,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "k"])
 
         frequency = {r["g"]: r["k"] for r in pairs.mapInArrow(count, "g string, k bigint").groupBy("g").agg(F.sum("k").alias("k")).collect()}
-        sent = spark.sparkContext.broadcast((ids, texts, pick_seeds(texts, frequency, n, window)))
+        sent = spark.sparkContext.broadcast((ids, texts, pick_seeds(texts, frequency, n, window, rare)))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, own, seeds = sent.value
