@@ -139,7 +139,7 @@ def mix_report(sized: DataFrame, mix: DataFrame, source: str, targets: DataFrame
     whole = took.agg(F.sum("tokens_mezcla").alias("t"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (
-        targets.join(F.broadcast(there), source, "left").join(F.broadcast(took), source, "left")
+        targets.join(there, source, "left").join(took, source, "left")
         .select(
             source, "peso_objetivo", "max_repeticiones", zero("tokens_disponibles").alias("tokens_disponibles"), zero("tokens_mezcla").alias("tokens_mezcla"),
             zero("documentos").alias("documentos"), zero("repeticiones_maximas").alias("repeticiones_maximas"),
