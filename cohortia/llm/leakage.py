@@ -1,4 +1,4 @@
-"""Evaluation passages inside training documents: rare n-gram seeds, then local alignment."""
+"""Evaluation passages inside training documents: n-gram seeds, then local alignment."""
 
 from __future__ import annotations
 
@@ -50,19 +50,15 @@ def grams(words: list[str], n: int) -> list[str]:
     return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
-def pick_seeds(items: list[list[str]], frequency: dict[str, int], n: int, window: int, rare: float) -> dict[str, list[tuple[int, bool]]]:
-    """n-gram -> (item, sure). In every run of `window` words of an item the corpus's rarest n-gram is a sure seed, so a
-    document that holds any such run holds one; where it occurs nowhere, no document holds that run and it costs
-    nothing. Other n-grams that occur at most `rare` times are seeds too, for edited copies."""
-    chosen: dict[str, dict[int, bool]] = defaultdict(dict)
+def pick_seeds(items: list[list[str]], frequency: dict[str, int], n: int) -> dict[str, list[int]]:
+    """n-gram -> items, of every item n-gram that occurs in the corpus, however often: a document and an item that share one are
+    compared, and the score decides."""
+    chosen: dict[str, list[int]] = defaultdict(list)
     for k, words in enumerate(items):
-        own = grams(words, n)
-        span = max(1, min(window, len(words)) - n + 1)
-        sure = {min(range(i, i + span), key=lambda j: (frequency.get(own[j], 0), own[j], j)) for i in range(len(own) - span + 1)}
-        for j, g in enumerate(own):
-            if j in sure or 0 < frequency.get(g, 0) <= rare:
-                chosen[g][k] = chosen[g].get(k, False) or j in sure
-    return {g: sorted(held.items()) for g, held in chosen.items()}
+        for g in dict.fromkeys(grams(words, n)):
+            if g in frequency:
+                chosen[g].append(k)
+    return dict(chosen)
 
 
 def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
@@ -85,6 +81,34 @@ def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return int(score.flat[place]), int(run.max()), place % (len(doc) + 1)
 
 
+def align(items: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What smith_waterman gives, of many pairs at once: along antidiagonals, with the pairs side by side. Word ids are >= 0 in
+    items, -1 in parts for words that the item doesn't have."""
+    rows, width, pairs = max(map(len, items)), max(map(len, parts)), len(items)
+    kind = np.int16 if MATCH * rows + width < 2**15 else np.int32
+    item, doc = np.full((rows, pairs), -2, kind), np.full((width + 2 * rows, pairs), -1, kind)
+    for p, (x, y) in enumerate(zip(items, parts)):
+        item[: len(x), p] = x
+        doc[rows + width - len(y) : rows + width, p] = y[::-1]  # reversed, so that an antidiagonal is one slice
+    score, run = ([np.zeros((rows + 1, pairs), kind) for _ in range(3)] for _ in range(2))
+    best, longest, place = np.zeros((rows, pairs), kind), np.zeros((rows, pairs), kind), np.zeros((rows, pairs), kind)
+    for d in range(rows + width - 1):  # cell (i, d - i); outside the part nothing is equal
+        same = item == doc[(at := rows + width - 1 - d) : at + rows]
+        new, last, before = score[d % 3], score[(d + 2) % 3], score[(d + 1) % 3]
+        cell = before[:-1] + same * kind(MATCH - MISMATCH)
+        cell += kind(MISMATCH)
+        np.maximum(cell, np.maximum(last[:-1], last[1:]) - kind(GAP), out=cell)
+        np.maximum(cell, 0, out=new[1:])
+        if (more := new[1:] > best).any():
+            np.copyto(place, np.arange(d, d - rows, -1, dtype=kind)[:, None], where=more)
+            np.maximum(best, new[1:], out=best)
+        np.multiply(run[(d + 1) % 3][:-1] + kind(1), same, out=run[d % 3][1:])
+        np.maximum(longest, run[d % 3][1:], out=longest)
+    top = best.argmax(axis=0)
+    across = np.arange(pairs)
+    return best[top, across], longest.max(axis=0), np.where(best[top, across] > 0, place[top, across] + 1, 0)
+
+
 def _stretches(places: list[int], reach: int) -> Iterator[tuple[int, int]]:
     """Hits no more than 2 * reach apart belong to one stretch of the document, widened by reach on both sides.
 
@@ -107,37 +131,42 @@ def _stretches(places: list[int], reach: int) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def leaks_in(words: list[str], seeds: dict[str, list[tuple[int, bool]]], items: list[list[str]], n: int, least_hits: int = 3) -> Iterator[tuple[int, int, int, int, int]]:
-    """(item, score, longest run, from, to) of every item with a sure seed, or least_hits seeds, in the document; the best
-    stretch counts."""
-    hits: dict[int, list[int]] = defaultdict(list)
-    certain: set[int] = set()
-    for i, g in enumerate(grams(words, n)):
-        for k, sure in seeds.get(g, ()):
-            hits[k].append(i)
-            if sure:
-                certain.add(k)
-    for k, places in hits.items():
-        if k not in certain and len(places) < least_hits:
-            continue
-        ids: dict[str, int] = {}
-        item = np.array([ids.setdefault(w, len(ids)) for w in items[k]])
-        found = (0, 0, 0, 0)
-        for a, b in _stretches(places, len(item)):
-            a = max(0, a)
-            part = np.array([ids.get(w, -1) for w in words[a : b + n]])
-            score, run, end = smith_waterman(item, part)
-            found = (max(found[0], score), max(found[1], run), *((max(0, a + end - len(item)), a + end) if score > found[0] else found[2:]))
-        yield k, *found
-
-
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 5, window: int = 12, rare_share: float = 1e-4, min_score: int = 16, item_block: int = 20_000) -> DataFrame:
+def leaks_in(docs: list[list[str]], seeds: dict[str, list[int]], items: list[list[str]], n: int, together: int = 256) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(document, item, score, longest run, from, to) of every document and item that share a seed; the best stretch counts.
+    Pairs of like size are aligned `together` at a time."""
+    jobs: list[tuple[int, int, int, int, int]] = []
+    for at, words in enumerate(docs):
+        hits: dict[int, list[int]] = defaultdict(list)
+        for i, g in enumerate(grams(words, n)):
+            for k in seeds.get(g, ()):
+                hits[k].append(i)
+        for k, places in hits.items():
+            for a, b in _stretches(places, len(items[k])):
+                a = max(0, a)
+                jobs.append((len(items[k]), min(len(words), b + n) - a, at, k, a))
+    jobs.sort()
+    known: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+    found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
+    for j in range(0, len(jobs), together):
+        block = jobs[j : j + together]
+        for _, _, _, k, _ in block:
+            if k not in known:
+                ids: dict[str, int] = {}
+                known[k] = (ids, np.array([ids.setdefault(w, len(ids)) for w in items[k]], np.int32))
+        parts = [np.array([known[k][0].get(w, -1) for w in docs[at][a : a + size]], np.int32) for _, size, at, k, a in block]
+        for (_, _, at, k, a), score, run, end in zip(block, *(x.tolist() for x in align([known[k][1] for _, _, _, k, _ in block], parts))):
+            found[at, k].append((score, run, a, end))
+    for (at, k), stretches in found.items():
+        score, _, a, end = max(stretches, key=lambda x: (x[0], -x[2]))
+        yield at, k, score, max(x[1] for x in stretches), max(0, a + end - len(items[k])), a + end
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 5, min_score: int = 16, item_block: int = 20_000) -> DataFrame:
     """(doc_id, item_id, puntaje, racha, desde, hasta): documents that hold passages of the items.
 
     1. The items' n-grams are counted over the whole corpus (partial counts per task, then one small aggregate).
-    2. In each window of the items the rarest n-gram becomes a seed, without any frequency cutoff, so every run of `window`
-       words is found. For edited copies, n-grams that occur at most 3 + rare_share * documents times are seeds as
-       well; three hits of those make a candidate.
+    2. Every item n-gram that occurs is a seed at every size, without any frequency cutoff, so every run of n equal words
+       makes a candidate, and so does an edited copy in which n words in a row are left.
     3. Documents with a seed are aligned with the seed's item by Smith-Waterman over words around the hits. `puntaje`
        is the best score (match 2, other word -1, gap -1), which tolerates edits; `racha` the longest run of
        equal consecutive words. Pairs below min_score are left out.
@@ -149,7 +178,6 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """
     out: DataFrame | None = None
     spark = docs.sparkSession
-    rare = 3 + rare_share * docs.count()
     pairs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     for block in _blocks(items.select(item_id, item_text).orderBy(item_id), item_block):
         ids, texts = [r[0] for r in block], [words_of(r[1]) for r in block]
@@ -166,15 +194,17 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "k"])
 
         frequency = {r["g"]: r["k"] for r in pairs.mapInArrow(count, "g string, k bigint").groupBy("g").agg(F.sum("k").alias("k")).collect()}
-        sent = spark.sparkContext.broadcast((ids, texts, pick_seeds(texts, frequency, n, window, rare)))
+        sent = spark.sparkContext.broadcast((ids, texts, pick_seeds(texts, frequency, n)))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, own, seeds = sent.value
             for b in batches:
+                docs = b.column(0).to_pylist()
+                words = [words_of(t) for t in b.column(1).to_pylist()]
                 rows = [
-                    (d, names[k], score, run, a, z)
-                    for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    for k, score, run, a, z in leaks_in(words_of(t), seeds, own, n)
+                    (docs[i + j], names[k], score, run, a, z)
+                    for i in range(0, len(docs), 500)
+                    for j, k, score, run, a, z in leaks_in(words[i : i + 500], seeds, own, n)
                     if score >= min_score
                 ]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())

@@ -54,3 +54,18 @@ def test_empty(spark):
     d, t = frames(spark, [(1, "a b c")], [(1, "a b c d e f g")])
     assert L.find_leaks(d.limit(0), "doc_id", "text", t, "item_id", "texto").count() == 0
     assert L.find_leaks(d, "doc_id", "text", t.limit(0), "item_id", "texto").count() == 0
+
+
+def test_edited_copies_are_found_however_many(spark):
+    item = [f"p{i}" for i in range(24)]
+    edited = [w if i % 8 else f"otra{i}" for i, w in enumerate(item)]  # in every run of 12 words one is changed
+    d, t = frames(spark, [(i, " ".join([f"a{i}", *edited, f"z{i}"])) for i in range(60)] + [(99, " ".join(edited[9:14]))], [(7, " ".join(item))])
+    got = {r["doc_id"]: (r["puntaje"], r["racha"]) for r in L.find_leaks(d, "doc_id", "text", t, "item_id", "texto").collect()}
+    assert got == {i: (2 * 21 - 2, 7) for i in range(60)}
+
+
+def test_align_equals_row_by_row():
+    rng = random.Random(4)
+    make = lambda low, most: L.np.array([rng.randrange(low, 6) for _ in range(rng.randint(1, most))])
+    items, parts = [make(0, 20) for _ in range(300)], [make(-1, 40) for _ in range(300)]
+    assert list(zip(*(x.tolist() for x in L.align(items, parts)))) == [L.smith_waterman(a, b) for a, b in zip(items, parts)]
