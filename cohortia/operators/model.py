@@ -34,9 +34,10 @@ def _numeric(c: str, median: float, log: bool) -> Column:
     return F.log1p(F.greatest(x, F.lit(0.0))) if log else x
 
 
-def design(cases: DataFrame, record_id: str, numeric: list[str], categorical: list[str], stats: dict[str, tuple[float, float, float]], vocab: DataFrame, pairs: DataFrame | None = None, logged: tuple[str, ...] = ()) -> DataFrame:
-    """cases with `features`, a sparse vector: z-scored numeric columns, then the 0/1 columns of the vocabulary. The 0/1 columns
-    aren't centred, which keeps the matrix sparse."""
+def design(cases: DataFrame, record_id: str, numeric: list[str], categorical: list[str], stats: dict[str, tuple[float, float, float]], vocab: DataFrame, pairs: DataFrame | None = None, logged: tuple[str, ...] = (), train: DataFrame | None = None) -> DataFrame:
+    """cases with `features`, a sparse vector: z-scored numeric columns, then the 0/1 columns of the vocabulary. train: its rows
+    give each 0/1 column's share p, and the column is divided by sqrt(p (1 - p)); one that is constant there stays as it is.
+    The 0/1 columns aren't centred, which keeps the matrix sparse."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     width = len(numeric) + (vocab.agg(F.max("slot")).first()[0] or 0) + 1
@@ -45,9 +46,18 @@ def design(cases: DataFrame, record_id: str, numeric: list[str], categorical: li
     if pairs is not None:
         kept = pairs.join(cases.select(record_id), record_id, "left_semi")
         marks = marks.unionByName(kept.select(record_id, F.concat_ws("|", "block", "level", "code").alias("feature")))
-    slots = marks.join(vocab, "feature").groupBy(record_id).agg(F.sort_array(F.collect_set(F.col("slot") + len(numeric))).alias("slots"))
+    held = marks.join(vocab, "feature").select(record_id, "slot").distinct()
+    if train is None:
+        held = held.withColumn("value", F.lit(1.0))
+    else:
+        total = train.count()
+        p = F.count(F.lit(1)) / F.lit(float(max(total, 1)))
+        shares = held.join(train.select(record_id), record_id, "left_semi").groupBy("slot").agg(p.alias("p"))
+        scale = F.when((F.col("p") > 0) & (F.col("p") < 1), 1 / F.sqrt(F.col("p") * (1 - F.col("p")))).otherwise(1.0)
+        held = held.join(shares, "slot", "left").withColumn("value", F.coalesce(scale, F.lit(1.0)))
+    slots = held.groupBy(record_id).agg(F.sort_array(F.collect_list(F.struct((F.col("slot") + len(numeric)).alias("slot"), "value"))).alias("slots"))
     values = F.array(*((_numeric(c, stats[c][0], c in logged) - stats[c][1]) / (stats[c][2] or 1.0) for c in numeric))
-    vector = F.udf(lambda v, s: SparseVector(width, list(range(len(v))) + list(s or []), list(v) + [1.0] * len(s or [])), VectorUDT())
+    vector = F.udf(lambda v, s: SparseVector(width, list(range(len(v))) + [x[0] for x in s or []], list(v) + [x[1] for x in s or []]), VectorUDT())
     return cases.join(slots, record_id, "left").withColumn("features", vector(values, "slots")).drop("slots")
 
 
@@ -66,21 +76,30 @@ def estimator(kind: str, n: int, seed: int = 17, small: bool = False):
     raise ValueError(f"unknown model {kind}")
 
 
-def out_of_fold(cases: DataFrame, record_id: str, label: str, fold: str, kind: str, numeric: list[str], categorical: list[str], pairs: DataFrame | None = None, logged: tuple[str, ...] = (), weighted: bool = False, small: bool = False) -> DataFrame:
+def out_of_fold(cases: DataFrame, record_id: str, label: str, fold: str, kind: str, numeric: list[str], categorical: list[str], pairs: DataFrame | None = None, logged: tuple[str, ...] = (), weighted: bool = False, small: bool = False, lists: DataFrame | None = None) -> DataFrame:
     """(record, fold, probability) of every case with a label, each predicted by a model fitted without its fold.
 
-    Medians, means and deviations come from the training rows only. weighted: positives weigh n0 / n1.
+    Medians, means and deviations come from the training rows only. lists (fold, block, level, code): the codes of pairs that
+    enter while that fold is predicted; without it all do. LR divides the 0/1 columns by their deviation and alone takes
+    `logged`. weighted: positives weigh n0 / n1.
     """
     from pyspark.ml.functions import vector_to_array
 
     known = cases.where(F.col(label).isNotNull())
-    vocab = cut(vocabulary(known, categorical, pairs, record_id), "vocabulario")
+    linear = kind == "LR"
+    logged = logged if linear else ()
+    vocab = None
     folds = [r[0] for r in known.select(fold).distinct().orderBy(fold).collect()]
     out: DataFrame | None = None
     for f in folds:
         train = known.where(F.col(fold) != f)
-        stats = training_statistics(train, numeric, logged)
-        data = design(known, record_id, numeric, categorical, stats, vocab, pairs, logged).withColumn("label", F.col(label).cast("double"))
+        stats = training_statistics(train, numeric, logged) if linear else {c: (v[0], 0.0, 1.0) for c, v in training_statistics(train, numeric).items()}
+        own = pairs
+        if pairs is not None and lists is not None:
+            own = pairs.join(cut(lists.where(F.col("fold") == f).select("block", "level", "code"), "lista"), ["block", "level", "code"], "left_semi")
+        if vocab is None or lists is not None:
+            vocab = cut(vocabulary(known, categorical, own, record_id), "vocabulario")
+        data = design(known, record_id, numeric, categorical, stats, vocab, own, logged, train if linear else None).withColumn("label", F.col(label).cast("double"))
         n0, n1 = (train.where(F.col(label) == v).count() for v in (0, 1))
         data = cut(data.withColumn("w", F.when(F.lit(weighted) & (F.col("label") == 1), F.lit(n0 / max(n1, 1))).otherwise(1.0)).select(record_id, fold, "features", "label", "w"), "matriz")
         fitted = estimator(kind, n0 + n1, small=small).fit(data.where(F.col(fold) != f))

@@ -435,9 +435,28 @@ def code_matrix_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- training
 
+MODEL_NUMERIC = ["stay", "weight", "stays", "unplanned", "age", "n_dx", "n_px", "days_since", "weekend", "truncated"]
+MODEL_CATEGORIES = ["sex", "mdc", "admit_type", "month", "site"]
+MODEL_LOGGED = ("stay", "weight", "stays", "unplanned")
+
+
+def training_table(spark: SparkSession, d: str) -> DataFrame:
+    """Cases with the features of the case, its history and its site."""
+    own = case_features(spark, d)
+    sites = labelled(spark, d).select("encounter_id", F.coalesce("site", F.lit("SIN DATO")).alias("site"))
+    cases = folded(spark, d).select("encounter_id", "fold", "readmit_30d").join(own, "encounter_id").join(sites, "encounter_id")
+    for more in (case_history(spark, d).select("encounter_id", "stays", "unplanned"), days_since_last(spark, d).select("encounter_id", "days_since"), window_truncated(spark, d)):
+        cases = cases.join(more, "encounter_id")
+    return cases.select("encounter_id", "fold", "readmit_30d", *MODEL_NUMERIC, *MODEL_CATEGORIES)
+
+
 def _oof(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return model.out_of_fold(cut(model_case_table(spark, d), "casos"), "encounter_id", "readmit_30d", "fold", kind, ["stay", "stays", "unplanned"], ["mdc", "admit_type"], logged=("stay",), small=True)
+        """Full-size models on all features and the codes of list A, taken from the other folds' cases."""
+        cases = cut(training_table(spark, d), "casos")
+        pairs = cut(case_pairs(spark, d, ("COMPLETO",)), "pares")
+        lists = cut(fold_measures(spark, d).where(codes.in_list_a(LEAST_N, LEAST_V) & (F.col("fold") > 0)).select("fold", "block", "level", "code"), "listas")
+        return model.out_of_fold(cases, "encounter_id", "readmit_30d", "fold", kind, MODEL_NUMERIC, MODEL_CATEGORIES, pairs, MODEL_LOGGED, lists=lists)
 
     return run
 

@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from cohortia.operators import codes, evaluate, features, partition, quality
+from cohortia.operators import codes, evaluate, features, model, partition, quality
+from cohortia.plans import modelling
 
 
 def test_association_against_correlation(spark):
@@ -96,3 +97,32 @@ def test_bootstrap_weights_mean_one(spark):
 
 def test_expand_spec():
     assert quality.expand_spec("diagnostico{2-4}") == ["diagnostico2", "diagnostico3", "diagnostico4"] and quality.expand_spec("x") == ["x"]
+
+
+def test_design_divides_marks_by_their_deviation(spark):
+    cases = spark.createDataFrame([(i, "a" if i < 2 else "b", float(i)) for i in range(10)], "id int, c string, x double")
+    pairs = spark.createDataFrame([(i, "D", "COMPLETO", "Z") for i in (0, 9)], "id int, block string, level string, code string")
+    train, vocab = cases.where("id < 8"), model.vocabulary(cases, ["c"], pairs, "id")
+    got = {r["id"]: r["features"] for r in model.design(cases, "id", ["x"], ["c"], {"x": (0.0, 0.0, 1.0)}, vocab, pairs, train=train).collect()}
+    slot = {r["feature"]: r["slot"] + 1 for r in vocab.collect()}
+    level, code = 1 / math.sqrt(0.25 * 0.75), 1 / math.sqrt(0.125 * 0.875)  # 2 and 1 of 8 training rows
+    assert abs(got[0][slot["c=a"]] - level) < 1e-9 and abs(got[9][slot["c=b"]] - level) < 1e-9 and got[9][slot["c=a"]] == 0
+    assert abs(got[9][slot["D|COMPLETO|Z"]] - code) < 1e-9 and got[1][slot["D|COMPLETO|Z"]] == 0
+
+
+def test_only_the_codes_of_the_folds_list_enter(spark):
+    cases = spark.createDataFrame([(i, i % 2 + 1, i // 2 % 2, "a", 0.0) for i in range(80)], "id int, fold int, y int, c string, x double")
+    pairs = spark.createDataFrame([(i, "D", "COMPLETO", "Z") for i in range(80) if i // 2 % 2], "id int, block string, level string, code string")
+    lists = spark.createDataFrame([(1, "D", "COMPLETO", "Z")], "fold int, block string, level string, code string")
+    got = model.out_of_fold(cases, "id", "y", "fold", "LR", ["x"], ["c"], pairs, lists=lists).collect()
+    assert {r["probability"] > 0.6 or r["probability"] < 0.4 for r in got if r["fold"] == 1} == {True}
+    assert {r["probability"] for r in got if r["fold"] == 2} == {0.5}
+
+
+def test_registered_training_is_whole(spark, data, monkeypatch):
+    seen = []
+    monkeypatch.setattr(model, "out_of_fold", lambda *a, **k: seen.append((a, k)))
+    modelling.REG.queries["cv_forest_oof"](spark, data)
+    (_, _, _, _, kind, numeric, categorical, pairs, logged), more = seen[0]
+    assert kind == "RF" and not more.get("small") and {"site", "sex"} <= set(categorical) and {"age", "weight"} <= set(numeric) and set(logged) <= set(numeric)
+    assert pairs.columns == ["encounter_id", "block", "level", "code"] and more["lists"].columns == ["fold", "block", "level", "code"]
