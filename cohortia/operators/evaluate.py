@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortia.functions.draws import draw, poisson_weight
 from cohortia.operators.ordered import running_sums
+from cohortia.session import cut
 
 
 def score_table(df: DataFrame, score: str, label: str, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
@@ -95,10 +96,13 @@ def bootstrap_weights(units: DataFrame, unit: str, draws: int, seed: int = 18) -
 
 
 def bootstrap_metrics(df: DataFrame, unit: str, score: str, label: str, draws: int, seed: int = 18) -> DataFrame:
-    """(draw, auprc, auroc): rows take their unit's weight, computed from a hash in place, so no weights table is joined."""
-    known = df.where(F.col(unit).isNotNull()).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    """(draw, auprc, auroc): rows take their unit's weight, computed from a hash in place, so no weights table is joined. Rows of
+    one unit, score and label are summed before they are drawn, and the table of all draws is made once."""
+    known = df.where(F.col(unit).isNotNull() & F.col(score).isNotNull() & F.col(label).isNotNull())
+    known = known.groupBy(unit, score, label).agg(F.count(F.lit(1)).alias("__n")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     w = poisson_weight(draw(seed, "bootstrap", F.col("draw"), F.col(unit)))
-    return ranking_metrics(score_table(known.withColumn("__w", w).where("__w > 0"), score, label, ("draw",), F.col("__w")), ("draw",))
+    weighed = score_table(known.withColumn("__w", w).where("__w > 0"), score, label, ("draw",), F.col("__w") * F.col("__n"))
+    return ranking_metrics(cut(weighed, "sorteos"), ("draw",))
 
 
 def percentile_interval(draws: DataFrame, columns: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -516,7 +516,8 @@ def calibration_by_newton(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(c[k], 6) for k in ("intercept", "slope_intercept", "slope"))], "intercept double, slope_intercept double, slope double")
 
 
-DRAWS = 20
+DRAWS = 20  # of the queries that have SQL
+ALL_DRAWS = 1000
 _U = sql_draw(18, "bootstrap", "draw", "patient_id")
 
 
@@ -541,8 +542,27 @@ m AS ({_ranking_sql('bw', 'draw', 'w')}), k AS ({_ranking_sql('bx', 'draw', 'w')
 q AS (SELECT avg(d) AS m, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d)
 SELECT 'auroc' AS metric, round(m, 6) AS mean, round(lo, 6) AS low, round(hi, 6) AS high, CASE WHEN hi < -0.02 THEN 'LOSES' WHEN lo > -0.02 THEN 'NOT_WORSE' ELSE 'UNDECIDED' END AS verdict FROM q""")
 def paired_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return _coarse_verdict(spark, d, DRAWS)
+
+
+def _coarse_verdict(spark: SparkSession, d: str, draws: int) -> DataFrame:
     """A coarsened score against the full one over the same draws."""
     rows = cut(scored(spark, d), "puntajes")
-    full = evaluate.bootstrap_metrics(rows, "patient_id", "score", "y", DRAWS)
-    coarse = evaluate.bootstrap_metrics(rows.withColumn("score", F.round("score", 1)), "patient_id", "score", "y", DRAWS)
+    full = evaluate.bootstrap_metrics(rows, "patient_id", "score", "y", draws)
+    coarse = evaluate.bootstrap_metrics(rows.withColumn("score", F.round("score", 1)), "patient_id", "score", "y", draws)
     return evaluate.paired_verdict(coarse, full, "auroc", 0.02)
+
+
+@REG.add("bootstrap_interval_1000")
+def bootstrap_interval_1000(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.percentile_interval(evaluate.bootstrap_metrics(scored(spark, d), "patient_id", "score", "y", ALL_DRAWS), ["auprc", "auroc"])
+
+
+@REG.add("paired_verdict_1000")
+def paired_verdict_1000(spark: SparkSession, d: str) -> DataFrame:
+    return _coarse_verdict(spark, d, ALL_DRAWS)
+
+
+@REG.add("bootstrap_weights_1000")
+def bootstrap_weights_1000(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.bootstrap_weights(scored(spark, d), "patient_id", ALL_DRAWS).select("draw", "patient_id", "w")

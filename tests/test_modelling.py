@@ -126,3 +126,21 @@ def test_registered_training_is_whole(spark, data, monkeypatch):
     (_, _, _, _, kind, numeric, categorical, pairs, logged), more = seen[0]
     assert kind == "RF" and not more.get("small") and {"site", "sex"} <= set(categorical) and {"age", "weight"} <= set(numeric) and set(logged) <= set(numeric)
     assert pairs.columns == ["encounter_id", "block", "level", "code"] and more["lists"].columns == ["fold", "block", "level", "code"]
+
+
+def test_bootstrap_of_a_thousand_draws_is_registered(spark, data, monkeypatch):
+    seen = []
+    whole = evaluate.bootstrap_metrics
+    monkeypatch.setattr(evaluate, "bootstrap_metrics", lambda *a: seen.append(a[4]) or whole(*a[:4], 2))
+    modelling.REG.queries["bootstrap_interval_1000"](spark, data)
+    modelling.REG.queries["paired_verdict_1000"](spark, data)
+    assert seen == [1000] * 3
+
+
+def test_bootstrap_metrics_equal_repeated_rows(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(9), rng.randrange(4) / 4, rng.randrange(2)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "u int, s double, y int")
+    w = {(r["draw"], r["u"]): r["w"] for r in evaluate.bootstrap_weights(df, "u", 3).collect()}
+    for r in evaluate.bootstrap_metrics(df, "u", "s", "y", 3).collect():
+        assert abs(r["auroc"] - brute_auroc([(s, y) for u, s, y in rows for _ in range(w.get((r["draw"], u), 0))])) < 1e-6
