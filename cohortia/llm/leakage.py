@@ -1,13 +1,14 @@
-"""Evaluation passages inside training documents: n-gram seeds, then local alignment."""
+"""Evaluation passages inside training documents: n-gram seeds, an exact bound, then local alignment."""
 
 from __future__ import annotations
 
 import re
 import sys
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,23 +47,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(fold(text)) if text else []
 
 
-def grams(words: list[str], n: int) -> list[str]:
-    return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
-
-
-def pick_seeds(items: list[list[str]], frequency: dict[str, int], n: int) -> dict[str, list[int]]:
-    """n-gram -> items, of every item n-gram that occurs in the corpus, however often: a document and an item that share one are
-    compared, and the score decides."""
-    chosen: dict[str, list[int]] = defaultdict(list)
-    for k, words in enumerate(items):
-        for g in dict.fromkeys(grams(words, n)):
-            if g in frequency:
-                chosen[g].append(k)
-    return dict(chosen)
-
+# ---------------------------------------------------------------- alignment
 
 def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
-    """(best local score, longest run of equal words in both, place in doc after the best alignment), row by row."""
+    """(best local score, longest run of equal words in both, place in doc after the best alignment), row by row. Of equal scores
+    the one reached after the fewest words of both counts, then that with fewest of the item."""
     same = item[:, None] == doc[None, :]
     gain = np.where(same, MATCH, MISMATCH).astype(np.int32)
     slope = GAP * np.arange(1, len(doc) + 1, dtype=np.int32)
@@ -77,8 +66,9 @@ def smith_waterman(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
         row -= slope
         score[i + 1, 1:] = row
         np.multiply(run[i, :-1] + 1, same[i], out=run[i + 1, 1:])
-    place = int(score.argmax())
-    return int(score.flat[place]), int(run.max()), place % (len(doc) + 1)
+    top = int(score.max())
+    place = min(zip(*np.nonzero(score == top)), key=lambda x: (x[0] + x[1], x[0]))[1] if top else 0
+    return top, int(run.max()), int(place)
 
 
 def align(items: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,145 +76,293 @@ def align(items: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray,
     items, -1 in parts for words that the item doesn't have."""
     rows, width, pairs = max(map(len, items)), max(map(len, parts)), len(items)
     kind = np.int16 if MATCH * rows + width < 2**15 else np.int32
-    item, doc = np.full((rows, pairs), -2, kind), np.full((width + 2 * rows, pairs), -1, kind)
+    ids = np.int16 if max(int(x.max()) for x in items) < 2**15 and max(int(x.max()) for x in parts) < 2**15 else np.int32
+    item, doc = np.full((rows, pairs), -2, ids), np.full((width + 2 * rows, pairs), -1, ids)
     for p, (x, y) in enumerate(zip(items, parts)):
         item[: len(x), p] = x
         doc[rows + width - len(y) : rows + width, p] = y[::-1]  # reversed, so that an antidiagonal is one slice
     score, run = ([np.zeros((rows + 1, pairs), kind) for _ in range(3)] for _ in range(2))
-    best, longest, place = np.zeros((rows, pairs), kind), np.zeros((rows, pairs), kind), np.zeros((rows, pairs), kind)
+    best, longest, place = np.zeros(pairs, kind), np.zeros(pairs, kind), np.zeros(pairs, np.int32)
+    same, cell, gap = np.empty((rows, pairs), bool), np.empty((rows, pairs), kind), np.empty((rows, pairs), kind)
     for d in range(rows + width - 1):  # cell (i, d - i); outside the part nothing is equal
-        same = item == doc[(at := rows + width - 1 - d) : at + rows]
+        np.equal(item, doc[(at := rows + width - 1 - d) : at + rows], out=same)
         new, last, before = score[d % 3], score[(d + 2) % 3], score[(d + 1) % 3]
-        cell = before[:-1] + same * kind(MATCH - MISMATCH)
-        cell += kind(MISMATCH)
-        np.maximum(cell, np.maximum(last[:-1], last[1:]) - kind(GAP), out=cell)
+        np.multiply(same, kind(MATCH + GAP), out=cell)  # a gap and another word cost the same, taken off below
+        cell += before[:-1]
+        np.maximum(last[:-1], last[1:], out=gap)
+        np.maximum(cell, gap, out=cell)
+        cell -= kind(GAP)
         np.maximum(cell, 0, out=new[1:])
-        if (more := new[1:] > best).any():
-            np.copyto(place, np.arange(d, d - rows, -1, dtype=kind)[:, None], where=more)
-            np.maximum(best, new[1:], out=best)
-        np.multiply(run[(d + 1) % 3][:-1] + kind(1), same, out=run[d % 3][1:])
-        np.maximum(longest, run[d % 3][1:], out=longest)
-    top = best.argmax(axis=0)
-    across = np.arange(pairs)
-    return best[top, across], longest.max(axis=0), np.where(best[top, across] > 0, place[top, across] + 1, 0)
+        top = new.max(axis=0)
+        if len(more := np.nonzero(top > best)[0]):
+            best[more] = top[more]
+            place[more] = d + 2 - new[:, more].argmax(axis=0)
+        now = run[d % 3]
+        np.add(run[(d + 1) % 3][:-1], kind(1), out=now[1:])
+        now[1:] *= same
+        np.maximum(longest, now.max(axis=0), out=longest)
+    return best, longest, place
+
+
+# ---------------------------------------------------------------- an exact bound
+
+NEAR = 4  # distances up to this are told apart
+
+
+class Marks:
+    """Which words each of many texts holds, and how soon one follows another, in two tables by hash. A clash says that a text holds a
+    word which it doesn't, or holds it sooner, which only loosens the bound."""
+
+    def __init__(self, owner: np.ndarray, flat: np.ndarray) -> None:
+        """owner: whose word each place of flat is; -1 in flat ends a text."""
+        there = flat >= 0
+        self.words = np.zeros(1 << max(10, int(flat.size * 16).bit_length()), bool)
+        self.words[self.slot(owner[there], flat[there], self.words)] = True
+        self.soon = np.full(len(self.words) * NEAR // 2, NEAR + 1, np.int8)
+        for d in range(NEAR, 0, -1):  # the least distance is written last
+            both = there[:-d] & there[d:] & (owner[:-d] == owner[d:])
+            self.soon[self.slot(owner[:-d][both], _pair(flat[:-d][both], flat[d:][both]), self.soon)] = d
+
+    @staticmethod
+    def slot(owner: np.ndarray, word: np.ndarray, table: np.ndarray) -> np.ndarray:
+        mixed = owner.astype(np.uint32) * np.uint32(0x9E3779B1)
+        mixed += word.astype(np.uint32) * np.uint32(0x85EBCA77)
+        mixed ^= mixed >> np.uint32(15)
+        mixed &= np.uint32(len(table) - 1)
+        return mixed
 
 
-def _stretches(places: list[int], reach: int) -> Iterator[tuple[int, int]]:
-    """Hits no more than 2 * reach apart belong to one stretch of the document, widened by reach on both sides.
+def _pair(word: np.ndarray, following: np.ndarray) -> np.ndarray:
+    return word.astype(np.uint32) * np.uint32(0xC2B2AE35) + (following.astype(np.uint32) ^ np.uint32(0x27D4EB2F))
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number) of all numbers in the ranges [low, high)."""
+    size = high - low
+    which = np.repeat(np.arange(len(low)), size)
+    return which, np.arange(len(which)) + np.repeat(low - (np.cumsum(size) - size), size)
+
+
+def trim(flat: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, marks: Marks, min_score: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, from, to) of the parts of the stretches flat[low:high] in which an alignment with text `key` can reach min_score.
+
+    A word of an alignment adds at most MATCH if the text holds it and costs at least 1 if not. Take two words, both held by the text,
+    g apart and with none held between: if the text never has the second less than m behind the first, matching both
+    costs m - g more. Leaving a word out that could match loses MATCH + 1, half of it for either side, so the
+    extra cost of the side counts up to that half. No alignment over some words scores above the sum of these values, and words
+    through which no sum reaches min_score belong to none. The greatest sum through a word is the greatest that ends
+    there plus the greatest that begins there: two running extremes. All values are doubled to stay whole.
+    """
+    usable = np.nonzero(flat >= 0)[0]
+    job, at = _ranges(np.searchsorted(usable, low), np.searchsorted(usable, high))
+    at = usable[at]
+    own = flat[at]
+    held = marks.words[Marks.slot(key[job], own, marks.words)]
+    job, at, own = job[held], at[held], own[held]
+    if not len(job):
+        return job, at, at
+    apart = np.diff(at)
+    soon = marks.soon[Marks.slot(key[job[1:]], _pair(own[:-1], own[1:]), marks.soon)]
+    edge = np.empty(len(job), np.int64)
+    edge[1:] = 2 * (apart - 1) + np.clip(2 * (soon - apart), 0, MATCH + 1)
+    wall = 2 * MATCH * (int((high - low).max()) + 1)  # between two stretches
+    edge[0] = wall
+    new = job[1:] != job[:-1]
+    edge[1:][new] = wall
+    sums = np.cumsum(2 * MATCH - edge)
+    ending = sums + 2 * MATCH - np.minimum.accumulate(sums)
+    rest = np.maximum.accumulate(sums[::-1])[::-1] - sums
+    kept = ending + rest >= 2 * min_score
+    opens = np.ones(len(job), bool)  # no sum that is great enough crosses the side before
+    opens[1:] = new | (ending[:-1] - edge[1:] + 2 * MATCH + rest[1:] < 2 * min_score)
+    first = np.nonzero(kept & opens)[0]
+    after = opens | ~kept
+    stops = np.append(np.nonzero(after)[0], len(job))
+    last = stops[np.searchsorted(stops, first + 1)] - 1
+    return job[first], at[first], at[last] + 1
+
+
+# ---------------------------------------------------------------- the items as arrays
+
+@dataclass
+class ItemIndex:
+    """The query set as sorted arrays: word ids, n-grams built up word by word, and the items of each n-gram."""
+
+    n: int
+    ids: list[int]
+    words: dict[str, int]
+    levels: list[np.ndarray]  # level j: sorted keys (id of the run of j + 1 words) * number of words + next word
+    first: np.ndarray  # items of n-gram g: holders[first[g] : first[g + 1]]
+    holders: np.ndarray
+    flat: np.ndarray  # the items' words in a row, -1 between two
+    begin: np.ndarray  # place of each item in flat
+    length: np.ndarray
+    marks: Marks
+
+    @classmethod
+    def build(cls, ids: list[int], texts: list[list[str]], n: int) -> ItemIndex:
+        words: dict[str, int] = {}
+        tokens = [np.array([words.setdefault(w, len(words)) for w in t], np.int64) for t in texts]
+        flat = np.concatenate([np.append(t, -1) for t in tokens] or [np.empty(0, np.int64)])
+        owner = np.repeat(np.arange(len(tokens)), [len(t) + 1 for t in tokens])
+        levels: list[np.ndarray] = []
+        at, run = np.nonzero(flat >= 0)[0], flat[flat >= 0]
+        for j in range(1, n):
+            key, at = _extend(flat, at, run, j, len(words))
+            level, run = np.unique(key, return_inverse=True)
+            levels.append(level)
+        pairs = np.unique(run * max(len(tokens), 1) + owner[at])
+        grams, holders = np.divmod(pairs, max(len(tokens), 1))
+        first = np.searchsorted(grams, np.arange((int(run.max()) + 1 if len(run) else 0) + 1))
+        begin = np.cumsum([0, *(len(t) + 1 for t in tokens)])[:-1]
+        return cls(n, ids, words, levels, first, holders, flat, begin, np.array([len(t) for t in tokens], np.int64), Marks(owner, flat))
+
+    def hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of every item n-gram in a row of word ids, -1 where no item has the word or a text ends."""
+        at = np.nonzero(flat >= 0)[0]
+        run = flat[at]
+        for j, level in enumerate(self.levels, 1):
+            key, at = _extend(flat, at, run, j, len(self.words))
+            if not len(level):
+                return at[:0], at[:0]
+            run = np.minimum(np.searchsorted(level, key), len(level) - 1)
+            known = level[run] == key
+            at, run = at[known], run[known]
+        many = self.first[run + 1] - self.first[run] if len(run) else run
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(at, many), self.holders[np.repeat(self.first[run], many) + inner]
+
+
+def _extend(flat: np.ndarray, at: np.ndarray, run: np.ndarray, j: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    inside = at + j < len(flat)
+    at, run = at[inside], run[inside]
+    following = flat[at + j]
+    there = following >= 0
+    return run[there] * words + following[there], at[there]
+
+
+# ---------------------------------------------------------------- documents against the index
+
+def _stretches(doc: np.ndarray, item: np.ndarray, at: np.ndarray, reach: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Rows (document, item, from, to): hits of a pair no more than 2 * reach apart form one stretch, widened by reach on both sides.
 
     A local alignment of an item of `reach` words spans at most 3 * reach words, as each gap costs half a match; longer
-    stretches are so cut into pieces that overlap by that much, and no alignment is lost.
+    stretches are cut into pieces that overlap by that much, and no alignment is lost.
     """
-    places = sorted(places)
-    whole, low, high = [], places[0], places[0]
-    for p in places[1:]:
-        if p - high > 2 * reach:
-            whole.append((low - reach, high + reach))
-            low = p
-        high = p
-    whole.append((low - reach, high + reach))
-    piece, overlap = 20 * reach, 3 * reach
-    for a, b in whole:
-        while b - a > piece:
-            yield a, a + piece
-            a += piece - overlap
-        yield a, b
-
-
-def leaks_in(docs: list[list[str]], seeds: dict[str, list[int]], items: list[list[str]], n: int, together: int = 256) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(document, item, score, longest run, from, to) of every document and item that share a seed; the best stretch counts.
-    Pairs of like size are aligned `together` at a time."""
-    jobs: list[tuple[int, int, int, int, int]] = []
-    for at, words in enumerate(docs):
-        hits: dict[int, list[int]] = defaultdict(list)
-        for i, g in enumerate(grams(words, n)):
-            for k in seeds.get(g, ()):
-                hits[k].append(i)
-        for k, places in hits.items():
-            for a, b in _stretches(places, len(items[k])):
-                a = max(0, a)
-                jobs.append((len(items[k]), min(len(words), b + n) - a, at, k, a))
-    jobs.sort()
-    known: dict[int, tuple[dict[str, int], np.ndarray]] = {}
-    found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
-    for j in range(0, len(jobs), together):
-        block = jobs[j : j + together]
-        for _, _, _, k, _ in block:
-            if k not in known:
-                ids: dict[str, int] = {}
-                known[k] = (ids, np.array([ids.setdefault(w, len(ids)) for w in items[k]], np.int32))
-        parts = [np.array([known[k][0].get(w, -1) for w in docs[at][a : a + size]], np.int32) for _, size, at, k, a in block]
-        for (_, _, at, k, a), score, run, end in zip(block, *(x.tolist() for x in align([known[k][1] for _, _, _, k, _ in block], parts))):
-            found[at, k].append((score, run, a, end))
-    for (at, k), stretches in found.items():
-        score, _, a, end = max(stretches, key=lambda x: (x[0], -x[2]))
-        yield at, k, score, max(x[1] for x in stretches), max(0, a + end - len(items[k])), a + end
-
-
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 5, min_score: int = 16, item_block: int = 20_000) -> DataFrame:
+    opens = np.ones(len(at), bool)
+    opens[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * reach[item[1:]])
+    a = np.nonzero(opens)[0]
+    z = np.append(a[1:], len(at)) - 1
+    d, k = doc[a], item[a]
+    low = np.maximum(at[a] - reach[k], begin[d])
+    high = np.minimum(at[z] + n + reach[k], end[d])
+    piece, step = 20 * reach[k], 17 * reach[k]
+    many = 1 + np.maximum(0, -(-(high - low - piece) // np.maximum(step, 1)))
+    turn = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    d, k, low, high, piece, step = (np.repeat(x, many) for x in (d, k, low, high, piece, step))
+    low = low + turn * step
+    return np.stack([d, k, low, np.minimum(high, low + piece)], axis=1)
+
+
+def leaks_in(texts: list[str | None], index: ItemIndex, min_score: int, together: int = 512, room: int = 2_000_000) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(document, item, score, longest run, from, to) of every document and item that share a seed and score min_score or more; the
+    best passage counts. Passages of like size are aligned `together` at a time, stretches bounded `room` words at a time."""
+    rows = [list(map(index.words.get, words_of(t), repeat(-1))) for t in texts]
+    size = np.array([len(r) + 1 for r in rows], np.int64)
+    end = np.cumsum(size) - 1
+    begin = end - size + 1
+    flat = np.full(int(size.sum()), -1, np.int64)
+    flat[np.concatenate([np.arange(b, e) for b, e in zip(begin, end)] or [np.empty(0, np.int64)])] = [w for r in rows for w in r]
+    at, item = index.hits(flat)
+    if not len(at):
+        return
+    doc = np.searchsorted(end, at, side="left")
+    order = np.lexsort((at, item, doc))
+    jobs = _stretches(doc[order], item[order], at[order], index.length, begin, end, index.n)
+    turn = np.cumsum(jobs[:, 3] - jobs[:, 2]) // room
+    edges = np.concatenate([[0], np.nonzero(np.diff(turn))[0] + 1, [len(jobs)]])
+    pieces = [_passages(flat, jobs[a:b], index, min_score) for a, b in zip(edges[:-1], edges[1:])]
+    doc, item, low, high, first, last = (np.concatenate(x) for x in zip(*pieces))
+    found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    order = np.lexsort((last - first, (high - low) // 32))
+    for j in range(0, len(order), together):
+        block = order[j : j + together]
+        score, run, place = align([index.flat[x:y] for x, y in zip(first[block], last[block])], [flat[x:y] for x, y in zip(low[block], high[block])])
+        for q, s, r, p in zip(block.tolist(), score.tolist(), run.tolist(), place.tolist()):
+            if s < min_score:
+                continue
+            pair, at = (int(doc[q]), int(item[q])), int(low[q])
+            best = found.get(pair, (0, 0, 0, 0))
+            better = (s, at, at + p) if (s, -at) > (best[0], -best[2]) else (best[0], *best[2:])
+            found[pair] = (better[0], max(r, best[1]), *better[1:])
+    for (d, k), (s, r, at, to) in found.items():
+        yield d, k, s, r, int(at - begin[d]), int(to - begin[d])
+
+
+def _passages(flat: np.ndarray, jobs: np.ndarray, index: ItemIndex, min_score: int) -> tuple[np.ndarray, ...]:
+    """(document, item, from, to, item from, item to) of what is left of some stretches when both sides are trimmed."""
+    job, low, high = trim(flat, jobs[:, 1], jobs[:, 2], jobs[:, 3], index.marks, min_score)
+    doc, item = jobs[job, 0], jobs[job, 1]
+    passage, place = _ranges(low, high)
+    ends = index.begin[item] + index.length[item]
+    at, first, last = trim(index.flat, np.arange(len(job)), index.begin[item], ends, Marks(passage, flat[place]), min_score)
+    return doc[at], item[at], low[at], high[at], first, last
+
+
+OUT = "doc_id bigint, item_id bigint, puntaje int, racha int, desde int, hasta int"
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, n: int = 5, min_score: int = 16, block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, puntaje, racha, desde, hasta): documents that hold passages of the items.
 
-    1. The items' n-grams are counted over the whole corpus (partial counts per task, then one small aggregate).
-    2. Every item n-gram that occurs is a seed at every size, without any frequency cutoff, so every run of n equal words
-       makes a candidate, and so does an edited copy in which n words in a row are left.
-    3. Documents with a seed are aligned with the seed's item by Smith-Waterman over words around the hits. `puntaje`
-       is the best score (match 2, other word -1, gap -1), which tolerates edits; `racha` the longest run of
-       equal consecutive words. Pairs below min_score are left out.
-
-    The items are the stated query set: they are taken in blocks of item_block to the driver and sent to the tasks,
-    so what is broadcast has a bound; the corpus is only read, never shuffled. Words are runs of letters and digits
-    without case and accents. Empty and missing texts hold nothing, items of fewer than n words can't be
-    found; copies of a document or of an item each give their own rows; empty tables give no rows.
+    1. Every n-gram of an item is a seed, however frequent and at every size of the corpus: each document and item that share one
+       make a candidate, also an edited copy in which n words in a row are left.
+    2. Around the seeds only those words are kept through which an alignment could reach min_score (see passages); this
+       bound is exact and drops nothing that would be reported.
+    3. What is left is aligned by Smith-Waterman over words. `puntaje` is the best score (match 2, other word -1,
+       gap -1), which tolerates edits; `racha` the longest run of equal consecutive words in such a passage; desde and hasta
+       the words between which it lies. Pairs below min_score are left out; min_score is at least 1.
+
+    The items are the stated query set: they come to the driver in blocks of at most block_words words and go to the tasks
+    as arrays, so what is broadcast has a bound in bytes; up to that many words the corpus is read once. It is never
+    shuffled. Words are runs of letters and digits without case and accents. Empty and missing texts hold nothing, items
+    of fewer than n words can't be found; copies of a document or of an item each give their own rows; empty tables
+    give no rows.
     """
     out: DataFrame | None = None
     spark = docs.sparkSession
     pairs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    for block in _blocks(items.select(item_id, item_text).orderBy(item_id), item_block):
-        ids, texts = [r[0] for r in block], [words_of(r[1]) for r in block]
-        wanted = spark.sparkContext.broadcast({g for t in texts for g in grams(t, n)})
-
-        def count(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            seen: dict[str, int] = defaultdict(int)
-            known = wanted.value
-            for b in batches:
-                for t in b.column(1).to_pylist():
-                    for g in grams(words_of(t), n):
-                        if g in known:
-                            seen[g] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "k"])
-
-        frequency = {r["g"]: r["k"] for r in pairs.mapInArrow(count, "g string, k bigint").groupBy("g").agg(F.sum("k").alias("k")).collect()}
-        sent = spark.sparkContext.broadcast((ids, texts, pick_seeds(texts, frequency, n)))
+    for ids, texts in _blocks(items.select(item_id, item_text).orderBy(item_id), block_words):
+        sent = spark.sparkContext.broadcast(ItemIndex.build(ids, texts, n))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, own, seeds = sent.value
+            index = sent.value
             for b in batches:
-                docs = b.column(0).to_pylist()
-                words = [words_of(t) for t in b.column(1).to_pylist()]
+                docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 rows = [
-                    (docs[i + j], names[k], score, run, a, z)
-                    for i in range(0, len(docs), 500)
-                    for j, k, score, run, a, z in leaks_in(words[i : i + 500], seeds, own, n)
-                    if score >= min_score
+                    (docs[i + j], index.ids[k], score, run, a, z)
+                    for i in range(0, len(docs), 2000)
+                    for j, k, score, run, a, z in leaks_in(texts[i : i + 2000], index, max(min_score, 1))
                 ]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
                 columns = zip(*rows) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "puntaje", "racha", "desde", "hasta"])
 
-        part = pairs.mapInArrow(search, "doc_id bigint, item_id bigint, puntaje int, racha int, desde int, hasta int")
+        part = pairs.mapInArrow(search, OUT)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "doc_id bigint, item_id bigint, puntaje int, racha int, desde int, hasta int")
-    return out
+    return spark.createDataFrame([], OUT) if out is None else out
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[list]:
+def _blocks(items: DataFrame, most_words: int) -> Iterator[tuple[list[int], list[list[str]]]]:
     """The query set in blocks; at most one partition's rows wait on the driver."""
-    held: list = []
+    ids, texts, size = [], [], 0
     for r in items.toLocalIterator():
-        held.append(r)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+        words = words_of(r[1])
+        if ids and size + len(words) > most_words:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(r[0])
+        texts.append(words)
+        size += len(words)
+    if ids:
+        yield ids, texts
