@@ -49,19 +49,28 @@ def dealt_discharges(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(named, "grupo", targets)
 
 
-@REG.add("p2_split")
+SPLIT_SQL = f"""WITH RECURSIVE {COMPONENTS_SQL},
+g AS (SELECT d.id_egreso, d.id_paciente, d.bloque_id, coalesce(c.grupo, d.id_paciente) AS grupo FROM grd_depurado d LEFT JOIN c ON c.nodo = d.id_paciente WHERE d.id_persona IS NOT NULL),
+k AS (SELECT grupo, arg_min(conjunto, -ln((CAST('0x' || substr(md5('conjunto|' || conjunto || '|' || CAST(grupo AS VARCHAR)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / proporcion) AS conjunto
+  FROM (SELECT DISTINCT grupo FROM g WHERE grupo IS NOT NULL), metas_particion WHERE proporcion > 0 GROUP BY grupo),
+z AS (SELECT g.*, k.conjunto FROM g LEFT JOIN k USING (grupo))"""
+
+
+@REG.add("p2_split", f"{SPLIT_SQL} SELECT id_egreso, id_paciente, bloque_id, grupo, conjunto FROM z")
 def p2_split(spark: SparkSession, d: str) -> DataFrame:
     """Every discharge with a person and its set; all discharges of a patient's identifiers are in one."""
     return dealt_discharges(spark, d).select("id_egreso", "id_paciente", "bloque_id", "grupo", "conjunto")
 
 
-@REG.add("p2_balance")
+@REG.add("p2_balance", f"""{SPLIT_SQL}
+SELECT m.conjunto, m.proporcion, n.egresos, n.grupos, n.egresos::DOUBLE / (SELECT count(*) FROM z WHERE conjunto IS NOT NULL) AS lograda
+FROM metas_particion m LEFT JOIN (SELECT conjunto, count(*) AS egresos, count(DISTINCT grupo) AS grupos FROM z GROUP BY 1) n USING (conjunto)""")
 def p2_balance(spark: SparkSession, d: str) -> DataFrame:
     """Discharges, groups and the reached share of each set beside its target."""
     sizes = dealt_discharges(spark, d).groupBy("conjunto", "grupo").agg(F.count(F.lit(1)).alias("n"))
     sets = cut(sizes.groupBy("conjunto").agg(F.sum("n").alias("egresos"), F.count(F.lit(1)).alias("grupos")), "balance")
     goals = table(spark, d, "metas_particion")
-    total = sets.agg(F.sum("egresos").alias("t"))
+    total = sets.where("conjunto IS NOT NULL").agg(F.sum("egresos").alias("t"))
     return goals.join(sets, "conjunto", "left").withColumn("lograda", F.col("egresos") / total.scalar())
 
 

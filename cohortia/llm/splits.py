@@ -88,13 +88,22 @@ def rendezvous(group: str, weights: list[tuple[str, float]], seed: str = "conjun
     return F.array_min(F.array(*(F.struct(score(s, w).alias("k"), F.lit(s).alias("v")) for s, w in live)))["v"]
 
 
-def assign_splits(rows: DataFrame, group: str, targets: list[tuple[str, float]], heavy_share: int = 500) -> DataFrame:
-    """rows with `conjunto`: every group in one set, the sets' shares of rows near the targets.
+def assign_splits(rows: DataFrame, group: str, targets: list[tuple[str, float]]) -> DataFrame:
+    """rows with `conjunto`: every group in one set, by weighted rendezvous hashing with the targets as weights.
 
-    Groups with at least 1/heavy_share of all rows, of which there are at most heavy_share, would upset the
-    shares if they fell by chance alone. They are dealt first, largest first, each by rendezvous hashing over what
-    the sets still lack; the other groups are hashed with the rest as weights, without any exchange of state. A
-    missing group is a row of its own kind: it gets a null set. Targets are scaled to sum to 1.
+    A group's set depends on its name, the sets and their weights alone: adding rows or groups moves no other, at any size. The
+    expected shares are the targets; a group with a tenth of all rows falls as it falls, so the reached shares belong into a report.
+    Where they matter more than stability, balanced_splits deals large groups by room. A missing group gets a null set.
+    """
+    return rows.withColumn("conjunto", F.when(F.col(group).isNotNull(), rendezvous(group, targets)))
+
+
+def balanced_splits(rows: DataFrame, group: str, targets: list[tuple[str, float]], heavy_share: int = 500) -> DataFrame:
+    """Like assign_splits, but the sets' shares of rows come near the targets even where single groups are large.
+
+    Groups with at least 1/heavy_share of all rows, of which there are at most heavy_share, are dealt first, largest first, each by
+    rendezvous hashing over what the sets still lack; the other groups are hashed with the rest as weights. A group's set so
+    depends on the large groups too.
     """
     sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     sizes = cut(sizes, "grupos")

@@ -55,24 +55,33 @@ def test_torn_groups(spark):
 TARGETS = [("D", 0.7), ("V", 0.1), ("P", 0.2)]
 
 
-def test_shares_and_groups_whole(spark):
-    sizes = [400, 150] + [1] * 20_000
+@pytest.mark.parametrize("deal", [splits.assign_splits, splits.balanced_splits])
+def test_shares_and_groups_whole(spark, deal):
+    sizes = ([400, 150] if deal is splits.balanced_splits else []) + [1] * 20_000
     rows = [(g,) for g, n in enumerate(sizes) for _ in range(n)]
-    out = splits.assign_splits(spark.createDataFrame([*rows, (None,)], "g bigint"), "g", TARGETS)
+    out = deal(spark.createDataFrame([*rows, (None,)], "g bigint"), "g", TARGETS)
     got = out.collect()
     n = Counter(r["conjunto"] for r in got)
     assert n[None] == 1
     for s, w in TARGETS:
         assert abs(n[s] / len(rows) - w) < 0.01
     assert len({(r["g"], r["conjunto"]) for r in got}) == len(sizes) + 1
-    again = splits.assign_splits(spark.createDataFrame([*reversed(rows)], "g bigint"), "g", TARGETS)
+    again = deal(spark.createDataFrame([*reversed(rows)], "g bigint"), "g", TARGETS)
     assert {(r["g"], r["conjunto"]) for r in again.collect()} == {(r["g"], r["conjunto"]) for r in got if r["g"] is not None}
 
 
-def test_dominant_group_and_empty(spark):
-    out = splits.assign_splits(spark.createDataFrame([(1,)] * 90 + [(2,)] * 10, "g bigint"), "g", TARGETS)
+def test_a_large_group_moves_no_other(spark):
+    alone = spark.range(20_000).withColumnRenamed("id", "g")
+    joined = alone.unionByName(spark.range(3_000).select(F.lit(99_999).cast("bigint").alias("g")))
+    a, b = ({r["g"]: r["conjunto"] for r in splits.assign_splits(x, "g", TARGETS).collect()} for x in (alone, joined))
+    assert all(b[g] == s for g, s in a.items())
+
+
+@pytest.mark.parametrize("deal", [splits.assign_splits, splits.balanced_splits])
+def test_dominant_group_and_empty(spark, deal):
+    out = deal(spark.createDataFrame([(1,)] * 90 + [(2,)] * 10, "g bigint"), "g", TARGETS)
     assert len({(r["g"], r["conjunto"]) for r in out.collect()}) == 2
-    assert splits.assign_splits(spark.createDataFrame([], "g bigint"), "g", TARGETS).count() == 0
+    assert deal(spark.createDataFrame([], "g bigint"), "g", TARGETS).count() == 0
 
 
 def test_rendezvous_is_consistent(spark):
