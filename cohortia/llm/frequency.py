@@ -69,8 +69,9 @@ def ngram_intervals(tokens: np.ndarray, record: np.ndarray, depth: int) -> Itera
         yield n, sa[opens], width, width - repeats
 
 
-def block_counts(columns: list[pa.Array], depth: int) -> Iterator[tuple[list[str], int, int, int]]:
-    """(n-gram, n, occurrences, records) of one block of records; columns are the repeated columns in order."""
+def block_counts(columns: list[pa.Array], depth: int, lengths: tuple[int, ...] | None = None) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
+    """(n-grams, n, occurrences, records) per length of one block of records; columns are the repeated columns in order. lengths
+    names the n to give, all up to depth by default."""
     rows = len(columns[0])
     coded = pa.chunked_array([pa.concat_arrays([c.cast(pa.string()) for c in columns])]).combine_chunks().dictionary_encode()
     names: dict[str, int] = {}
@@ -79,46 +80,50 @@ def block_counts(columns: list[pa.Array], depth: int) -> Iterator[tuple[list[str
     grid = ids[index].reshape(len(columns), rows).T
     there = grid >= 0
     tokens, record = grid[there], np.nonzero(there)[0]
-    words = list(names)
+    words = pa.array(list(names), pa.string())
     for n, at, occ, rec in ngram_intervals(tokens, record, depth):
-        grams = tokens[at[:, None] + np.arange(n)]
-        for g, o, r in zip(grams.tolist(), occ.tolist(), rec.tolist()):
-            yield [words[i] for i in g], n, o, r
-
-
-def ngram_counts(df: DataFrame, blocks: dict[str, list[str]], depth: int = 1, block_rows: int = 100_000) -> DataFrame:
-    """(bloque, ngrama, n, ocurrencias, registros) of every run of 1..depth codes in the repeated columns.
-
-    blocks maps a name to its numbered columns. Codes are read (trimmed, upper case, no-data words missing);
-    missing values between filled columns are passed over. Each task cuts its records into blocks of block_rows and
-    builds one suffix array per block, so memory is bounded; as a record lies in one block, both counts add
-    up, and a code held by a third of all records is one row per block. A repeated record counts each time. Empty
-    tables and columns without codes give no rows; other columns aren't read.
+        if lengths is None or n in lengths:
+            spelled = words.take(pa.array(tokens[at[:, None] + np.arange(n)].ravel()))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * n), spelled), n, occ, rec
+
+
+def ngram_counts(
+    df: DataFrame, blocks: dict[str, list[str]], depth: int | None = None, lengths: tuple[int, ...] | None = None, block_rows: int = 100_000,
+) -> DataFrame:
+    """(bloque, ngrama, n, ocurrencias, registros) of every run of codes in the repeated columns.
+
+    blocks maps a name to its numbered columns. Suffixes are ordered by all that a record can hold (depth, by default the number of
+    columns), so runs of every length are intervals of one array; lengths names those to give, all by default. Codes are read
+    (trimmed, upper case, no-data words missing); missing values between filled columns are passed over. Each task
+    cuts its records into blocks of block_rows and builds one suffix array per block, so memory is bounded; as a record
+    lies in one block, both counts add up, and a code held by a third of all records is one row per block. A repeated
+    record counts each time. Empty tables and columns without codes give no rows; other columns aren't read.
     """
     wanted = [c for cols in blocks.values() for c in cols]
     narrow = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(wanted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            whole, out, k = pa.Table.from_batches(held).combine_chunks(), ([], [], [], [], []), 0
+        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole, k = pa.Table.from_batches(held).combine_chunks(), 0
             for name, cols in blocks.items():
                 arrays = [whole.column(k + i).combine_chunks() for i in range(len(cols))]
                 arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays]
                 k += len(cols)
-                for row in block_counts(arrays, depth):
-                    for held_column, value in zip(out, (name, *row)):
-                        held_column.append(value)
-            kinds = (pa.string(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["bloque", "ngrama", "n", "ocurrencias", "registros"])
+                for grams, n, occ, rec in block_counts(arrays, depth or len(cols), lengths):
+                    size = len(grams)
+                    columns = [pa.repeat(pa.scalar(name, pa.string()), size), grams, pa.repeat(pa.scalar(n, pa.int32()), size), pa.array(occ, pa.int64()), pa.array(rec, pa.int64())]
+                    made = pa.RecordBatch.from_arrays(columns, ["bloque", "ngrama", "n", "ocurrencias", "registros"])
+                    for at in range(0, size, 50_000):
+                        yield made.slice(at, 50_000)
 
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) >= block_rows:
-                yield flush(held)
+                yield from flush(held)
                 held = []
         if any(b.num_rows for b in held):
-            yield flush(held)
+            yield from flush(held)
 
     partial = narrow.mapInArrow(run, COUNTS)
     return partial.groupBy("bloque", "ngrama", "n").agg(F.sum("ocurrencias").alias("ocurrencias"), F.sum("registros").alias("registros"))

@@ -127,7 +127,7 @@ t AS (SELECT count(*) AS n FROM grd_2019_2024)"""
 
 def code_frequencies(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "grd_2019_2024")
-    found = frequency.ngram_counts(rows, {"DIAGNOSTICO": DX, "PROCEDIMIENTO": PX}, depth=1)
+    found = frequency.ngram_counts(rows, {"DIAGNOSTICO": DX, "PROCEDIMIENTO": PX}, lengths=(1,))
     listed = table(spark, d, "filtro_codigos").where("nivel = 'COMPLETO'").select("bloque", read_value("codigo").alias("codigo"))
     listed = listed.where("bloque IS NOT NULL AND codigo IS NOT NULL").distinct()
     counts = found.select("bloque", F.col("ngrama")[0].alias("codigo"), "ocurrencias", "registros").join(listed, ["bloque", "codigo"], "full")
@@ -157,13 +157,13 @@ def _runs_sql(n: int) -> str:
 @REG.add("p7_sequences", "WITH z AS (" + " UNION ALL ".join(
     f"SELECT id_egreso, '{b}' AS bloque, list_filter([{', '.join(map(sql_read, cols))}], lambda c: c IS NOT NULL) AS codigos FROM grd_2019_2024"
     for b, cols in (("DIAGNOSTICO", DX), ("PROCEDIMIENTO", PX))
-) + "), r AS (" + " UNION ALL ".join(_runs_sql(n) for n in (1, 2, 3)) + """)
-SELECT bloque, secuencia, n, count(*) AS ocurrencias, count(DISTINCT id_egreso) AS registros FROM r GROUP BY ALL HAVING count(DISTINCT id_egreso) >= 2
+) + "), r AS (" + " UNION ALL ".join(_runs_sql(n) for n in range(1, len(DX) + 1)) + """)
+SELECT bloque, secuencia, n, count(*) AS ocurrencias, count(DISTINCT id_egreso) AS registros, count(DISTINCT id_egreso) < 5 AS raro FROM r GROUP BY ALL
 """)
 def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of one to three codes that at least two records hold."""
-    found = frequency.ngram_counts(table(spark, d, "grd_2019_2024"), {"DIAGNOSTICO": DX, "PROCEDIMIENTO": PX}, depth=3)
-    return found.where("registros >= 2").select("bloque", F.array_join("ngrama", " ").alias("secuencia"), "n", "ocurrencias", "registros")
+    """Every run of one code or more that a record holds, up to whole records; those in fewer than 5 records are marked."""
+    found = frequency.ngram_counts(table(spark, d, "grd_2019_2024"), {"DIAGNOSTICO": DX, "PROCEDIMIENTO": PX})
+    return found.select("bloque", F.array_join("ngrama", " ").alias("secuencia"), "n", "ocurrencias", "registros", (F.col("registros") < 5).alias("raro"))
 
 
 # ---------------------------------------------------------------- 8: evaluation texts leaking into training text

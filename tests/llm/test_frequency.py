@@ -27,7 +27,7 @@ def test_against_brute_force(spark, depth, block_rows):
     rng = random.Random(depth)
     rows = [tuple(rng.choice(["a", " A", "b", "c", "ignorado", "", None]) for _ in range(6)) + ("x", "y") for _ in range(150)]
     rows += [("a", "a", "a", "a", None, None, "x", "y")] * 3 + [(None,) * 8, ("a" * 5000, None, None, None, "ñ", "Ñ", "x", "y")]
-    got = {(r["bloque"], tuple(r["ngrama"])): (r["ocurrencias"], r["registros"]) for r in frequency.ngram_counts(spark.createDataFrame(rows, SCHEMA), {"D": D, "P": P}, depth, block_rows).collect()}
+    got = {(r["bloque"], tuple(r["ngrama"])): (r["ocurrencias"], r["registros"]) for r in frequency.ngram_counts(spark.createDataFrame(rows, SCHEMA), {"D": D, "P": P}, depth, block_rows=block_rows).collect()}
     assert got == brute(rows, depth)
 
 
@@ -39,3 +39,12 @@ def test_marks_and_empty(spark):
     tiny = {r["codigo"]: r["marcas"] for r in frequency.mark_frequencies(counts, spark.createDataFrame([(50,)], "n bigint")).collect()}
     assert tiny["r"] == ["RARO", "COMUN"] and tiny["m"] == ["COMUN"]
     assert frequency.ngram_counts(spark.createDataFrame([], SCHEMA), {"D": D}, 2).count() == 0
+
+
+def test_single_codes_are_the_first_intervals_of_the_whole_array(spark):
+    rng = random.Random(3)
+    rows = [tuple(rng.choice(["a", "b", "c", None]) for _ in range(6)) + ("x", "y") for _ in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = {(r["bloque"], tuple(r["ngrama"])): (r["ocurrencias"], r["registros"]) for r in frequency.ngram_counts(df, {"D": D, "P": P}).collect()}
+    single = {(r["bloque"], tuple(r["ngrama"])): (r["ocurrencias"], r["registros"]) for r in frequency.ngram_counts(df, {"D": D, "P": P}, lengths=(1,)).collect()}
+    assert whole == brute(rows, 4) and single == {k: v for k, v in whole.items() if len(k[1]) == 1}
