@@ -21,21 +21,28 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @lru_cache(maxsize=4)
-def encoding(path: str):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def vocabulary_file(tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> bytes:
+    with open(f"{tokenizers}/{vocabulary}", "rb") as f:
+        return f.read()
+
+
 def count_tokens(docs: DataFrame, text: str, keep: list[str], tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """keep columns and `tokens`, the number of tokens of the whole text; a missing text has 0."""
-    path = f"{tokenizers}/{vocabulary}"
+    """keep columns and `tokens`, the number of tokens of the whole text; a missing text has 0.
+
+    The vocabulary file is read where the driver runs and sent with the job, so executors need no copy of it.
+    """
     rows = docs.select(*keep, F.col(text).alias("__text"))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary_file(tokenizers, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoding(path)
+        own = encoding(sent.value)
         for b in batches:
             sizes = [len(own.encode_ordinary(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(sizes, pa.int64())], [*keep, "tokens"])

@@ -196,10 +196,12 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- 9: mixing sources to target weights
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts with more tokens are likelier, by the logarithm, so that stubs give way."""
     goals = table(spark, d, "mezcla_fuentes")
-    sized = cut(mixing.count_tokens(table(spark, d, "documents"), "text", ["doc_id", "source"]), "tokens")
+    counted = mixing.count_tokens(table(spark, d, "documents"), "text", ["doc_id", "source"])
+    sized = cut(counted.withColumn("peso", F.log1p("tokens")), "tokens")
     targets = [(r["source"], r["peso_objetivo"], r["max_repeticiones"]) for r in goals.collect()]
-    return sized, mixing.mix_sources(sized, "doc_id", "source", targets), goals
+    return sized, mixing.mix_sources(sized, "doc_id", "source", targets, weight="peso"), goals
 
 
 @REG.add("p9_mix")
@@ -213,6 +215,22 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(sized, mix, "source", goals)
 
 
+@REG.add("p9_kept", "SELECT source, true AS dentro_del_maximo, true AS cuota_cumplida, true AS una_vez FROM mezcla_fuentes")
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What a mix must keep: no document more often than its source's cap, each source's tokens within one document of its
+    share of the whole, no document twice in the mix."""
+    sized, mix, goals = _mix(spark, d)
+    longest = sized.groupBy("source").agg(F.max("tokens").alias("mayor"))
+    mix = cut(mix, "mezcla")
+    repeated = mix.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("k")).groupBy("source").agg(F.max("k").alias("veces"))
+    report = mixing.mix_report(sized, mix, "source", goals).join(longest, "source", "left").join(repeated, "source", "left")
+    whole = mix.agg(F.sum(F.col("tokens") * F.col("copias")).alias("t"))
+    return report.select(
+        "source", (F.col("repeticiones_maximas") <= F.col("max_repeticiones")).alias("dentro_del_maximo"),
+        (F.abs(F.col("tokens_mezcla") - F.col("peso_objetivo") * whole.scalar()) <= F.col("mayor")).alias("cuota_cumplida"), (F.col("veces") == 1).alias("una_vez"),
+    )
+
+
 # ---------------------------------------------------------------- 10: reading level of each document
 
 def levels(spark: SparkSession, d: str) -> DataFrame:

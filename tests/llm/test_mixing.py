@@ -64,7 +64,7 @@ def test_ties_and_repeated_ids(spark):
 
 def test_tokens(spark):
     try:
-        own = mixing.encoding(f"{mixing.TOKENIZERS}/{mixing.VOCABULARY}")
+        own = mixing.encoding(mixing.vocabulary_file())
     except OSError:
         pytest.skip("the vocabulary files are not here")
     texts = ["", None, "hola mundo", "<|endoftext|>", "a " * 30_000, "x" * 5000]
