@@ -68,10 +68,11 @@ def join_with_hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot:
     return spread.join(right.withColumn("__salt", F.explode(copies)), [*keys, "__salt"], how).drop("__salt")
 
 
-def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", broadcast_rows: int = 200_000) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", broadcast_rows: int = 200_000, size: int | None = None) -> DataFrame:
     """Join in which right is counted first: up to broadcast_rows it is broadcast and left isn't shuffled at all;
-    beyond, both are shuffled, with the values of keys[0] that hold at least 1/64 of left's rows salted."""
-    if right.count() <= broadcast_rows:
+    beyond, both are shuffled, with the values of keys[0] that hold at least 1/64 of left's rows salted. size is given
+    where the caller knows it, or where a row of right holds a list and the entries count."""
+    if (right.count() if size is None else size) <= broadcast_rows:
         return left.join(F.broadcast(right), keys, how)
     kind = left.schema[keys[0]].dataType
     hot = [r["clave"] for r in heavy_keys(left, {keys[0]: F.col(keys[0])}, per=64).collect()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +143,27 @@ def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumns(rounded).withColumn("dia", F.date_from_unix_date("dia"))
 
 
+@REG.add("p3_calendar", f"""
+WITH {STAYS_SQL},
+a AS (SELECT id_persona, ingreso AS dia, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT id_persona, unnest(range(first, {END_DAY} + 1)) AS dia FROM (SELECT id_persona, min(dia) AS first FROM a GROUP BY 1)),
+t AS (SELECT id_persona, dia, sum(coalesce(n, 0)) OVER w7 AS i7, sum(coalesce(n, 0)) OVER w30 AS i30 FROM c LEFT JOIN a USING (id_persona, dia)
+  WINDOW w7 AS (PARTITION BY id_persona ORDER BY dia RANGE BETWEEN 6 PRECEDING AND CURRENT ROW),
+         w30 AS (PARTITION BY id_persona ORDER BY dia RANGE BETWEEN 29 PRECEDING AND CURRENT ROW))
+SELECT id_persona, count(*) AS dias, count(*) FILTER (i30 = 0) AS dias_sin_ingreso, CAST(max(i7) AS BIGINT) AS mayor_7, CAST(max(i30) AS BIGINT) AS mayor_30,
+  round(avg(i7), 6) AS media_7, round(avg(i30), 6) AS media_30 FROM t GROUP BY 1
+""")
+def p3_calendar(spark: SparkSession, d: str) -> DataFrame:
+    """Every day of every person from the first admission to the end, days without any included, summed up per person."""
+    events = valid_stays(table(spark, d, "grd_depurado")).select("id_persona", F.col("ingreso").alias("dia"), F.lit(1).alias("ingresos"))
+    t = rolling.rolling_totals(events, "id_persona", "dia", ["ingresos"], (7, 30), END_DAY, whole=True)
+    mean = lambda c: F.round(F.avg(c), 6)
+    return t.groupBy("id_persona").agg(
+        F.count(F.lit(1)).alias("dias"), F.count(F.when(F.col("ingresos_30") == 0, 1)).alias("dias_sin_ingreso"), F.max("ingresos_7").alias("mayor_7"),
+        F.max("ingresos_30").alias("mayor_30"), mean("ingresos_7").alias("media_7"), mean("ingresos_30").alias("media_30"),
+    )
+
+
 # ---------------------------------------------------------------- 4: continuous periods and gaps
 
 PERIODS_SQL = f"""{STAYS_SQL},
@@ -212,13 +236,45 @@ state AS (
   FROM refs r WHERE codigo IS NOT NULL)"""
 
 
+def yearly_batches(spark: SparkSession, d: str) -> Iterator[tuple[DataFrame, DataFrame, int]]:
+    """(new references, arriving spans, year): each file year's references, and the spans that begin by then. References without a
+    year come first; spans that begin after the last year come with it, so that in the end all have arrived."""
+    rows, parents = table(spark, d, "grd_depurado"), cut(catalog_spans(spark, d), "catalogos")
+    begins = F.coalesce(F.year(F.date_from_unix_date("desde")), F.lit(0))
+    years = [r[0] for r in rows.where("anio_archivo IS NOT NULL").select("anio_archivo").distinct().orderBy("anio_archivo").collect()] or [0]
+    for i, year in enumerate(years):
+        own, due = F.col("anio_archivo") == year, F.lit(True)
+        if i == 0:
+            own = own | F.col("anio_archivo").isNull()
+        else:
+            due = due & (begins > years[i - 1])
+        if i < len(years) - 1:
+            due = due & (begins <= year)
+        yield discharge_refs(rows.where(own)), parents.where(due), int(year)
+
+
 @REG.add("p6_found", f"WITH {REFS_SQL} SELECT id_egreso, campo FROM state WHERE NOT hallado")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    refs = discharge_refs(table(spark, d, "grd_depurado"))
-    state = references.advance(references.empty_state(spark), refs, catalog_spans(spark, d), keep_settled=False)
+    """Orphans that still wait after all yearly batches."""
+    state = references.empty_state(spark)
+    for new, arrived, _ in yearly_batches(spark, d):
+        state = references.store(references.advance(state, new, arrived, keep_settled=False))
     return state.pending.select(F.col("id").alias("id_egreso"), "campo")
 
 
+@REG.add("p6_reopened", f"""
+WITH {REFS_SQL.replace("state AS", f"still AS (SELECT * FROM cat WHERE hasta IS NULL OR hasta >= DATE '1970-01-01' + {END_DAY}), state AS").replace("FROM cat c", "FROM still c")}
+SELECT campo, CAST(year(dia) AS INTEGER) AS anio, count(*) AS pendientes FROM state WHERE NOT hallado GROUP BY ALL
+""")
+def p6_reopened(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans per field and year when, after all batches, the catalog rows that have run out are deleted."""
+    state = references.empty_state(spark)
+    for new, arrived, _ in yearly_batches(spark, d):
+        state = references.store(references.advance(state, new, arrived))
+    state = references.advance(state, removed=state.parents.where(F.col("hasta") < END_DAY))
+    return references.snapshot(state)
+
+
 @REG.add("p6_counts", f"""
 WITH {REFS_SQL}
 SELECT campo, CAST(year(dia) AS INTEGER) AS anio, count(*) AS referencias,
@@ -242,22 +298,14 @@ x AS (SELECT s.campo, s.codigo, s.dia, g.anio_archivo FROM state s JOIN grd_depu
 y AS (
   SELECT b.lote, x.campo, CAST(year(x.dia) AS INTEGER) AS anio FROM b JOIN x ON x.anio_archivo <= b.lote
   WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.campo = x.campo AND c.codigo = x.codigo
-    AND (c.desde IS NULL OR year(c.desde) <= b.lote)
+    AND (c.desde IS NULL OR year(c.desde) <= b.lote OR b.lote = (SELECT max(lote) FROM b))
     AND (x.dia IS NULL OR (coalesce(c.desde, x.dia) <= x.dia AND coalesce(c.hasta, x.dia) >= x.dia))))
 SELECT CAST(lote AS INTEGER) AS lote, campo, anio, count(*) AS pendientes FROM y GROUP BY ALL
 """)
 def p6_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Pending orphans after each yearly batch of references and of catalog spans that begin in that year."""
-    rows, parents = table(spark, d, "grd_depurado"), catalog_spans(spark, d)
-    begins = F.coalesce(F.year(F.date_from_unix_date("desde")), F.lit(0))
-    years = [r[0] for r in rows.select("anio_archivo").distinct().orderBy("anio_archivo").collect()]
-    state, shots, before = references.empty_state(spark), [], -1
-    for year in years:
-        new = discharge_refs(rows.where(F.col("anio_archivo") == year))
-        state = references.advance(state, new, parents.where((begins > before) & (begins <= year)), keep_settled=False)
-        state.pending, before = cut(state.pending, "pendientes"), year
-        shots.append(references.snapshot(state).select(F.lit(int(year)).alias("lote"), "campo", "anio", "pendientes"))
-    out = shots[0]
-    for s in shots[1:]:
-        out = out.unionByName(s)
-    return out
+    """Pending orphans after each yearly batch of references and of catalog spans that begin by then."""
+    state, shots = references.empty_state(spark), []
+    for new, arrived, year in yearly_batches(spark, d):
+        state = references.store(references.advance(state, new, arrived, keep_settled=False))
+        shots.append(references.snapshot(state).select(F.lit(year).alias("lote"), "campo", "anio", "pendientes"))
+    return reduce(DataFrame.unionByName, shots)

@@ -33,6 +33,17 @@ def test_late_parents_and_deletions(spark):
     assert ids(s) == [3, 5]
 
 
+def test_state_is_taken_up_again(spark, tmp_path):
+    refs, spans = frames(spark)
+    R.store(R.advance(R.empty_state(spark), refs), f"{tmp_path}/one")
+    s = R.store(R.advance(R.load_state(spark, f"{tmp_path}/one"), arrived=spans), f"{tmp_path}/two")
+    assert ids(s) == [2, 3, 5] and sorted(r["id"] for r in s.settled.collect()) == [1, 1, 4]
+    gone = spark.createDataFrame([("h", "C", 3, 4), ("h", "nothing", 1, 2)], R.SPAN)
+    assert ids(R.advance(R.load_state(spark, f"{tmp_path}/two"), removed=gone)) == [2, 3, 4, 5]
+    both = R.advance(s, arrived=spark.createDataFrame([("h", "Z", 1, 2)], R.SPAN), removed=spark.createDataFrame([("h", "Z", 1, 2)], R.SPAN))
+    assert ids(both) == [2, 3, 5]
+
+
 def test_shuffled_probe_equals_broadcast(spark):
     refs, spans = frames(spark)
     a = R.probe(refs, spans).collect()
