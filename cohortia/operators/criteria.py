@@ -40,21 +40,44 @@ def false_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def disjoint_kinds(periodic: tuple[str, ...], unplanned: tuple[str, ...] | None) -> None:
+    """Raises ValueError if an admission type of periodic treatments also counts as unplanned: the rule takes cases only, so such an
+    admission would still count as a re-admission."""
+    if both := set(periodic) & set(unplanned or ()):
+        raise ValueError(f"types that are both periodic and unplanned: {sorted(both)}")
+
+
+def trackable(rules: list[Rule]) -> Column:
+    """A row that can be followed: it has a person and dates in order and meets no active rule of the role BOTH."""
+    out = F.col("person_id").isNotNull() & (F.col("discharge") >= F.col("admit"))
+    for r in rules:
+        if r.active and r.role == "BOTH":
+            out = out & ~F.col(r.flag)
+    return false_if_null(out)
+
+
+def mark_not_final(df: DataFrame) -> DataFrame:
+    """Adds not_final: a trackable row that isn't the last of its episode's trackable rows by (discharge, admit, id). The last is a
+    max over structs, one state per task and episode."""
+    rows = df.where("trackable AND episode_id IS NOT NULL")
+    last = rows.groupBy("episode_id").agg(F.max(F.struct("discharge", "admit", "encounter_id")).alias("z"))
+    ends = last.select(F.col("z.encounter_id").alias("encounter_id"), F.lit(True).alias("__final"))
+    return df.join(ends, "encounter_id", "left").withColumn("not_final", F.col("trackable") & F.col("__final").isNull()).drop("__final")
+
+
 def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds reason (first active rule met, in table order), is_case and may_readmit.
+    """Adds reason (first active rule met, in table order), is_case (none met) and may_readmit.
 
-    may_readmit: no active BOTH rule is met and the row opens an episode (encounter_id = episode_id).
+    df has one boolean column per rule and trackable; may_readmit: a trackable row that opens an episode
+    (encounter_id = episode_id). A rule of the role CASE removes the row as a case only.
     """
     reason = F.lit(None).cast("string")
-    trackable = F.lit(True)
     for r in reversed(rules):
         if r.active:
             reason = F.when(F.col(r.flag), r.code).otherwise(reason)
-            if r.role == "BOTH":
-                trackable = trackable & ~F.col(r.flag)
     out = df.withColumn("reason", reason)
     opens = F.col("encounter_id").eqNullSafe(F.col("episode_id"))
-    return out.withColumn("is_case", F.col("reason").isNull()).withColumn("may_readmit", trackable & opens)
+    return out.withColumn("is_case", F.col("reason").isNull()).withColumn("may_readmit", F.col("trackable") & opens)
 
 
 def waterfall(df: DataFrame, rules: list[Rule]) -> DataFrame:

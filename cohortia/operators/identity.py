@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortia.operators.skew import sized_join
+from cohortia.session import cut
+
 
 def identity_combinations(df: DataFrame) -> DataFrame:
-    """(patient_id, combos, births, sexes): distinct values seen under each identifier, in two combined steps."""
+    """(patient_id, combos, births, sexes, n): distinct values seen under each identifier, in two combined steps. A combination is a
+    sex and a birth, either of which may be missing."""
     seen = df.where("patient_id IS NOT NULL").groupBy("patient_id", "sex", "birth").agg(F.count(F.lit(1)).alias("n"))
-    usable = seen.where("birth IS NOT NULL")
-    combos = usable.groupBy("patient_id").agg(F.count(F.lit(1)).alias("combos"))
-    # collect_set of one struct per attribute value: values of an identifier are bounded by the calendar and two sexes
-    spread = seen.groupBy("patient_id").agg(F.count_distinct("birth").alias("births"), F.count_distinct("sex").alias("sexes"), F.sum("n").alias("n"))
-    return spread.join(combos, "patient_id", "left").fillna(0, ["combos"])
+    return seen.groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("combos"), F.count_distinct("birth").alias("births"), F.count_distinct("sex").alias("sexes"), F.sum("n").alias("n")
+    )
 
 
 def generic_ids(df: DataFrame, generic_min: int = 5) -> DataFrame:
-    """Identifiers with at least generic_min distinct (sex, birth) pairs; birth present, a missing sex is a value."""
+    """Identifiers with at least generic_min distinct (sex, birth) pairs; a missing sex or birth is a value."""
     return identity_combinations(df).where(F.col("combos") >= generic_min).select("patient_id", "combos", "n")
 
 
@@ -50,15 +52,14 @@ def birth_persons(df: DataFrame, days: int = 366, same_day_month: bool = True, g
 def assign_persons(df: DataFrame, days: int = 366, same_day_month: bool = True, generic_min: int = 5) -> DataFrame:
     """df with person_id = patient_id * 100 + n, null for generic identifiers.
 
-    A row without birth belongs to person 1 if its identifier has one person or no birth at all, else to none.
+    A row without birth belongs to person 1 if its identifier has one person or no birth at all, else to none. An identifier brings
+    one row with its at most generic_min - 1 births; many rows of one identifier are spread by sized_join.
     """
     numbers = birth_persons(df, days, same_day_month, generic_min)
     persons = numbers.groupBy("patient_id").agg(F.max("n").alias("__persons"))
     generic = generic_ids(df, generic_min).select("patient_id", F.lit(True).alias("__generic"))
-    joined = (
-        df.drop("person_id").join(numbers.withColumnRenamed("n", "__n"), ["patient_id", "birth"], "left")
-        .join(persons, "patient_id", "left").join(generic, "patient_id", "left")
-    )
+    known = numbers.groupBy("patient_id").agg(F.map_from_entries(F.collect_list(F.struct("birth", "n"))).alias("__births")).join(persons, "patient_id", "full").join(generic, "patient_id", "full")
+    joined = sized_join(df.drop("person_id"), cut(known, "personas"), ["patient_id"]).withColumn("__n", F.col("__births")[F.col("birth")]).drop("__births")
     alone = F.col("birth").isNull() & (F.coalesce("__persons", F.lit(1)) == 1)
     number = F.when(F.col("__generic").isNotNull() | F.col("patient_id").isNull(), None).otherwise(F.coalesce("__n", F.when(alone, 1)))
     return joined.withColumn("person_id", F.col("patient_id") * 100 + number).drop("__n", "__persons", "__generic")

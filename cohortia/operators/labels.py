@@ -16,6 +16,8 @@ class LabelRules:
     not_grd: tuple[str, ...] = ("146", "147")
     not_dx: tuple[str, ...] = ("Z51",)
     never_related: tuple[str, ...] = ("99",)
+    no_related: tuple[str, ...] = ("14",)  # MDCs whose cases have no related label, where only unplanned admissions count
+    mdc_groups: tuple[tuple[str, ...], ...] = ()  # MDCs compared as one
     block_end: tuple[tuple[str, str], ...] = (("A", "2020-12-31"), ("B", "2024-12-31"))
 
     def all_forms(self) -> LabelRules:
@@ -30,7 +32,9 @@ def starts_with_any(c: str, prefixes: tuple[str, ...]) -> Column:
 
 
 def counts_as_readmission(rules: LabelRules) -> Column:
-    kind = F.lit(True) if rules.unplanned is None else F.coalesce(F.col("admit_type").isin(*rules.unplanned), F.lit(False))
+    if rules.unplanned is None:
+        return F.lit(True)
+    kind = F.coalesce(F.col("admit_type").isin(*rules.unplanned), F.lit(False))
     return kind & ~starts_with_any("grd", rules.not_grd) & ~starts_with_any("dx", rules.not_dx)
 
 
@@ -41,49 +45,66 @@ def block_end(rules: LabelRules) -> Column:
     return out
 
 
-def label_readmissions(df: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
-    """One row per episode's last discharge: readmit_<d>d, readmit_<d>d_mdc (null where not observable), days_to_next
-    and next_id of the first counting admission at any distance.
+def comparable_mdc(c: Column, rules: LabelRules) -> Column:
+    """The MDC by which case and admission are compared: the first of its group; null where it relates to none."""
+    out = c
+    for group in rules.mdc_groups:
+        out = F.when(c.isin(*group), group[0]).otherwise(out)
+    return F.when(~c.isin(*rules.never_related), out)
 
-    df has persons and episodes. Candidates are later openings of the same person, in the order (admit, discharge, id)
-    from the case's own opening on. The first counting one decides readmit_<d>d, the first counting one with the
-    case's MDC decides readmit_<d>d_mdc, as later ones are only further away. Both are found in one pass each:
-    openings and cases are laid in one sequence per person (and MDC), read backwards so that the frame is a
-    running one; no case is ever joined with the openings of its person.
 
-    Labels are null when the case is discharged less than d + margin days before its block ends. A case without MDC
-    has null *_mdc labels; the MDCs in never_related relate to none.
+def label_readmissions(df: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
+    """One row per case: readmit_<d>d, readmit_<d>d_mdc (null where not observable), days_to_next and next_id of the first
+    counting admission at any distance.
+
+    df has persons, episodes and the booleans is_case and may_readmit of apply_rules(). Candidates are later openings of the same
+    person that may be re-admissions, in the order (admit, discharge, id) from the opening of the case's own episode on. The
+    first counting one decides readmit_<d>d, the first counting one with the case's MDC decides readmit_<d>d_mdc, as later
+    ones are only further away. Both are found in one pass each: openings and cases are laid in one sequence per
+    person (and MDC), read backwards so that the frame is a running one; no case is ever joined with the openings of its
+    person.
+
+    Labels are null when the case is discharged less than d + margin days before its block ends, *_mdc labels also where the MDC is
+    in no_related (not if all admissions count or the MDC is grouped). A case without MDC or with one in never_related has the
+    *_mdc label 0.
     """
-    rows = df.where("person_id IS NOT NULL AND episode_id IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL")
+    rows = df.where("person_id IS NOT NULL AND episode_id IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL").withColumn("__mdc", comparable_mdc(F.col("mdc"), rules))
     # Reference point of an episode: its opening row, or its first row where the opening is not in the table.
     pos = F.struct("admit", "discharge", "encounter_id")
     opening = F.col("encounter_id") == F.col("episode_id")
-    seat = F.struct("admit", "discharge", "encounter_id", "mdc", F.lit(True).alias("open"), counts_as_readmission(rules).alias("counts"))
-    final = F.struct("discharge", "admit", "encounter_id", "mdc", "block", "year", "admit_type", "discharge_type", "site")
+    seat = F.struct("admit", "discharge", "encounter_id", "__mdc", (counts_as_readmission(rules) & F.coalesce("may_readmit", F.lit(False))).alias("counts"))
+    case = F.struct("encounter_id", "admit", "discharge", "mdc", "block", "year", "admit_type", "discharge_type", "site", "__mdc")
     episodes = rows.groupBy("person_id", "episode_id").agg(
         F.min_by(seat, F.struct((~opening).alias("k"), pos.alias("p"))).alias("o"),
-        F.max(final).alias("z"),
+        F.collect_list(F.when(F.col("is_case"), case)).alias("zs"),  # one, where only the last row of an episode is a case
+    )
+    z_type = episodes.schema["zs"].dataType.elementType
+    place = lambda side, mdc, hit, z: F.struct(
+        F.col("o.admit").alias("p1"), F.col("o.discharge").alias("p2"), F.col("o.encounter_id").alias("p3"), F.lit(side).alias("side"), mdc.alias("key"), hit.alias("hit"), z.alias("z")
     )
-    both = episodes.select("person_id", F.explode(F.array(
-        F.struct(F.col("o.admit").alias("p1"), F.col("o.discharge").alias("p2"), F.col("o.encounter_id").alias("p3"), F.lit(0).alias("side"),
-                 F.col("o.mdc").alias("mdc"), F.when(F.col("o.counts"), F.struct(F.col("o.admit").alias("day"), F.col("o.encounter_id").alias("id"))).alias("hit"), F.lit(None).cast(episodes.schema["z"].dataType).alias("z")),
-        F.struct(F.col("o.admit").alias("p1"), F.col("o.discharge").alias("p2"), F.col("o.encounter_id").alias("p3"), F.lit(1).alias("side"),
-                 F.col("z.mdc").alias("mdc"), F.lit(None).cast("struct<day:date,id:bigint>").alias("hit"), F.col("z").alias("z")),
-    )).alias("e")).select("person_id", "e.*")
+    hit = F.when(F.col("o.counts"), F.struct(F.col("o.admit").alias("day"), F.col("o.encounter_id").alias("id")))
+    no_hit = F.lit(None).cast("struct<day:date,id:bigint>")
+    both = episodes.select("person_id", F.inline(F.concat(
+        F.array(place(0, F.col("o.__mdc"), hit, F.lit(None).cast(z_type))), F.transform("zs", lambda z: place(1, z["__mdc"], no_hit, z)),
+    )))
     # Backwards, a case comes before its own opening: what was passed so far are the later openings.
     back = (F.desc("p1"), F.desc("p2"), F.desc("p3"), F.desc("side"))
     passed = Window.partitionBy("person_id").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
-    related = Window.partitionBy("person_id", "mdc").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
-    cases = both.withColumn("next", F.last("hit", ignorenulls=True).over(passed)).withColumn("next_mdc", F.last("hit", ignorenulls=True).over(related)).where("side = 1").select("person_id", "z.*", "next", "next_mdc")
+    related = Window.partitionBy("person_id", "key").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
+    cases = both.withColumn("next", F.last("hit", ignorenulls=True).over(passed)).withColumn("next_mdc", F.last("hit", ignorenulls=True).over(related)).where("side = 1")
+    cases = cases.select("person_id", "z.*", "next", "next_mdc").drop("__mdc").withColumn("__key", comparable_mdc(F.col("mdc"), rules))
     days, days_mdc = F.datediff("next.day", "discharge"), F.datediff("next_mdc.day", "discharge")
     end = block_end(rules)
+    grouped = {m for g in rules.mdc_groups for m in g}
+    without = [m for m in rules.no_related if m not in grouped] if rules.unplanned is not None else []
+    has_kin = ~F.coalesce(F.col("mdc").isin(*without), F.lit(False)) if without else F.lit(True)
     out = cases
     for d in rules.windows:
         seen = F.col("discharge") <= F.date_sub(end, d + rules.margin)
-        kin = F.when(F.col("mdc").isin(*rules.never_related), 0).otherwise(F.coalesce(days_mdc <= d, F.lit(False)).cast("int"))
+        kin = F.col("__key").isNotNull() & F.coalesce(days_mdc <= d, F.lit(False))
         out = out.withColumn(f"readmit_{d}d", F.when(seen, F.coalesce(days <= d, F.lit(False)).cast("int")))
-        out = out.withColumn(f"readmit_{d}d_mdc", F.when(seen & F.col("mdc").isNotNull(), kin))
-    return out.withColumn("days_to_next", days).withColumn("next_id", F.col("next.id")).drop("next", "next_mdc")
+        out = out.withColumn(f"readmit_{d}d_mdc", F.when(seen & has_kin, kin.cast("int")))
+    return out.withColumn("days_to_next", days).withColumn("next_id", F.col("next.id")).drop("next", "next_mdc", "__key")
 
 
 def rates_by(labelled: DataFrame, keys: list[str], label: str) -> DataFrame:

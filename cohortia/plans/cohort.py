@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortia.operators import criteria, dedup, episodes, identity, labels
 from cohortia.operators.criteria import Rule, false_if_null
+from cohortia.operators.skew import sized_join
 from cohortia.plans.discharges import DISCHARGES_SQL, RECORDS_SQL, discharges, records
 from cohortia.plans.registry import Registry
-from cohortia.session import table
+from cohortia.session import cut, table
 
 REG = Registry()
 STAY_KEY = ["patient_id", "site", "admit", "discharge"]
@@ -76,7 +78,7 @@ def incoherent_dates(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- persons
 
 PERSONS_SQL = """
-cmb AS (SELECT patient_id, count(*) AS combos FROM (SELECT DISTINCT patient_id, sex, birth FROM b WHERE birth IS NOT NULL AND patient_id IS NOT NULL) GROUP BY 1),
+cmb AS (SELECT patient_id, count(*) AS combos FROM (SELECT DISTINCT patient_id, sex, birth FROM b WHERE patient_id IS NOT NULL) GROUP BY 1),
 gen AS (SELECT patient_id FROM cmb WHERE combos >= 5),
 br AS (SELECT DISTINCT patient_id, birth FROM b WHERE birth IS NOT NULL AND patient_id IS NOT NULL AND patient_id NOT IN (SELECT patient_id FROM gen)),
 lk AS (SELECT x.patient_id, x.birth AS p, y.birth AS q FROM br x JOIN br y USING (patient_id)
@@ -196,51 +198,86 @@ def episode_attributes(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- rules
 
 RULES = [
-    Rule("R01", "no_person", "BOTH", required=True), Rule("R02", "bad_dates", "BOTH", required=True), Rule("R03", "not_final"),
-    Rule("R04", "died"), Rule("R05", "referred"), Rule("R06", "left_against_advice", active=False), Rule("R07", "day_case", "BOTH"),
-    Rule("R08", "no_diagnosis"), Rule("R09", "near_block_end"), Rule("R10", "periodic"),
+    Rule("E01", "no_person", "BOTH", required=True), Rule("E02", "generic_id", "BOTH"), Rule("E03", "bad_dates", "BOTH", required=True), Rule("E04", "activity_2019", "BOTH"),
+    Rule("E05", "not_final"), Rule("E06", "died"), Rule("E07", "referred_hospital"), Rule("E08", "referred_private"), Rule("E09", "no_grd"), Rule("E10", "missing_data"),
+    Rule("E11", "near_block_end"), Rule("E12", "left_on_own", active=False), Rule("E13", "day_surgery"), Rule("E14", "session"), Rule("E15", "periodic"),
 ]
+# Fixed values of the columns that the flags read.
+ACTIVITY_2019 = ("HOSPITALIZACIÓN DIURNA", "HOSPITALIZACIÓN EN URGENCIA")
+DAY_SURGERY = "CIRUGÍA MAYOR AMBULATORIA"
+TO_HOSPITAL, TO_PRIVATE = "DERIVACIÓN OTRO HOSPITAL", "DERIVACIÓN INST. PRIVADA"
+LEFT_ON_OWN = ("ALTA VOLUNTARIA", "FUGA DEL PACIENTE")
+PERIODIC = ("PROGRAMADA",)
+MOST_AGE = 110
 
 
 def flagged(spark: SparkSession, d: str) -> DataFrame:
-    """Discharges with one boolean column per rule, missing values counting as false."""
+    """Discharges with one boolean column per rule but near_block_end and not_final, which hang on other rules; missing values
+    count as false."""
     rows = discharges(spark, d)
-    last = rows.where("episode_id IS NOT NULL").groupBy("episode_id").agg(F.max(F.struct("discharge", "admit", "encounter_id")).alias("z")).select(F.col("z.encounter_id").alias("encounter_id"), F.lit(True).alias("final"))
-    rows = rows.join(last, "encounter_id", "left")
-    end = labels.block_end(labels.LabelRules())
+    generic = identity.generic_ids(rows).select("patient_id", F.lit(True).alias("generic_id"))
+    rows = sized_join(rows, generic, ["patient_id"]).withColumn("generic_id", false_if_null(F.col("generic_id")))
+    age = F.datediff("admit", "birth") / 365.25
     marks = {
-        "no_person": F.col("person_id").isNull(), "bad_dates": F.col("admit").isNull() | F.col("discharge").isNull() | (F.col("discharge") < F.col("admit")),
-        "not_final": F.col("episode_id").isNotNull() & F.col("final").isNull(), "died": F.col("discharge_type") == "FALLECIDO",
-        "referred": F.col("discharge_type").startswith("DERIVACI"), "left_against_advice": F.col("discharge_type") == "ALTA VOLUNTARIA",
-        "day_case": F.col("activity") == "HOSPITALIZACIÓN DIURNA", "no_diagnosis": F.col("dx").isNull(), "near_block_end": F.date_add("discharge", 60) > end,
+        "no_person": F.col("patient_id").isNull() | (F.col("person_id").isNull() & ~F.col("generic_id")),
+        "bad_dates": F.col("admit").isNull() | F.col("discharge").isNull() | (F.col("discharge") < F.col("admit")),
+        "activity_2019": F.col("activity").isin(*ACTIVITY_2019), "died": F.col("discharge_type") == "FALLECIDO",
+        "referred_hospital": F.col("discharge_type").startswith(TO_HOSPITAL), "referred_private": F.col("discharge_type").startswith(TO_PRIVATE),
+        "no_grd": F.col("grd").isNull() | false_if_null(F.col("mdc") == "99"),
+        "missing_data": F.col("birth").isNull() | F.col("discharge_type").isNull() | false_if_null(F.col("birth") > F.col("admit")) | false_if_null(age > MOST_AGE),
+        "left_on_own": F.col("discharge_type").isin(*LEFT_ON_OWN), "day_surgery": F.col("activity").startswith(DAY_SURGERY), "session": F.col("dx").startswith("Z51"),
     }
     rows = rows.withColumns({k: false_if_null(c) for k, c in marks.items()})
-    short = F.datediff("discharge", "admit") <= 1
-    return criteria.periodic_treatment(rows, (F.col("admit_type") == "PROGRAMADA") & short)
-
-
-FLAGS_SQL = """
-fin AS (SELECT max_by(encounter_id, {'z': discharge, 'a': admit, 'i': encounter_id}) AS encounter_id FROM b WHERE episode_id IS NOT NULL GROUP BY episode_id),
-cand AS (SELECT encounter_id, person_id, admit, substr(replace(dx, '.', ''), 1, 3) AS cat FROM b WHERE person_id IS NOT NULL AND dx IS NOT NULL AND admit IS NOT NULL
-  AND admit_type = 'PROGRAMADA' AND discharge - admit <= 1),
+    short = F.col("admit_type").isin(*PERIODIC) & (F.datediff("discharge", "admit") <= 1)
+    return criteria.periodic_treatment(rows, short & ~F.col("bad_dates") & ~F.col("activity_2019") & ~F.col("day_surgery") & ~F.col("session"))
+
+
+def ruled(rows: DataFrame, rules: list[Rule], label_rules: labels.LabelRules, require_mark: bool | None = None) -> DataFrame:
+    """rows of flagged() with trackable, the two missing flags, reason, is_case and may_readmit. require_mark: episodes are built anew
+    over the trackable rows, joining transfers with or without a mark; by default they are those of the table."""
+    criteria.disjoint_kinds(PERIODIC, label_rules.unplanned)
+    near = F.date_add("discharge", min(label_rules.windows) + label_rules.margin) > labels.block_end(label_rules)
+    rows = rows.withColumn("near_block_end", false_if_null(near)).withColumn("trackable", criteria.trackable(rules))
+    if require_mark is not None:
+        built = episodes.build_episodes(rows.where("trackable").drop("episode_id"), require_mark=require_mark).select("encounter_id", "episode_id")
+        rows = rows.drop("episode_id").join(built, "encounter_id", "left")
+    return criteria.apply_rules(criteria.mark_not_final(rows), rules)
+
+
+def _flags_sql(n: str = "", active: dict[str, bool] | None = None, least_follow_up: int = 37) -> str:
+    """Common tables fl (all flags and trackable) and ru (reason), named with the suffix n."""
+    rules = [replace(r, active=(active or {}).get(r.code, r.active)) for r in RULES]
+    both = " AND ".join(["person_id IS NOT NULL", "coalesce(discharge >= admit, false)", *(f"NOT {r.flag}" for r in rules if r.active and r.role == "BOTH")])
+    return f"""
+ft{n} AS (SELECT *, {both} AS trackable, coalesce(discharge + {least_follow_up} > CASE block WHEN 'A' THEN DATE '2020-12-31' WHEN 'B' THEN DATE '2024-12-31' END, false) AS near_block_end FROM fb{n}),
+fin{n} AS (SELECT max_by(encounter_id, {{'z': discharge, 'a': admit, 'i': encounter_id}}) AS encounter_id FROM ft{n} WHERE trackable AND episode_id IS NOT NULL GROUP BY episode_id),
+fl{n} AS (SELECT *, trackable AND encounter_id NOT IN (SELECT encounter_id FROM fin{n}) AS not_final FROM ft{n}),
+ru{n} AS (SELECT *, CASE {" ".join(f"WHEN {r.flag} THEN '{r.code}'" for r in rules if r.active)} END AS reason FROM fl{n})"""
+
+
+FLAGS_BASE_SQL = """
+fgen AS (SELECT patient_id FROM (SELECT DISTINCT patient_id, sex, birth FROM b WHERE patient_id IS NOT NULL) GROUP BY 1 HAVING count(*) >= 5),
+f0 AS (SELECT b.*, coalesce(patient_id IN (SELECT patient_id FROM fgen), false) AS generic_id, coalesce(admit IS NULL OR discharge IS NULL OR discharge < admit, false) AS bad_dates,
+  coalesce(activity IN ('HOSPITALIZACIÓN DIURNA', 'HOSPITALIZACIÓN EN URGENCIA'), false) AS activity_2019, coalesce(discharge_type = 'FALLECIDO', false) AS died,
+  coalesce(discharge_type LIKE 'DERIVACIÓN OTRO HOSPITAL%', false) AS referred_hospital, coalesce(discharge_type LIKE 'DERIVACIÓN INST. PRIVADA%', false) AS referred_private,
+  grd IS NULL OR coalesce(mdc = '99', false) AS no_grd, birth IS NULL OR discharge_type IS NULL OR coalesce(birth > admit, false) OR coalesce((admit - birth) / 365.25::DOUBLE > 110, false) AS missing_data,
+  coalesce(discharge_type IN ('ALTA VOLUNTARIA', 'FUGA DEL PACIENTE'), false) AS left_on_own, coalesce(activity LIKE 'CIRUGÍA MAYOR AMBULATORIA%', false) AS day_surgery,
+  coalesce(dx LIKE 'Z51%', false) AS session FROM b),
+cand AS (SELECT encounter_id, person_id, admit, substr(replace(dx, '.', ''), 1, 3) AS cat FROM f0 WHERE person_id IS NOT NULL AND dx IS NOT NULL AND NOT bad_dates AND NOT activity_2019
+  AND NOT day_surgery AND NOT session AND admit_type = 'PROGRAMADA' AND discharge - admit <= 1),
 prd AS (SELECT c.encounter_id FROM cand c JOIN cand e ON e.person_id = c.person_id AND e.cat = c.cat AND c.admit - e.admit BETWEEN 1 AND 365 GROUP BY 1 HAVING count(*) >= 2),
-fl AS (SELECT b.*, person_id IS NULL AS no_person, coalesce(admit IS NULL OR discharge IS NULL OR discharge < admit, false) AS bad_dates,
-  episode_id IS NOT NULL AND b.encounter_id NOT IN (SELECT encounter_id FROM fin) AS not_final, coalesce(discharge_type = 'FALLECIDO', false) AS died,
-  coalesce(discharge_type LIKE 'DERIVACI%', false) AS referred, coalesce(discharge_type = 'ALTA VOLUNTARIA', false) AS left_against_advice,
-  coalesce(activity = 'HOSPITALIZACIÓN DIURNA', false) AS day_case, dx IS NULL AS no_diagnosis,
-  coalesce(discharge + 60 > CASE block WHEN 'A' THEN DATE '2020-12-31' WHEN 'B' THEN DATE '2024-12-31' END, false) AS near_block_end,
-  b.encounter_id IN (SELECT encounter_id FROM prd) AS periodic FROM b),
-""" + "ru AS (SELECT *, CASE " + " ".join(f"WHEN {r.flag} THEN '{r.code}'" for r in RULES if r.active) + " END AS reason FROM fl)"
+fb AS (SELECT *, patient_id IS NULL OR (person_id IS NULL AND NOT generic_id) AS no_person, encounter_id IN (SELECT encounter_id FROM prd) AS periodic FROM f0)"""
+FLAGS_SQL = f"{FLAGS_BASE_SQL}, {_flags_sql()}"
 
 
 @REG.add("criteria_flags", f"WITH {DISCHARGES_SQL}, {FLAGS_SQL} SELECT encounter_id, {', '.join(f'CAST({r.flag} AS INTEGER) AS {r.flag}' for r in RULES)} FROM fl")
 def criteria_flags(spark: SparkSession, d: str) -> DataFrame:
-    return flagged(spark, d).select("encounter_id", *(F.col(r.flag).cast("int").alias(r.flag) for r in RULES))
+    return ruled(flagged(spark, d), RULES, labels.LabelRules()).select("encounter_id", *(F.col(r.flag).cast("int").alias(r.flag) for r in RULES))
 
 
-@REG.add("exclusion_reason", f"WITH {DISCHARGES_SQL}, {FLAGS_SQL} SELECT encounter_id, reason, CAST(reason IS NULL AS INTEGER) AS is_case, CAST(coalesce(encounter_id = episode_id, false) AND NOT ({' OR '.join(r.flag for r in RULES if r.role == 'BOTH')}) AS INTEGER) AS may_readmit FROM ru")
+@REG.add("exclusion_reason", f"WITH {DISCHARGES_SQL}, {FLAGS_SQL} SELECT encounter_id, reason, CAST(reason IS NULL AS INTEGER) AS is_case, CAST(coalesce(encounter_id = episode_id, false) AND trackable AS INTEGER) AS may_readmit FROM ru")
 def exclusion_reason(spark: SparkSession, d: str) -> DataFrame:
-    out = criteria.apply_rules(flagged(spark, d), criteria.validate_rules(RULES))
+    out = ruled(flagged(spark, d), criteria.validate_rules(RULES), labels.LabelRules())
     return out.select("encounter_id", "reason", F.col("is_case").cast("int").alias("is_case"), F.col("may_readmit").cast("int").alias("may_readmit"))
 
 
@@ -250,7 +287,7 @@ def exclusion_reason(spark: SparkSession, d: str) -> DataFrame:
 ) + ") SELECT step, code, active, met::BIGINT AS met, removed::BIGINT AS removed, would_remove::BIGINT AS would_remove, (total - sum(removed) OVER (ORDER BY step))::BIGINT AS remaining FROM w")
 def waterfall_steps(spark: SparkSession, d: str) -> DataFrame:
     rules = criteria.validate_rules(RULES)
-    return criteria.waterfall(criteria.apply_rules(flagged(spark, d), rules), rules)
+    return criteria.waterfall(ruled(flagged(spark, d), rules, labels.LabelRules()), rules)
 
 
 @REG.add("periodic_treatment", f"WITH {DISCHARGES_SQL}, {FLAGS_SQL} SELECT encounter_id FROM prd")
@@ -273,30 +310,31 @@ def referral_sites_all_years(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- labels
 
-def _labels_sql(name: str, counting: str) -> str:
+def _labels_sql(name: str, counting: str, source: str = "ru", margin: int = 30, no_related: str = "mdc = '14'", key: str = "mdc") -> str:
     return f"""
-{name}r AS (SELECT *, {counting} AND NOT coalesce(grd LIKE '146%' OR grd LIKE '147%', false) AND NOT coalesce(dx LIKE 'Z51%', false) AS counts
-  FROM b WHERE person_id IS NOT NULL AND episode_id IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL),
-{name}e AS (SELECT person_id, episode_id, min_by(encounter_id, {{'k': encounter_id <> episode_id, 'a': admit, 'z': discharge, 'i': encounter_id}}) AS opening,
-  max_by(encounter_id, {{'z': discharge, 'a': admit, 'i': encounter_id}}) AS final FROM {name}r GROUP BY 1, 2),
-{name}o AS (SELECT e.person_id, e.final, o.mdc, o.counts, o.admit, {{'a': o.admit, 'z': o.discharge, 'i': o.encounter_id}} AS pos, o.encounter_id FROM {name}e e JOIN {name}r o ON o.encounter_id = e.opening),
-{name}c AS (SELECT z.*, o.pos FROM {name}o o JOIN {name}r z ON z.encounter_id = o.final),
-{name}n AS (SELECT c.encounter_id, min_by(o.admit, o.pos) AS day, min_by(o.encounter_id, o.pos) AS next_id, min_by(o.admit, o.pos) FILTER (o.mdc = c.mdc) AS day_mdc
+{name}r AS (SELECT *, {counting} AND NOT coalesce(grd LIKE '146%' OR grd LIKE '147%', false) AND NOT coalesce(dx LIKE 'Z51%', false) AND trackable AND encounter_id = episode_id AS counts,
+  CASE WHEN mdc <> '99' THEN {key} END AS kin FROM {source} WHERE person_id IS NOT NULL AND episode_id IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL),
+{name}e AS (SELECT person_id, episode_id, min_by(encounter_id, {{'k': encounter_id <> episode_id, 'a': admit, 'z': discharge, 'i': encounter_id}}) AS opening FROM {name}r GROUP BY 1, 2),
+{name}o AS (SELECT e.person_id, e.episode_id, o.kin, o.counts, o.admit, {{'a': o.admit, 'z': o.discharge, 'i': o.encounter_id}} AS pos, o.encounter_id FROM {name}e e JOIN {name}r o ON o.encounter_id = e.opening),
+{name}c AS (SELECT z.*, o.pos FROM {name}o o JOIN {name}r z USING (person_id, episode_id) WHERE z.reason IS NULL),
+{name}n AS (SELECT c.encounter_id, min_by(o.admit, o.pos) AS day, min_by(o.encounter_id, o.pos) AS next_id, min_by(o.admit, o.pos) FILTER (o.kin = c.kin) AS day_mdc
   FROM {name}c c JOIN {name}o o ON o.person_id = c.person_id AND o.pos > c.pos AND o.counts GROUP BY 1),
 {name}x AS (SELECT c.*, n.day - c.discharge AS days_to_next, n.day_mdc - c.discharge AS days_mdc, n.next_id, CASE c.block WHEN 'A' THEN DATE '2020-12-31' WHEN 'B' THEN DATE '2024-12-31' END AS block_end
   FROM {name}c c LEFT JOIN {name}n n USING (encounter_id)),
 {name} AS (SELECT *,
-  CASE WHEN discharge <= block_end - 37 THEN coalesce(days_to_next <= 7, false)::INTEGER END AS readmit_7d, CASE WHEN discharge <= block_end - 60 THEN coalesce(days_to_next <= 30, false)::INTEGER END AS readmit_30d,
-  CASE WHEN discharge <= block_end - 37 AND mdc IS NOT NULL THEN (mdc <> '99' AND coalesce(days_mdc <= 7, false))::INTEGER END AS readmit_7d_mdc,
-  CASE WHEN discharge <= block_end - 60 AND mdc IS NOT NULL THEN (mdc <> '99' AND coalesce(days_mdc <= 30, false))::INTEGER END AS readmit_30d_mdc FROM {name}x)"""
+  CASE WHEN discharge <= block_end - {7 + margin} THEN coalesce(days_to_next <= 7, false)::INTEGER END AS readmit_7d, CASE WHEN discharge <= block_end - {30 + margin} THEN coalesce(days_to_next <= 30, false)::INTEGER END AS readmit_30d,
+  CASE WHEN discharge <= block_end - {7 + margin} AND NOT coalesce({no_related}, false) THEN coalesce(days_mdc <= 7, false)::INTEGER END AS readmit_7d_mdc,
+  CASE WHEN discharge <= block_end - {30 + margin} AND NOT coalesce({no_related}, false) THEN coalesce(days_mdc <= 30, false)::INTEGER END AS readmit_30d_mdc FROM {name}x)"""
 
 
-LABELS_SQL = _labels_sql("lab", "coalesce(admit_type IN ('URGENCIA', 'OBSTETRICA'), false)")
-ALL_FORMS_SQL = _labels_sql("alf", "true")
+UNPLANNED_SQL = "coalesce(admit_type IN ('URGENCIA', 'OBSTETRICA'), false)"
+LABELS_SQL = f"{FLAGS_SQL}, {_labels_sql('lab', UNPLANNED_SQL)}"
+ALL_FORMS_SQL = _labels_sql("alf", "true", no_related="false").replace("AND NOT coalesce(grd LIKE '146%' OR grd LIKE '147%', false) AND NOT coalesce(dx LIKE 'Z51%', false) ", "")
 
 
 def labelled(spark: SparkSession, d: str, rules: labels.LabelRules = labels.LabelRules()) -> DataFrame:
-    return labels.label_readmissions(discharges(spark, d), rules)
+    """The cases that the exclusion rules leave, with their labels."""
+    return labels.label_readmissions(ruled(flagged(spark, d), RULES, rules), rules)
 
 
 for _label in ("readmit_7d", "readmit_30d", "readmit_7d_mdc", "readmit_30d_mdc"):
@@ -376,31 +414,79 @@ def id_quality_by_year(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- scenarios
 
-SCENARIOS = {"principal": {}, "margin_60": {"margin": 60}, "all_forms": {"unplanned": None}, "births_count": {"not_grd": ()}, "sessions_count": {"not_dx": ()}}
-
-
-@REG.add("scenario_rates")
+@dataclass(frozen=True)
+class Scenario:
+    """One decision changed against the principal analysis: rules switched, label rules replaced, transfers that need a mark, or cases
+    of ambiguous identifiers left out."""
+
+    switched: tuple[str, ...] = ()
+    rules: labels.LabelRules = labels.LabelRules()
+    require_mark: bool | None = None
+    steady_only: bool = False
+
+
+SCENARIOS = {
+    "principal": Scenario(), "activity_2019": Scenario(("E04",)), "day_surgery": Scenario(("E13",)), "sessions": Scenario(("E14",)),
+    "births_related": Scenario(rules=labels.LabelRules(no_related=())), "mdc_13_14": Scenario(rules=labels.LabelRules(mdc_groups=(("13", "14"),))),
+    "no_margin": Scenario(rules=labels.LabelRules(margin=0)), "marked_transfers": Scenario(require_mark=True), "referred": Scenario(("E07", "E08")),
+    "periodic": Scenario(("E15",)), "steady_identity": Scenario(steady_only=True),
+}
+
+
+def scenario_cases(rows: DataFrame, s: Scenario) -> DataFrame:
+    """The labelled cases of a scenario from the rows of flagged()."""
+    rules = criteria.validate_rules(RULES, dict.fromkeys(s.switched, False))
+    cases = labels.label_readmissions(ruled(rows, rules, s.rules, s.require_mark), s.rules)
+    if not s.steady_only:
+        return cases
+    shaky = identity.ambiguous_identity(rows).select("patient_id")
+    return cases.join(rows.join(F.broadcast(shaky), "patient_id", "left_semi").select("encounter_id"), "encounter_id", "left_anti")
+
+
+def _scenario_sql() -> str:
+    parts, ends = [], []
+    for i, (name, s) in enumerate(SCENARIOS.items()):
+        source = f"fb_{i}"
+        if s.require_mark:
+            mark = "(coalesce(l_type LIKE 'DERIVACI%', false) OR coalesce(origin LIKE 'OTROS HOSPITALES%', false))"
+            own = EPISODES_SQL.replace("FROM b WHERE person_id IS NOT NULL AND discharge >= admit", "FROM ft_0 WHERE trackable").replace("site IS DISTINCT FROM l_site)", f"site IS DISTINCT FROM l_site AND {mark})")
+            parts.append(f"{own}, {source} AS (SELECT fb.* EXCLUDE (episode_id), ep.own_episode AS episode_id FROM fb LEFT JOIN ep ON ep.encounter_id = fb.encounter_id)")
+        else:
+            parts.append(f"{source} AS (SELECT * FROM fb)")
+        grouped = any("14" in g for g in s.rules.mdc_groups)
+        parts.append(_flags_sql(f"_{i}", dict.fromkeys(s.switched, False), 7 + s.rules.margin))
+        parts.append(_labels_sql(
+            f"lb_{i}", UNPLANNED_SQL, f"ru_{i}", s.rules.margin, "false" if grouped or not s.rules.no_related else "mdc = '14'", "CASE WHEN mdc = '14' THEN '13' ELSE mdc END" if grouped else "mdc",
+        ))
+        kept = " WHERE patient_id NOT IN (SELECT patient_id FROM b WHERE patient_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT birth) > 1 OR count(DISTINCT sex) > 1)" if s.steady_only else ""
+        ends.append(f"""SELECT '{name}' AS scenario, count(*) AS cases, count(readmit_30d) AS observed, CAST(sum(readmit_30d) AS BIGINT) AS positives, round(avg(readmit_30d), 6) AS rate,
+  count(readmit_30d_mdc) AS observed_mdc, CAST(sum(readmit_30d_mdc) AS BIGINT) AS positives_mdc FROM lb_{i}{kept}""")
+    return f"WITH {DISCHARGES_SQL}, {FLAGS_BASE_SQL}, {', '.join(parts)} {' UNION ALL '.join(ends)}"
+
+
+@REG.add("scenario_rates", _scenario_sql())
 def scenario_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Rates of each scenario, one change at a time against the principal rules."""
-    out = None
-    for name, change in SCENARIOS.items():
-        one = labelled(spark, d, replace(labels.LabelRules(), **change)).agg(
-            F.count(F.lit(1)).alias("cases"), F.count("readmit_30d").alias("observed"), F.sum("readmit_30d").alias("positives"), F.round(F.avg("readmit_30d"), 6).alias("rate")
+    """Rates of each scenario, one change at a time against the principal rules; the flags are made once."""
+    rows = cut(flagged(spark, d), "criterios")
+    each = [
+        scenario_cases(rows, s).agg(
+            F.count(F.lit(1)).alias("cases"), F.count("readmit_30d").alias("observed"), F.sum("readmit_30d").alias("positives"), F.round(F.avg("readmit_30d"), 6).alias("rate"),
+            F.count("readmit_30d_mdc").alias("observed_mdc"), F.sum("readmit_30d_mdc").alias("positives_mdc"),
         ).select(F.lit(name).alias("scenario"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+        for name, s in SCENARIOS.items()
+    ]
+    return reduce(DataFrame.unionByName, each)
 
 
-@REG.add("scenario_diff", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {ALL_FORMS_SQL},
-p AS (SELECT encounter_id, readmit_30d FROM lab WHERE discharge_type IS DISTINCT FROM 'FALLECIDO'), q AS (SELECT encounter_id, readmit_30d FROM alf WHERE discharge_type NOT LIKE 'DERIVACI%')
+@REG.add("scenario_diff", f"""WITH {DISCHARGES_SQL}, {FLAGS_BASE_SQL}, {_flags_sql()}, {_labels_sql('p', UNPLANNED_SQL)}, fb_q AS (SELECT * FROM fb), {_flags_sql('_q', {'E07': False, 'E08': False})}, {_labels_sql('q', UNPLANNED_SQL, 'ru_q')}
 SELECT CAST(sum((p.encounter_id IS NULL)::INTEGER) AS BIGINT) AS added, CAST(sum((q.encounter_id IS NULL)::INTEGER) AS BIGINT) AS removed,
   CAST(sum((p.encounter_id = q.encounter_id AND p.readmit_30d IS DISTINCT FROM q.readmit_30d)::INTEGER) AS BIGINT) AS changed,
   CAST(sum((p.encounter_id = q.encounter_id AND p.readmit_30d IS NOT DISTINCT FROM q.readmit_30d)::INTEGER) AS BIGINT) AS same
 FROM p FULL JOIN q ON p.encounter_id = q.encounter_id""")
 def scenario_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Added, removed and changed cases between two rule sets that differ in exclusions and in what counts."""
-    base = labelled(spark, d).where(~F.col("discharge_type").eqNullSafe("FALLECIDO"))
-    other = labelled(spark, d, labels.LabelRules().all_forms()).where(~F.col("discharge_type").startswith("DERIVACI"))
+    """Added, removed and changed cases when referred discharges are kept."""
+    rows = cut(flagged(spark, d), "criterios")
+    base, other = (scenario_cases(rows, SCENARIOS[k]) for k in ("principal", "referred"))
     return criteria.scenario_diff(base, other, "encounter_id", ["readmit_30d"])
 
 
