@@ -5,7 +5,7 @@ Independent of partitioning and row order, and expressible in any engine with md
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,11 +20,27 @@ def sql_draw(seed: int, purpose: str, *key: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
 
 
-def poisson_weight(u: Column, rate: float = 1.0, most: int = 12) -> Column:
+QUARTER = 16**8  # values of a quarter of a hash
+
+
+def exploded_draws(df: DataFrame, draws: int, seed: int, purpose: str, key: str) -> DataFrame:
+    """df once for each draw 1..draws with __u, a whole number below QUARTER: four draws share one hash."""
+    blocks = df.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
+    hashed = blocks.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), F.col("__b").cast("string"), F.col(key).cast("string"))))
+    each = hashed.withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("draw", F.col("__b") * 4 + F.col("__q") + 1)
+    u = F.conv(F.substring("__h", F.col("__q") * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+    return each.where(F.col("draw") <= draws).withColumn("__u", u).drop("__b", "__h", "__q")
+
+
+def sql_exploded_draw(seed: int, purpose: str, draw: str, key: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{purpose}', CAST(({draw} - 1) // 4 AS VARCHAR), CAST({key} AS VARCHAR))), CAST((({draw} - 1) % 4) * 8 + 1 AS INTEGER), 8) AS BIGINT)"
+
+
+def poisson_weight(u: Column, rate: float = 1.0, most: int = 12, span: int = 16**15) -> Column:
     """A Poisson count from a draw, by inversion; each unit's bootstrap weight without any exchange of state."""
     import math
 
-    share = u.cast("double") / F.lit(float(16**15))
+    share = u.cast("double") / F.lit(float(span))
     out, cumulated = F.lit(most), []
     total, term = 0.0, math.exp(-rate)
     for k in range(most):
@@ -36,12 +52,12 @@ def poisson_weight(u: Column, rate: float = 1.0, most: int = 12) -> Column:
     return out
 
 
-def sql_poisson(u: str, rate: float = 1.0, most: int = 12) -> str:
+def sql_poisson(u: str, rate: float = 1.0, most: int = 12, span: int = 16**15) -> str:
     import math
 
     total, term, cases = 0.0, math.exp(-rate), []
     for k in range(most):
         total += term
-        cases.append(f"WHEN CAST({u} AS DOUBLE) / 1152921504606846976.0 < {total!r}::DOUBLE THEN {k}")
+        cases.append(f"WHEN CAST({u} AS DOUBLE) / {float(span)!r}::DOUBLE < {total!r}::DOUBLE THEN {k}")
         term *= rate / (k + 1)
     return "CASE " + " ".join(cases) + f" ELSE {most} END"

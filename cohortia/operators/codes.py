@@ -38,17 +38,24 @@ def association(pairs: DataFrame, cases: DataFrame, record_id: str, outcome: str
     """2x2 table of each code with the outcome among cases that have one, per group in `by`: n cases with the code, c positives,
     rates in percent, chi2 without correction, v (Cramer), relative risk and direction.
 
-    One join of the pairs with the cases' outcomes and one combined aggregate; totals are a separate small aggregate.
+    pairs may hold the outcome and `by` already, as from code_pairs(keep=...) over records joined while they were one row each: then
+    no pair is shuffled, only combined counts. Totals are a separate small aggregate.
     """
     known = cases.where(F.col(outcome).isNotNull()).select(record_id, *by, F.col(outcome).cast("bigint").alias("__y"))
     totals = known.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.sum("__y").alias("positives"))
-    n = pairs.join(known, record_id).groupBy(*by, "block", "level", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("c"))
+    n = _outcomes(pairs, known, record_id, outcome).groupBy(*by, "block", "level", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("c"))
     if by:
         return with_measures(n.join(totals, list(by)))
     whole = totals.select(F.struct("total", "positives").alias("t")).scalar()
     return with_measures(n.withColumn("t", whole).select("*", "t.total", "t.positives").drop("t"))
 
 
+def _outcomes(pairs: DataFrame, known: DataFrame, record_id: str, outcome: str) -> DataFrame:
+    if outcome in pairs.columns:
+        return pairs.where(F.col(outcome).isNotNull()).withColumn("__y", F.col(outcome).cast("bigint"))
+    return pairs.join(known, record_id)
+
+
 def with_measures(counts: DataFrame) -> DataFrame:
     """Rates, chi2, v, risk and direction from n, c, total, positives."""
     n, c, t, p = (F.col(x).cast("double") for x in ("n", "c", "total", "positives"))
@@ -94,17 +101,20 @@ def in_grouped_list(least_n: int = 100, least_v: float = 0.01) -> Column:
 
 
 def per_fold(pairs: DataFrame, cases: DataFrame, record_id: str, outcome: str, fold: str, folds: int) -> DataFrame:
-    """Measures of every code leaving out each fold in turn (fold 0: none left out), as totals minus the fold's counts.
+    """Measures of every code leaving out each fold in turn (fold 0: none left out). Every code has a row for every fold, with zeros
+    where all its records lie in the fold left out.
 
-    The records are aggregated once per (code, fold); the leave-one-out tables are arithmetic on that.
+    One conditional sum per fold and code; pairs may hold outcome and fold already, see association().
     """
-    known = cases.where(F.col(outcome).isNotNull()).select(record_id, F.col(fold).alias("__f"), F.col(outcome).cast("bigint").alias("__y"))
-    left = F.explode(F.array(F.lit(0), *(F.lit(i) for i in range(1, folds + 1)))).alias("fold")
-    stays = (F.col("fold") == 0) | (F.col("__f") != F.col("fold"))
-    n = pairs.join(known, record_id).groupBy("block", "level", "code", "__f").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("c"))
-    n = n.select("*", left).where(stays).groupBy("fold", "block", "level", "code").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    totals = known.groupBy("__f").agg(F.count(F.lit(1)).alias("t"), F.sum("__y").alias("p")).select("*", left).where(stays).groupBy("fold").agg(F.sum("t").alias("total"), F.sum("p").alias("positives"))
-    return with_measures(n.join(F.broadcast(totals), "fold"))
+    known = cases.where(F.col(outcome).isNotNull()).select(record_id, fold, F.col(outcome).cast("bigint").alias("__y"))
+
+    def left_out(rows: DataFrame, keys: list[str], n: str, c: str) -> DataFrame:
+        stays = {k: F.lit(True) if k == 0 else F.col(fold) != k for k in range(folds + 1)}
+        sums = rows.groupBy(*keys).agg(*(x for k, s in stays.items() for x in (F.sum(s.cast("bigint")).alias(f"n{k}"), F.sum(F.when(s, F.col("__y")).otherwise(0)).alias(f"c{k}"))))
+        return sums.select(*keys, F.inline(F.array(*(F.struct(F.lit(k).alias("fold"), F.col(f"n{k}").alias(n), F.col(f"c{k}").alias(c)) for k in stays))))
+
+    n = left_out(_outcomes(pairs, known, record_id, outcome), ["block", "level", "code"], "n", "c")
+    return with_measures(n.join(F.broadcast(left_out(known, [], "total", "positives")), "fold"))
 
 
 def threshold_grid(measured: DataFrame, least_n: list[int], least_v: list[float]) -> DataFrame:

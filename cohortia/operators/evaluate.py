@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortia.functions.draws import draw, poisson_weight
+from cohortia.functions.draws import QUARTER, exploded_draws, poisson_weight
 from cohortia.operators.ordered import running_sums
 from cohortia.session import cut
 
@@ -52,56 +52,64 @@ def guarded_logit(score: Column) -> Column:
     return F.ln(s / (1 - s))
 
 
-def calibration(df: DataFrame, score: str, label: str, rounds: int = 50, tolerance: float = 1e-9) -> dict[str, float]:
-    """intercept (logit as offset) and slope with its own intercept, by damped Newton.
+def calibration(df: DataFrame, score: str, label: str, by: str | None = None, rounds: int = 50, tolerance: float = 1e-9) -> list[tuple]:
+    """(group, intercept, slope_intercept, slope) per group of `by`, or one with group None: the intercept with the logit as offset,
+    and the slope with its own intercept, by damped Newton.
 
-    Scores are reduced to distinct values once; each round is one small aggregate of that table, and only its sums
-    reach the driver. Steps are capped at 1.
+    Scores are reduced to distinct values once and written; each round is one small aggregate of that table for all groups, of
+    which only the sums reach the driver: groups are few, such as years. Steps are capped at 1.
     """
-    scores = score_table(df, score, label).select(guarded_logit(F.col("score")).alias("x"), "p", "q").persist()
-    try:
-        def sums(a: float, b: float) -> np.ndarray:
-            m = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-            n = F.col("p") + F.col("q")
-            g, h = F.col("p") - n * m, n * m * (1 - m)
-            r = scores.agg(F.sum(g), F.sum(g * F.col("x")), F.sum(h), F.sum(h * F.col("x")), F.sum(h * F.col("x") * F.col("x"))).first()
-            return np.array([float(v or 0) for v in r])
-
-        offset = 0.0
-        for _ in range(rounds):
-            s = sums(offset, 1.0)
+    group = F.lit("") if by is None else F.col(by).cast("string")
+    named = df.where(group.isNotNull()).withColumn("__g", group)
+    scores = cut(score_table(named, score, label, ("__g",)).select("__g", guarded_logit(F.col("score")).alias("x"), "p", "q"), "calibracion")
+    groups = [r[0] for r in scores.select("__g").distinct().orderBy("__g").collect()]
+
+    def sums(at: dict[str, tuple[float, float]]) -> dict[str, np.ndarray]:
+        look = lambda i: F.create_map(*(F.lit(v) for g, ab in at.items() for v in (g, ab[i])))[F.col("__g")]
+        m = 1 / (1 + F.exp(-(look(0) + look(1) * F.col("x"))))
+        n = F.col("p") + F.col("q")
+        g, h = F.col("p") - n * m, n * m * (1 - m)
+        rows = scores.where(F.col("__g").isin(list(at))).groupBy("__g").agg(F.sum(g), F.sum(g * F.col("x")), F.sum(h), F.sum(h * F.col("x")), F.sum(h * F.col("x") * F.col("x")))
+        return {r[0]: np.array([float(v or 0) for v in r[1:]]) for r in rows.collect()}
+
+    offsets, lines = dict.fromkeys(groups, 0.0), dict.fromkeys(groups, (0.0, 1.0))
+    open_groups = set(groups)
+    for _ in range(rounds):
+        if not open_groups:
+            break
+        for g, s in sums({g: (offsets[g], 1.0) for g in open_groups}).items():
             step = float(np.clip(s[0] / s[2] if s[2] else 0.0, -1, 1))
-            offset += step
+            offsets[g] += step
             if abs(step) < tolerance:
-                break
-        a, b = 0.0, 1.0
-        for _ in range(rounds):
-            s = sums(a, b)
+                open_groups.discard(g)
+    open_groups = set(groups)
+    for _ in range(rounds):
+        if not open_groups:
+            break
+        for g, s in sums({g: lines[g] for g in open_groups}).items():
             info = np.array([[s[2], s[3]], [s[3], s[4]]])
             if abs(np.linalg.det(info)) < 1e-18:
-                break
+                open_groups.discard(g)
+                continue
             step = np.clip(np.linalg.solve(info, s[:2]), -1, 1)
-            a, b = a + float(step[0]), b + float(step[1])
+            lines[g] = (lines[g][0] + float(step[0]), lines[g][1] + float(step[1]))
             if np.abs(step).max() < tolerance:
-                break
-    finally:
-        scores.unpersist()
-    return {"intercept": offset, "slope_intercept": a, "slope": b}
+                open_groups.discard(g)
+    return [(None if by is None else g, offsets[g], *lines[g]) for g in groups]
 
 
 def bootstrap_weights(units: DataFrame, unit: str, draws: int, seed: int = 18) -> DataFrame:
     """(draw, unit, w): Poisson bootstrap weights of distinct units, the same for every model; zero weights left out."""
-    each = units.select(unit).where(F.col(unit).isNotNull()).distinct().select(unit, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    return each.withColumn("w", poisson_weight(draw(seed, "bootstrap", F.col("draw"), F.col(unit)))).where("w > 0")
+    each = exploded_draws(units.select(unit).where(F.col(unit).isNotNull()).distinct(), draws, seed, "bootstrap", unit)
+    return each.withColumn("w", poisson_weight(F.col("__u"), span=QUARTER)).where("w > 0").select("draw", unit, "w")
 
 
 def bootstrap_metrics(df: DataFrame, unit: str, score: str, label: str, draws: int, seed: int = 18) -> DataFrame:
     """(draw, auprc, auroc): rows take their unit's weight, computed from a hash in place, so no weights table is joined. Rows of
     one unit, score and label are summed before they are drawn, and the table of all draws is made once."""
     known = df.where(F.col(unit).isNotNull() & F.col(score).isNotNull() & F.col(label).isNotNull())
-    known = known.groupBy(unit, score, label).agg(F.count(F.lit(1)).alias("__n")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    w = poisson_weight(draw(seed, "bootstrap", F.col("draw"), F.col(unit)))
-    weighed = score_table(known.withColumn("__w", w).where("__w > 0"), score, label, ("draw",), F.col("__w") * F.col("__n"))
+    known = exploded_draws(known.groupBy(unit, score, label).agg(F.count(F.lit(1)).alias("__n")), draws, seed, "bootstrap", unit)
+    weighed = score_table(known.withColumn("__w", poisson_weight(F.col("__u"), span=QUARTER)).where("__w > 0"), score, label, ("draw",), F.col("__w") * F.col("__n"))
     return ranking_metrics(cut(weighed, "sorteos"), ("draw",))
 
 
@@ -111,10 +119,29 @@ def percentile_interval(draws: DataFrame, columns: list[str], low: float = 0.025
     return q.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.round(F.col(c)[0], 6).alias("low"), F.round(F.col(c)[1], 6).alias("high")) for c in columns))))
 
 
-def paired_verdict(a: DataFrame, b: DataFrame, metric: str, margin: float) -> DataFrame:
-    """Difference a - b over paired draws and whether a loses to b by more than margin: LOSES if the whole interval lies
-    below -margin, NOT_WORSE if it lies above, else UNDECIDED."""
-    d = a.select("draw", F.col(metric).alias("x")).join(b.select("draw", F.col(metric).alias("y")), "draw").select((F.col("x") - F.col("y")).alias("d"))
-    q = d.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("d").alias("m"))
-    verdict = F.when(F.col("q")[1] < -margin, "LOSES").when(F.col("q")[0] > -margin, "NOT_WORSE").otherwise("UNDECIDED")
-    return q.select(F.lit(metric).alias("metric"), F.round("m", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"), verdict.alias("verdict"))
+def paired_falls(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(metric, mean, low, high) of how far a falls behind b over paired draws: auroc in points, auprc as a share of b's."""
+    own = lambda t, s: t.select("draw", *(F.col(c).alias(f"{c}_{s}") for c in ("auprc", "auroc")))
+    j = own(a, "a").join(own(b, "b"), "draw")
+    falls = j.select(((F.col("auprc_b") - F.col("auprc_a")) / F.nullif("auprc_b", F.lit(0.0))).alias("auprc"), (F.col("auroc_b") - F.col("auroc_a")).alias("auroc"))
+    q = falls.agg(*(x for c in ("auprc", "auroc") for x in (F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(f"q_{c}"), F.avg(c).alias(f"m_{c}"))))
+    return q.select(F.inline(F.array(*(
+        F.struct(F.lit(c).alias("metric"), F.col(f"m_{c}").alias("mean"), F.col(f"q_{c}")[0].alias("low"), F.col(f"q_{c}")[1].alias("high")) for c in ("auprc", "auroc")
+    ))))
+
+
+def paired_verdict(a: DataFrame, b: DataFrame, margin_auprc: float = 0.1, margin_auroc: float = 0.02) -> DataFrame:
+    """Both falls of a behind b with the joint verdict: LOSES if either interval lies beyond its margin, NOT_WORSE if both lie within
+    theirs, else UNDECIDED."""
+    falls = paired_falls(a, b).withColumn("margin", F.when(F.col("metric") == "auprc", margin_auprc).otherwise(margin_auroc))
+    whole = Window.partitionBy(F.lit(1))  # two rows
+    loses, within = F.max((F.col("low") > F.col("margin")).cast("int")).over(whole), F.min((F.col("high") <= F.col("margin")).cast("int")).over(whole)
+    verdict = F.when(loses == 1, "LOSES").when(within == 1, "NOT_WORSE").otherwise("UNDECIDED")
+    return falls.select("metric", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), verdict.alias("verdict"))
+
+
+def weighting_verdict(plain: DataFrame, weighted: DataFrame, margin: float = 0.1) -> DataFrame:
+    """Relative gain in auprc of weighted training over paired draws: WEIGH if the whole interval lies above margin, else PLAIN."""
+    gain = weighted.select("draw", F.col("auprc").alias("w")).join(plain.select("draw", F.col("auprc").alias("s")), "draw").select(((F.col("w") - F.col("s")) / F.nullif("s", F.lit(0.0))).alias("d"))
+    q = gain.agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("d").alias("m"))
+    return q.select(F.round("m", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"), F.when(F.col("q")[0] > margin, "WEIGH").otherwise("PLAIN").alias("verdict"))

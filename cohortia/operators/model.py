@@ -110,6 +110,13 @@ def out_of_fold(cases: DataFrame, record_id: str, label: str, fold: str, kind: s
     return out
 
 
+def without_outcomes(df: DataFrame, forbidden: set[str]) -> DataFrame:
+    """df itself; raises ValueError if it has a column that knows the outcome."""
+    if leaks := forbidden & set(df.columns):
+        raise ValueError(f"columns that know the outcome: {sorted(leaks)}")
+    return df
+
+
 def disjoint_folds(cases: DataFrame, unit: str, fold: str) -> DataFrame:
     """Units that lie in more than one fold; must be empty."""
     return cases.groupBy(unit).agg(F.min(fold).alias("a"), F.max(fold).alias("b")).where("a < b").select(unit)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortia.functions.draws import sql_draw, sql_poisson
+from cohortia.functions.draws import QUARTER, sql_draw, sql_exploded_draw, sql_poisson
 from cohortia.operators import codes, evaluate, features, model, partition
+from cohortia.operators.skew import sized_join
 from cohortia.plans.cohort import LABELS_SQL, labelled
 from cohortia.plans.discharges import DISCHARGES_SQL, DX, PX, RECORDS_SQL, discharges, records
 from cohortia.plans.registry import Registry
@@ -15,14 +16,15 @@ from cohortia.session import cut, table
 
 REG = Registry()
 LABELS = ["readmit_30d", "readmit_30d_mdc", "readmit_7d", "readmit_7d_mdc"]
-LEAST_N, LEAST_V, FOLDS = 20, 0.01, 5
+LEAST_N, LEAST_V, FOLDS = 100, 0.01, 5
 
 
 # ---------------------------------------------------------------- splits
 
-def strata(spark: SparkSession, d: str) -> DataFrame:
+def strata(spark: SparkSession, d: str, cases: DataFrame | None = None) -> DataFrame:
     rows = discharges(spark, d).select("encounter_id", "patient_id", "block")
-    return partition.patient_strata(rows.join(labelled(spark, d).select("encounter_id", *LABELS), "encounter_id", "left"), LABELS)
+    cases = labelled(spark, d) if cases is None else cases
+    return partition.patient_strata(rows.join(cases.select("encounter_id", *LABELS), "encounter_id", "left"), LABELS)
 
 
 STRATA_SQL = f"""
@@ -55,11 +57,11 @@ def partition_balance(spark: SparkSession, d: str) -> DataFrame:
 
 def folded(spark: SparkSession, d: str) -> DataFrame:
     """Labelled cases with the fold of their patient identifier."""
-    cases = labelled(spark, d)
+    cases = cut(labelled(spark, d), "casos")
     ids = discharges(spark, d).select("encounter_id", "patient_id")
-    dealt = partition.systematic_deal(strata(spark, d), "stratum", ["positives", "cases"], "patient_id", FOLDS, 13, "folds")
+    dealt = partition.systematic_deal(strata(spark, d, cases), "stratum", ["positives", "cases"], "patient_id", FOLDS, 13, "folds")
     folds = dealt.select("patient_id", "block", F.col("part").alias("fold"))
-    return cases.join(ids, "encounter_id").join(folds, ["patient_id", "block"])
+    return sized_join(cases.join(ids, "encounter_id"), cut(folds, "pliegues"), ["patient_id", "block"], "inner")
 
 
 FOLDS_SQL = f"""{STRATA_SQL},
@@ -115,9 +117,11 @@ def record_pairs(spark: SparkSession, d: str, levels: tuple[str, ...] = ("COMPLE
     return codes.code_pairs(table(spark, d, "grd_2019_2024").withColumnRenamed("id_egreso", "encounter_id"), "encounter_id", BLOCKS, levels)
 
 
-def case_pairs(spark: SparkSession, d: str, levels: tuple[str, ...] = ("COMPLETO", "CATEGORIA")) -> DataFrame:
-    cases = labelled(spark, d).select("encounter_id")
-    return record_pairs(spark, d, levels).join(cases, "encounter_id", "left_semi")
+def case_pairs(spark: SparkSession, d: str, levels: tuple[str, ...] = ("COMPLETO", "CATEGORIA"), cases: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The codes of the cases with the cases' columns in keep: records are joined while they are one row each, then unfolded."""
+    cases = labelled(spark, d) if cases is None else cases
+    wide = table(spark, d, "grd_2019_2024").select(F.col("id_egreso").alias("encounter_id"), *DX, *PX)
+    return codes.code_pairs(wide.join(cases.select("encounter_id", *keep), "encounter_id"), "encounter_id", BLOCKS, levels, keep)
 
 
 _LONG = " UNION ALL ".join(f"SELECT id_egreso AS encounter_id, '{b}' AS block, {sql_read(c)} AS code FROM grd_2019_2024" for b, cols in BLOCKS.items() for c in cols)
@@ -125,7 +129,7 @@ PAIRS_SQL = f"""
 lg AS ({_LONG}),
 cp AS (SELECT DISTINCT encounter_id, block, 'COMPLETO' AS level, code FROM lg WHERE code IS NOT NULL
   UNION SELECT DISTINCT encounter_id, block, 'CATEGORIA', split_part(code, '.', 1) FROM lg WHERE code IS NOT NULL),
-pr AS (SELECT cp.* FROM cp SEMI JOIN lab USING (encounter_id))"""
+pr AS MATERIALIZED (SELECT cp.* FROM cp SEMI JOIN lab USING (encounter_id))"""
 
 
 def _measures_sql(counts: str, extra: str = "") -> str:
@@ -150,8 +154,8 @@ LIST_C = f"n >= {LEAST_N} AND (v >= {LEAST_V} OR ((risk >= 2 OR risk <= 0.5) AND
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    cases = labelled(spark, d).select("encounter_id", "readmit_30d")
-    return codes.association(record_pairs(spark, d), cases, "encounter_id", "readmit_30d")
+    cases = cut(labelled(spark, d).select("encounter_id", "readmit_30d"), "casos")
+    return codes.association(case_pairs(spark, d, cases=cases, keep=("readmit_30d",)), cases, "encounter_id", "readmit_30d")
 
 
 @REG.add("code_pairs", f"WITH {DISCHARGES_SQL}, {LABELS_SQL}, {PAIRS_SQL} SELECT encounter_id, block, level, code FROM pr")
@@ -196,9 +200,9 @@ def codes_recovered_by_grouping(spark: SparkSession, d: str) -> DataFrame:
     return failing.join(passed.where("level = 'CATEGORIA'").select(F.col("code").alias("category")), "category", "left_semi").select("code")
 
 
-@REG.add("threshold_grid", f"{CODES_SQL} " + " UNION ALL ".join(f"SELECT {a} AS least_n, {b}::DOUBLE AS least_v, CAST(coalesce(sum((n >= {a} AND v >= {b})::INTEGER), 0) AS BIGINT) AS codes FROM ms" for a in (10, 20, 50) for b in (0.005, 0.01, 0.02)))
+@REG.add("threshold_grid", f"{CODES_SQL} " + " UNION ALL ".join(f"SELECT {a} AS least_n, {b}::DOUBLE AS least_v, CAST(coalesce(sum((n >= {a} AND v >= {b})::INTEGER), 0) AS BIGINT) AS codes FROM ms" for a in (50, 100, 500) for b in (0.005, 0.01, 0.02)))
 def threshold_grid(spark: SparkSession, d: str) -> DataFrame:
-    return codes.threshold_grid(measured(spark, d), [10, 20, 50], [0.005, 0.01, 0.02])
+    return codes.threshold_grid(measured(spark, d), [50, 100, 500], [0.005, 0.01, 0.02])
 
 
 @REG.add("top_codes_by_direction", f"{CODES_SQL}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY direction ORDER BY v DESC, block, level, code) AS INTEGER) AS place FROM ms) SELECT direction, place, block, level, code, v FROM r WHERE place <= 10")
@@ -213,14 +217,21 @@ def least_rate_for_v(spark: SparkSession, d: str) -> DataFrame:
 
 FOLD_COUNTS_SQL = f"""
 fk AS (SELECT unnest(range(0, {FOLDS + 1})) AS k),
-ft AS (SELECT k, count(*) AS total, sum(readmit_30d)::BIGINT AS positives FROM fc, fk WHERE readmit_30d IS NOT NULL AND fold <> k GROUP BY k),
-fn AS (SELECT k, pr.block, level, code, count(*) AS n, sum(readmit_30d)::BIGINT AS c FROM pr JOIN fc USING (encounter_id), fk WHERE readmit_30d IS NOT NULL AND fold <> k GROUP BY ALL),
-fm AS (SELECT fn.*, ft.total, ft.positives FROM fn JOIN ft USING (k))"""
+fot AS (SELECT k, count(*) AS total, sum(readmit_30d)::BIGINT AS positives FROM fc, fk WHERE readmit_30d IS NOT NULL AND fold <> k GROUP BY k),
+fn AS (SELECT k, pr.block, level, code, count(*) FILTER (fold <> k) AS n, coalesce(sum(readmit_30d) FILTER (fold <> k), 0)::BIGINT AS c FROM pr JOIN fc USING (encounter_id), fk WHERE readmit_30d IS NOT NULL GROUP BY ALL),
+fm AS (SELECT fn.*, fot.total, fot.positives FROM fn JOIN fot USING (k))"""
 PER_FOLD_SQL = f"WITH {DISCHARGES_SQL}, {LABELS_SQL}, {FOLDS_SQL}, {PAIRS_SQL}, {FOLD_COUNTS_SQL}, ms AS {_measures_sql('fm')}"
 
 
 def fold_measures(spark: SparkSession, d: str) -> DataFrame:
-    return codes.per_fold(record_pairs(spark, d, ("COMPLETO",)), folded(spark, d), "encounter_id", "readmit_30d", "fold", FOLDS)
+    cases = cut(folded(spark, d).select("encounter_id", "readmit_30d", "fold"), "plegados")
+    return codes.per_fold(case_pairs(spark, d, ("COMPLETO",), cases, ("readmit_30d", "fold")), cases, "encounter_id", "readmit_30d", "fold", FOLDS)
+
+
+@REG.add("code_counts_per_fold", f"{PER_FOLD_SQL} SELECT CAST(k AS INTEGER) AS fold, block, code, n, c, total, positives FROM ms WHERE level = 'COMPLETO'")
+def code_counts_per_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Every code of the cases for every fold left out, zeros included."""
+    return fold_measures(spark, d).select("fold", "block", "code", "n", "c", "total", "positives")
 
 
 @REG.add("code_list_per_fold", f"{PER_FOLD_SQL} SELECT CAST(k AS INTEGER) AS fold, block, code FROM ms WHERE {LIST_A} AND level = 'COMPLETO'")
@@ -241,8 +252,7 @@ q AS (SELECT block, level, count(*) AS years FROM t GROUP BY ALL), s AS (SELECT
 p AS (SELECT block, level, code, min(s) AS lo, max(s) AS hi, count(*) AS seen FROM s GROUP BY ALL)
 SELECT block, level, code, round(hi / lo, 6) AS ratio, years - seen AS missing_years FROM p JOIN q USING (block, level) WHERE seen < years OR hi > 3.0 * lo""")
 def code_prevalence_drift(spark: SparkSession, d: str) -> DataFrame:
-    years = labelled(spark, d).select("encounter_id", "year")
-    return codes.prevalence_drift(record_pairs(spark, d).join(years, "encounter_id"), "year")
+    return codes.prevalence_drift(case_pairs(spark, d, keep=("year",)), "year")
 
 
 @REG.add("lists_per_code", """
@@ -350,8 +360,9 @@ SELECT condition, count(*) AS n, round(avg(readmit_30d), 6) AS rate, round(count
 def condition_rates(spark: SparkSession, d: str) -> DataFrame:
     """Prevalence and re-admission rate of each comorbid condition."""
     prefixes = spark.createDataFrame(PREFIXES, "condition string, prefix string, weight bigint")
-    marks = features.condition_marks(record_pairs(spark, d, ("COMPLETO",)).where("block = 'DIAGNOSTICO'"), prefixes, "encounter_id")
-    return features.condition_rates(marks, labelled(spark, d), "encounter_id", "readmit_30d")
+    cases = cut(labelled(spark, d).select("encounter_id", "readmit_30d"), "casos")
+    marks = features.condition_marks(case_pairs(spark, d, ("COMPLETO",), cases).where("block = 'DIAGNOSTICO'"), prefixes, "encounter_id")
+    return features.condition_rates(marks, cases, "encounter_id", "readmit_30d")
 
 
 @REG.add("case_features", f"""WITH {DISCHARGES_SQL}, {RECORDS_SQL}, {LABELS_SQL}, {INDEX_SQL}
@@ -388,10 +399,10 @@ def univariate_auroc(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("extreme_categories", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL},
 c AS (SELECT 'mdc' AS "column", coalesce(mdc, 'SIN DATO') AS value, readmit_30d AS y FROM lab WHERE readmit_30d IS NOT NULL UNION ALL SELECT 'site', coalesce(site, 'SIN DATO'), readmit_30d FROM lab WHERE readmit_30d IS NOT NULL),
-r AS (SELECT "column", value, avg(y) AS rate FROM c GROUP BY 1, 2 HAVING count(*) >= 100)
+r AS (SELECT "column", value, avg(y) AS rate FROM c GROUP BY 1, 2 HAVING count(*) >= 1000)
 SELECT "column", min_by(value, {{'r': rate, 'v': value}}) AS lowest, round(min(rate), 6) AS lowest_rate, max_by(value, {{'r': rate, 'v': value}}) AS highest, round(max(rate), 6) AS highest_rate FROM r GROUP BY 1""")
 def extreme_categories(spark: SparkSession, d: str) -> DataFrame:
-    return features.extreme_categories(labelled(spark, d), ["mdc", "site"], "readmit_30d", 100)
+    return features.extreme_categories(labelled(spark, d), ["mdc", "site"], "readmit_30d", 1000)
 
 
 # ---------------------------------------------------------------- model tables
@@ -401,12 +412,11 @@ CASE_COLUMNS = ["encounter_id", "patient_id", "fold", "mdc", "admit_type", "stay
 
 
 def model_case_table(spark: SparkSession, d: str) -> DataFrame:
-    if leaks := FORBIDDEN & set(CASE_COLUMNS):
-        raise ValueError(f"columns that know the outcome: {sorted(leaks)}")
     begin = index_cases(spark, d).select("encounter_id", F.datediff("discharge", "admit").alias("stay"))
     h = case_history(spark, d).select("encounter_id", "stays", "unplanned")
     cases = folded(spark, d).join(begin, "encounter_id").join(h, "encounter_id")
-    return cases.withColumn("mdc", F.coalesce("mdc", F.lit("SIN DATO"))).withColumn("admit_type", F.coalesce("admit_type", F.lit("SIN DATO"))).select(*CASE_COLUMNS)
+    made = cases.withColumn("mdc", F.coalesce("mdc", F.lit("SIN DATO"))).withColumn("admit_type", F.coalesce("admit_type", F.lit("SIN DATO"))).select(*CASE_COLUMNS)
+    return model.without_outcomes(made, FORBIDDEN)
 
 
 @REG.add("model_cases", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {FOLDS_SQL}, {INDEX_SQL}
@@ -416,7 +426,7 @@ def model_cases(spark: SparkSession, d: str) -> DataFrame:
     return model_case_table(spark, d)
 
 
-@REG.add("model_codes", f"{CODES_SQL}, a AS (SELECT block, level, code FROM ms WHERE {LIST_A}) SELECT pr.encounter_id, block, level, code FROM pr JOIN a USING (block, level, code)")
+@REG.add("model_codes", f"{CODES_SQL}, a AS MATERIALIZED (SELECT block, level, code FROM ms WHERE {LIST_A}) SELECT pr.encounter_id, block, level, code FROM pr JOIN a USING (block, level, code)")
 def model_codes(spark: SparkSession, d: str) -> DataFrame:
     listed = measured(spark, d).where(codes.in_list_a(LEAST_N, LEAST_V)).select("block", "level", "code")
     return case_pairs(spark, d).join(cut(listed, "lista"), ["block", "level", "code"])
@@ -512,22 +522,28 @@ def brier_prevalence(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("calibration_by_newton")
 def calibration_by_newton(spark: SparkSession, d: str) -> DataFrame:
-    c = evaluate.calibration(scored(spark, d), "score", "y")
-    return spark.createDataFrame([tuple(round(c[k], 6) for k in ("intercept", "slope_intercept", "slope"))], "intercept double, slope_intercept double, slope double")
+    """Over all cases (year null) and per year."""
+    rows = cut(scored(spark, d), "puntajes")
+    found = evaluate.calibration(rows, "score", "y") + evaluate.calibration(rows, "score", "y", "year")
+    return spark.createDataFrame([(None if y is None else int(y), *(round(v, 6) for v in x)) for y, *x in found], "year int, intercept double, slope_intercept double, slope double")
 
 
-DRAWS = 20  # of the queries that have SQL
-ALL_DRAWS = 1000
-_U = sql_draw(18, "bootstrap", "draw", "patient_id")
+DRAWS = 1000
+_W = sql_poisson(sql_exploded_draw(18, "bootstrap", "draw", "patient_id"), span=QUARTER)
 
 
 @REG.add("bootstrap_weights", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {SCORED_SQL}, u AS (SELECT DISTINCT patient_id FROM sc WHERE patient_id IS NOT NULL),
-w AS (SELECT CAST(draw AS INTEGER) AS draw, patient_id, {sql_poisson(_U)} AS w FROM u, range(1, 3) r(draw)) SELECT draw, patient_id, w FROM w WHERE w > 0""")
+w AS (SELECT CAST(draw AS INTEGER) AS draw, patient_id, {_W} AS w FROM u, range(1, {DRAWS + 1}) r(draw))
+SELECT draw, count(*) AS units, CAST(sum(w) AS BIGINT) AS total, CAST(sum(w * w) AS BIGINT) AS squares, CAST(max(w) AS INTEGER) AS most FROM w WHERE w > 0 GROUP BY draw""")
 def bootstrap_weights(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.bootstrap_weights(scored(spark, d), "patient_id", 2).select("draw", "patient_id", "w")
+    """The weights of all draws, summed up per draw."""
+    w = evaluate.bootstrap_weights(scored(spark, d), "patient_id", DRAWS)
+    return w.groupBy("draw").agg(F.count(F.lit(1)).alias("units"), F.sum("w").alias("total"), F.sum(F.col("w") * F.col("w")).alias("squares"), F.max("w").alias("most"))
 
 
-BOOT_SQL = f"""bw AS (SELECT * FROM (SELECT CAST(draw AS INTEGER) AS draw, sc.*, {sql_poisson(_U)} AS w FROM sc, range(1, {DRAWS + 1}) r(draw) WHERE patient_id IS NOT NULL) WHERE w > 0)"""
+BOOT_SQL = f"""bg AS (SELECT patient_id, score, y, count(*) AS k FROM sc WHERE patient_id IS NOT NULL GROUP BY ALL),
+bw AS MATERIALIZED (SELECT * FROM (SELECT CAST(draw AS INTEGER) AS draw, bg.*, k * {_W} AS w FROM bg, range(1, {DRAWS + 1}) r(draw)) WHERE w > 0)"""
+COARSE_SQL = f"""bx AS (SELECT draw, w, y, round(score, 1) AS score FROM bw), m AS ({_ranking_sql('bw', 'draw', 'w')}), k AS ({_ranking_sql('bx', 'draw', 'w')})"""
 
 
 @REG.add("bootstrap_interval", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {SCORED_SQL}, {BOOT_SQL}, m AS ({_ranking_sql('bw', 'draw', 'w')})
@@ -537,32 +553,24 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.percentile_interval(evaluate.bootstrap_metrics(scored(spark, d), "patient_id", "score", "y", DRAWS), ["auprc", "auroc"])
 
 
-@REG.add("paired_verdict", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {SCORED_SQL}, {BOOT_SQL}, bx AS (SELECT draw, w, y, round(score, 1) AS score FROM bw),
-m AS ({_ranking_sql('bw', 'draw', 'w')}), k AS ({_ranking_sql('bx', 'draw', 'w')}), d AS (SELECT k.auroc - m.auroc AS d FROM k JOIN m USING (draw)),
-q AS (SELECT avg(d) AS m, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM d)
-SELECT 'auroc' AS metric, round(m, 6) AS mean, round(lo, 6) AS low, round(hi, 6) AS high, CASE WHEN hi < -0.02 THEN 'LOSES' WHEN lo > -0.02 THEN 'NOT_WORSE' ELSE 'UNDECIDED' END AS verdict FROM q""")
-def paired_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return _coarse_verdict(spark, d, DRAWS)
-
-
-def _coarse_verdict(spark: SparkSession, d: str, draws: int) -> DataFrame:
-    """A coarsened score against the full one over the same draws."""
+def coarse_and_full(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Metrics of a coarsened score and of the full one over the same draws."""
     rows = cut(scored(spark, d), "puntajes")
-    full = evaluate.bootstrap_metrics(rows, "patient_id", "score", "y", draws)
-    coarse = evaluate.bootstrap_metrics(rows.withColumn("score", F.round("score", 1)), "patient_id", "score", "y", draws)
-    return evaluate.paired_verdict(coarse, full, "auroc", 0.02)
-
+    metrics = lambda t: cut(evaluate.bootstrap_metrics(t, "patient_id", "score", "y", DRAWS), "medidas")
+    return metrics(rows.withColumn("score", F.round("score", 1))), metrics(rows)
 
-@REG.add("bootstrap_interval_1000")
-def bootstrap_interval_1000(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.percentile_interval(evaluate.bootstrap_metrics(scored(spark, d), "patient_id", "score", "y", ALL_DRAWS), ["auprc", "auroc"])
 
-
-@REG.add("paired_verdict_1000")
-def paired_verdict_1000(spark: SparkSession, d: str) -> DataFrame:
-    return _coarse_verdict(spark, d, ALL_DRAWS)
+@REG.add("paired_verdict", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {SCORED_SQL}, {BOOT_SQL}, {COARSE_SQL},
+d AS (SELECT (m.auprc - k.auprc) / m.auprc AS dp, m.auroc - k.auroc AS dr FROM k JOIN m USING (draw)),
+q AS (SELECT avg(dp) AS mp, quantile_cont(dp, 0.025) AS lp, quantile_cont(dp, 0.975) AS hp, avg(dr) AS mr, quantile_cont(dr, 0.025) AS lr, quantile_cont(dr, 0.975) AS hr FROM d),
+v AS (SELECT *, CASE WHEN lp > 0.1 OR lr > 0.02 THEN 'LOSES' WHEN hp <= 0.1 AND hr <= 0.02 THEN 'NOT_WORSE' ELSE 'UNDECIDED' END AS verdict FROM q)
+SELECT 'auprc' AS metric, round(mp, 6) AS mean, round(lp, 6) AS low, round(hp, 6) AS high, verdict FROM v UNION ALL SELECT 'auroc', round(mr, 6), round(lr, 6), round(hr, 6), verdict FROM v""")
+def paired_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.paired_verdict(*coarse_and_full(spark, d))
 
 
-@REG.add("bootstrap_weights_1000")
-def bootstrap_weights_1000(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.bootstrap_weights(scored(spark, d), "patient_id", ALL_DRAWS).select("draw", "patient_id", "w")
+@REG.add("weighting_verdict", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {SCORED_SQL}, {BOOT_SQL}, {COARSE_SQL}, d AS (SELECT (m.auprc - k.auprc) / k.auprc AS d FROM k JOIN m USING (draw))
+SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, CASE WHEN quantile_cont(d, 0.025) > 0.1 THEN 'WEIGH' ELSE 'PLAIN' END AS verdict FROM d""")
+def weighting_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The rule of the weighting trial, with the coarse score in the place of plain training."""
+    return evaluate.weighting_verdict(*coarse_and_full(spark, d))

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortia.operators import codes, evaluate, features, model, partition, quality
@@ -66,8 +67,13 @@ def test_calibration_recovers_shift_and_slope(spark):
     rng = random.Random(11)
     sig = lambda x: 1 / (1 + math.exp(-x))
     rows = [(sig(x), int(rng.random() < sig(0.5 + 2 * x))) for x in (rng.gauss(0, 1) for _ in range(8000))]
-    c = evaluate.calibration(spark.createDataFrame([*rows, (0.0, 0), (1.0, 1)], "s double, y int"), "s", "y")
-    assert abs(c["slope"] - 2) < 0.2 and abs(c["slope_intercept"] - 0.5) < 0.15
+    df = spark.createDataFrame([(*r, i % 2) for i, r in enumerate([*rows, (0.0, 0), (1.0, 1)])], "s double, y int, g int")
+    ((name, _, intercept, slope),) = evaluate.calibration(df, "s", "y")
+    assert name is None and abs(slope - 2) < 0.2 and abs(intercept - 0.5) < 0.15
+    parts = evaluate.calibration(df, "s", "y", "g")
+    alone = evaluate.calibration(df.where("g = 1"), "s", "y")[0]
+    assert [p[0] for p in parts] == ["0", "1"] and all(abs(a - b) < 1e-9 for a, b in zip(parts[1][1:], alone[1:]))
+    assert evaluate.calibration(df.limit(0), "s", "y") == []
 
 
 def test_history_borders(spark):
@@ -132,9 +138,29 @@ def test_bootstrap_of_a_thousand_draws_is_registered(spark, data, monkeypatch):
     seen = []
     whole = evaluate.bootstrap_metrics
     monkeypatch.setattr(evaluate, "bootstrap_metrics", lambda *a: seen.append(a[4]) or whole(*a[:4], 2))
-    modelling.REG.queries["bootstrap_interval_1000"](spark, data)
-    modelling.REG.queries["paired_verdict_1000"](spark, data)
-    assert seen == [1000] * 3
+    for name in ("bootstrap_interval", "paired_verdict", "weighting_verdict"):
+        modelling.REG.queries[name](spark, data)
+    assert seen == [1000] * 5
+
+
+@pytest.mark.parametrize(("prc", "roc", "verdict"), [(0.05, 0.01, "NOT_WORSE"), (0.2, 0.01, "LOSES"), (0.05, 0.03, "LOSES"), (None, 0.01, "UNDECIDED")])
+def test_joint_verdict(spark, prc, roc, verdict):
+    """The auprc's margin is a share of the other's value, the auroc's is in points; both decide together."""
+    falls = [prc if prc is not None else i / 100 for i in range(40)]
+    a = spark.createDataFrame([(i, 0.5 * (1 - f), 0.7 - roc) for i, f in enumerate(falls)], "draw int, auprc double, auroc double")
+    b = spark.createDataFrame([(i, 0.5, 0.7) for i in range(40)], "draw int, auprc double, auroc double")
+    got = {r["metric"]: r for r in evaluate.paired_verdict(a, b).collect()}
+    assert {r["verdict"] for r in got.values()} == {verdict} and abs(got["auroc"]["mean"] - roc) < 1e-6
+    assert evaluate.weighting_verdict(a, b).first()["verdict"] == ("WEIGH" if prc == 0.2 else "PLAIN")
+
+
+def test_codes_of_a_left_out_fold_are_zero(spark):
+    pairs = spark.createDataFrame([(1, "D", "C", "x"), (2, "D", "C", "x"), (1, "D", "C", "y")], "id int, block string, level string, code string")
+    cases = spark.createDataFrame([(1, 1, 1), (2, 0, 2), (3, 0, 2)], "id int, y int, f int")
+    got = {(r["code"], r["fold"]): (r["n"], r["c"], r["total"], r["positives"]) for r in codes.per_fold(pairs, cases, "id", "y", "f", 2).collect()}
+    assert got == {("x", 0): (2, 1, 3, 1), ("x", 1): (1, 0, 2, 0), ("x", 2): (1, 1, 1, 1), ("y", 0): (1, 1, 3, 1), ("y", 1): (0, 0, 2, 0), ("y", 2): (1, 1, 1, 1)}
+    kept = codes.per_fold(pairs.join(cases, "id"), cases, "id", "y", "f", 2)
+    assert {(r["code"], r["fold"]): (r["n"], r["c"], r["total"], r["positives"]) for r in kept.collect()} == got
 
 
 def test_bootstrap_metrics_equal_repeated_rows(spark):
