@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.operators.ordered import carried, month_of, running_last, running_max
+
+ORDER = ["admit", "discharge", "encounter_id"]
 TRANSFER = "DERIVACI"
 OTHER_SITE = "OTROS HOSPITALES"
 
@@ -15,9 +18,8 @@ def usable_stay() -> Column:
 
 def with_leader(df: DataFrame) -> DataFrame:
     """Adds `leader`: of the person's earlier rows by (admit, discharge, id) the one with the latest discharge."""
-    order = Window.partitionBy("person_id").orderBy("admit", "discharge", "encounter_id")
     row = F.struct("discharge", "admit", "encounter_id", "site", "discharge_type")
-    return df.where(usable_stay()).withColumn("leader", F.max(row).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return carried(df.where(usable_stay()), ["person_id"], month_of("admit"), ORDER, "leader", running_max(row))
 
 
 def transfer_mark() -> Column:
@@ -39,19 +41,16 @@ def continues(max_days: int = 1, require_mark: bool = False) -> Column:
 def build_episodes(df: DataFrame, max_days: int = 1, require_mark: bool = False) -> DataFrame:
     """df's usable stays with episode_id (id of the opening row), episode_size, continues, final.
 
-    One shuffle by person; all windows share its order. Rows without a person or with dates out of order have no
-    episode and are left out. Equal rows are told apart by id.
+    A person's rows are read month by month, so that a person with many is spread (see carried()); sizes and last rows are
+    combined aggregates joined back. Rows without a person or with dates out of order have no episode and are left out. Equal
+    rows are told apart by id.
     """
-    order = Window.partitionBy("person_id").orderBy("admit", "discharge", "encounter_id")
-    opened = with_leader(df).withColumn("continues", continues(max_days, require_mark))
-    ids = F.last(F.when(~F.col("continues"), F.col("encounter_id")), ignorenulls=True).over(order)
-    named = opened.withColumn("episode_id", ids)
-    whole = Window.partitionBy("person_id", "episode_id")
-    last = F.max(F.struct("discharge", "admit", "encounter_id")).over(whole)
-    return (
-        named.withColumn("episode_size", F.count(F.lit(1)).over(whole).cast("int"))
-        .withColumn("final", last["encounter_id"] == F.col("encounter_id"))
-    )
+    opened = with_leader(df.drop("episode_id")).withColumn("continues", continues(max_days, require_mark))
+    opener = running_last(F.when(~F.col("continues"), F.col("encounter_id")), F.struct("admit", "discharge", "encounter_id"))
+    named = carried(opened, ["person_id"], month_of("admit"), ORDER, "episode_id", opener, upto=0)
+    last = F.max(F.struct("discharge", "admit", "encounter_id"))
+    whole = named.groupBy("episode_id").agg(F.count(F.lit(1)).cast("int").alias("episode_size"), last["encounter_id"].alias("__last"))
+    return named.join(whole, "episode_id").withColumn("final", F.col("__last") == F.col("encounter_id")).drop("__last")
 
 
 def transfer_concordance(episodes: DataFrame) -> DataFrame:

@@ -10,43 +10,42 @@ from cohortia.operators.ordered import running_sums
 
 def history(cases: DataFrame, events: DataFrame, days: int, measures: dict[str, Column]) -> DataFrame:
     """cases (encounter_id, person_id, admit, episode_id) with, per measure, the number of other episodes whose end lies in
-    [admit - days, admit], and days_since the last such end (days + 1 if none).
+    [admit - days, admit].
 
-    events has one row per episode (person_id, episode_id, end). Cases and events share one sequence per person ordered by
-    day, read with a range frame, so a case is never joined with its person's events; the case's own episode is
-    subtracted where its end falls in its own window.
+    events has one row per episode (person_id, episode_id, end). Events and case days are first reduced to one row per person and
+    day, so a person with a third of all rows is as many as the calendar has days; counts are the difference of two growing
+    frames. Cases take them by person and day, and the own episode is subtracted where its end falls in the window.
     """
     marks = {m: F.coalesce(c.cast("int"), F.lit(0)) for m, c in measures.items()}
-    ev = events.where("person_id IS NOT NULL").select("person_id", "episode_id", F.unix_date("end").alias("day"), F.lit(None).cast("bigint").alias("case"), *(c.alias(m) for m, c in marks.items()))
+    ev = events.where("person_id IS NOT NULL").select("person_id", "episode_id", F.unix_date("end").alias("day"), *(c.alias(m) for m, c in marks.items()))
     own = ev.select("episode_id", F.col("day").alias("__own"), *(F.col(m).alias(f"__own_{m}") for m in measures))
-    ca = cases.where("person_id IS NOT NULL").select("person_id", "episode_id", F.unix_date("admit").alias("day"), F.col("encounter_id").alias("case"), *(F.lit(0).alias(m) for m in measures))
-    frame = Window.partitionBy("person_id").orderBy("day").rangeBetween(-days, 0)
-    # Latest end up to the day, and the latest of another episode: the two greatest (end, episode) pairs decide.
-    pair = F.when(F.col("case").isNull(), F.struct("day", "episode_id"))
-    rows = ev.unionByName(ca)
-    sums = rows.select("case", "person_id", "episode_id", F.col("day").alias("admit_day"), *(F.sum(m).over(frame).alias(m) for m in measures), F.max(pair).over(frame).alias("__last")).where("case IS NOT NULL")
-    joined = sums.join(own, "episode_id", "left")
-    inside = F.coalesce(F.col("__own").between(F.col("admit_day") - days, F.col("admit_day")), F.lit(False))
+    ca = cases.where("person_id IS NOT NULL").select("encounter_id", "person_id", "episode_id", F.unix_date("admit").alias("day"))
+    asked = ca.select("person_id", "day", *(F.lit(0).alias(m) for m in measures))
+    daily = ev.drop("episode_id").unionByName(asked).groupBy("person_id", "day").agg(*(F.sum(m).alias(m) for m in measures))
+    order = Window.partitionBy("person_id").orderBy("day")
+    upto = lambda m, last: F.coalesce(F.sum(m).over(order.rangeBetween(Window.unboundedPreceding, last)), F.lit(0))
+    counts = daily.select("person_id", "day", *((upto(m, 0) - upto(m, -days - 1)).alias(m) for m in measures))
+    joined = ca.join(counts, ["person_id", "day"]).join(own, "episode_id", "left")
+    inside = F.coalesce(F.col("__own").between(F.col("day") - days, F.col("day")), F.lit(False))
     return joined.select(
-        F.col("case").alias("encounter_id"), "person_id", "episode_id",
+        "encounter_id", "person_id", "episode_id",
         *((F.col(m) - F.when(inside, F.col(f"__own_{m}")).otherwise(0)).cast("bigint").alias(m) for m in measures),
     )
 
 
 def days_since_last(cases: DataFrame, events: DataFrame, days: int) -> DataFrame:
     """(encounter_id, days_since): days from the latest end of another episode to the admission, days + 1 if that is further
-    back or there is none. As-of join by a running maximum; as an episode's own end can only be the latest, ends are
-    kept per (person, day) with the smallest and greatest episode, which tells whether another one shares the day."""
+    back or there is none. As-of join by a running last over one row per person and day; as an episode's own end can only be
+    the latest, ends are kept with the smallest and greatest episode, which tells whether another one shares the day."""
     ends = events.groupBy("person_id", F.unix_date("end").alias("day")).agg(F.min("episode_id").alias("e0"), F.max("episode_id").alias("e1"))
+    ca = cases.where("person_id IS NOT NULL").select("encounter_id", "person_id", F.unix_date("admit").alias("day"), F.col("episode_id").alias("own"))
     order = Window.partitionBy("person_id").orderBy("day")
-    ends = ends.withColumn("before", F.lag("day").over(order))
-    ev = ends.select("person_id", "day", F.lit(0).alias("side"), F.struct("day", "e0", "e1", "before").alias("e"), F.lit(None).cast("bigint").alias("case"), F.lit(None).cast("bigint").alias("own"))
-    ca = cases.where("person_id IS NOT NULL").select("person_id", F.unix_date("admit").alias("day"), F.lit(1).alias("side"), F.lit(None).cast(ev.schema["e"].dataType).alias("e"), F.col("encounter_id").alias("case"), F.col("episode_id").alias("own"))
-    asof = Window.partitionBy("person_id").orderBy("day", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = ev.unionByName(ca).withColumn("e", F.last("e", ignorenulls=True).over(asof)).where("side = 1")
+    marked = ends.withColumn("before", F.lag("day").over(order)).select("person_id", "day", F.struct("day", "e0", "e1", "before").alias("e"))
+    daily = marked.unionByName(ca.select("person_id", "day", F.lit(None).cast(marked.schema["e"].dataType).alias("e"))).groupBy("person_id", "day").agg(F.max("e").alias("e"))
+    found = ca.join(daily.withColumn("e", F.last("e", ignorenulls=True).over(order)), ["person_id", "day"])
     only_own = (F.col("e.e0") == F.col("own")) & (F.col("e.e1") == F.col("own"))
     end = F.when(only_own, F.col("e.before")).otherwise(F.col("e.day"))
-    return found.select(F.col("case").alias("encounter_id"), F.least(F.coalesce(F.col("day") - end, F.lit(days + 1)), F.lit(days + 1)).cast("bigint").alias("days_since"))
+    return found.select("encounter_id", F.least(F.coalesce(F.col("day") - end, F.lit(days + 1)), F.lit(days + 1)).cast("bigint").alias("days_since"))
 
 
 def comorbidity(pairs: DataFrame, prefixes: DataFrame, replaces: list[tuple[str, str]], record_id: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortia.operators.ordered import carried, month_of, running_last
+
 
 @dataclass(frozen=True)
 class LabelRules:
@@ -61,8 +63,8 @@ def label_readmissions(df: DataFrame, rules: LabelRules = LabelRules()) -> DataF
     person that may be re-admissions, in the order (admit, discharge, id) from the opening of the case's own episode on. The
     first counting one decides readmit_<d>d, the first counting one with the case's MDC decides readmit_<d>d_mdc, as later
     ones are only further away. Both are found in one pass each: openings and cases are laid in one sequence per
-    person (and MDC), read backwards so that the frame is a running one; no case is ever joined with the openings of its
-    person.
+    person (and MDC), read backwards so that the frame is a running one, month by month; no case is ever joined with the
+    openings of its person, and a person with a third of all rows is spread over the months.
 
     Labels are null when the case is discharged less than d + margin days before its block ends, *_mdc labels also where the MDC is
     in no_related (not if all admissions count or the MDC is grouped). A case without MDC or with one in never_related has the
@@ -88,10 +90,10 @@ def label_readmissions(df: DataFrame, rules: LabelRules = LabelRules()) -> DataF
         F.array(place(0, F.col("o.__mdc"), hit, F.lit(None).cast(z_type))), F.transform("zs", lambda z: place(1, z["__mdc"], no_hit, z)),
     )))
     # Backwards, a case comes before its own opening: what was passed so far are the later openings.
-    back = (F.desc("p1"), F.desc("p2"), F.desc("p3"), F.desc("side"))
-    passed = Window.partitionBy("person_id").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
-    related = Window.partitionBy("person_id", "key").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
-    cases = both.withColumn("next", F.last("hit", ignorenulls=True).over(passed)).withColumn("next_mdc", F.last("hit", ignorenulls=True).over(related)).where("side = 1")
+    back = [F.desc("p1"), F.desc("p2"), F.desc("p3"), F.desc("side")]
+    hits = running_last(F.col("hit"), F.struct("p1", "p2", "p3"), backwards=True)
+    passed = carried(both, ["person_id"], month_of("p1"), back, "next", hits, backwards=True)
+    cases = carried(passed, ["person_id", "key"], month_of("p1"), back, "next_mdc", hits, backwards=True).where("side = 1")
     cases = cases.select("person_id", "z.*", "next", "next_mdc").drop("__mdc").withColumn("__key", comparable_mdc(F.col("mdc"), rules))
     days, days_mdc = F.datediff("next.day", "discharge"), F.datediff("next_mdc.day", "discharge")
     end = block_end(rules)

@@ -76,6 +76,25 @@ def test_calibration_recovers_shift_and_slope(spark):
     assert evaluate.calibration(df.limit(0), "s", "y") == []
 
 
+@pytest.mark.parametrize("upto", [-1, 0])
+@pytest.mark.parametrize("backwards", [False, True])
+def test_carried_equals_one_window(spark, upto, backwards):
+    """Shard by shard gives what one window over the whole group gives, with a third of all rows in one group."""
+    from pyspark.sql import Window
+
+    from cohortia.operators.ordered import carried, month_of, running_last, running_max
+
+    rng = random.Random(5)
+    rows = [(i, 0 if i % 3 == 0 else rng.randrange(1, 9), rng.randrange(400), rng.choice([None, i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g int, n int, v int").selectExpr("*", "date_add(DATE '2022-01-01', n) AS d")
+    order = [F.desc("d"), F.desc("id")] if backwards else ["d", "id"]
+    whole = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    last = running_last(F.col("v"), F.struct("d", "id"), backwards)
+    for name, over, plain in (("last", last, F.last("v", ignorenulls=True)), ("max", running_max(F.col("v")), F.max("v"))):
+        got = carried(df, ["g"], month_of("d"), order, name, over, upto, backwards)
+        assert sorted(map(str, got.select("id", name).collect())) == sorted(map(str, df.withColumn(name, plain.over(whole)).select("id", name).collect()))
+
+
 def test_history_borders(spark):
     from datetime import date, timedelta
 

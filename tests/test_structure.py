@@ -17,6 +17,15 @@ def test_core_does_not_import_llm():
             assert not any("llm" in n for n in names), p
 
 
+def test_entry_without_llm(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "cohortia.llm.queries", None)
+    assert "p1_found" in e.queries() and not any(k.startswith("p2_") for k in e.queries())
+
+
 def test_every_sql_has_a_query():
     import __spark_entry__ as e
 
