@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortia.operators.ordered import running_sums
+from cohortia.operators.skew import sized_join
 
 
 def history(cases: DataFrame, events: DataFrame, days: int, measures: dict[str, Column]) -> DataFrame:
@@ -84,10 +85,12 @@ def _without(marks: Column, condition: str) -> Column:
 
 
 def merge_rare(df: DataFrame, column: str, least: int = 100, other: str = "OTRO", missing: str = "SIN DATO") -> DataFrame:
-    """column with null as `missing` and categories of fewer than `least` rows as `other`."""
+    """column with null as `missing` and categories of fewer than `least` rows as `other`. The frequent categories, at most one in
+    `least` rows, are joined by checked size, so that a value with a third of all rows isn't shuffled."""
     value = F.coalesce(F.col(column), F.lit(missing))
-    rare = df.groupBy(value.alias(column)).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < least).select(column, F.lit(True).alias("__rare"))
-    return df.withColumn(column, value).join(rare, column, "left").withColumn(column, F.when(F.col("__rare"), other).otherwise(F.col(column))).drop("__rare")
+    common = df.groupBy(value.alias(column)).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(column, F.lit(True).alias("__common"))
+    joined = sized_join(df.withColumn(column, value), common, [column])
+    return joined.withColumn(column, F.when(F.col("__common"), F.col(column)).otherwise(other)).drop("__common")
 
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from cohortia.session import cut
 
 
-def vocabulary(cases: DataFrame, categorical: list[str], pairs: DataFrame | None = None, record_id: str = "encounter_id") -> DataFrame:
-    """(feature, slot): one 0/1 column per level of each categorical column (none dropped) and per code of pairs (block, level,
-    code), numbered in order of the name."""
-    cells = F.array(*(F.concat_ws("=", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("SIN DATO"))) for c in categorical))
-    names = cases.select(F.explode(cells).alias("feature"))
+def _levels(categorical: list[str]) -> Column:
+    return F.array(*(F.concat_ws("=", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("SIN DATO"))) for c in categorical))
+
+
+def _code() -> Column:
+    return F.concat_ws("|", "block", "level", "code")
+
+
+def vocabulary(cases: DataFrame, categorical: list[str], pairs: DataFrame | None = None, record_id: str = "encounter_id") -> list[str]:
+    """The 0/1 columns in order of the name: one per level of each categorical column (none dropped) and per code of pairs (block,
+    level, code). They are the columns of the model's matrix, so they fit where the model does."""
+    names = cases.select(F.explode(_levels(categorical)).alias("feature")).distinct()
     if pairs is not None:
-        names = names.unionByName(pairs.select(F.concat_ws("|", "block", "level", "code").alias("feature")))
-    ordered = names.distinct().orderBy("feature")
-    return ordered.sparkSession.createDataFrame(
-        ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], int(x[1]))), "feature string, slot int"
-    )
+        names = names.unionByName(pairs.select(_code().alias("feature")).distinct()).distinct()
+    return sorted(r[0] for r in names.collect())
 
 
 def training_statistics(train: DataFrame, numeric: list[str], logged: tuple[str, ...] = ()) -> dict[str, tuple[float, float, float]]:
@@ -34,31 +38,33 @@ def _numeric(c: str, median: float, log: bool) -> Column:
     return F.log1p(F.greatest(x, F.lit(0.0))) if log else x
 
 
-def design(cases: DataFrame, record_id: str, numeric: list[str], categorical: list[str], stats: dict[str, tuple[float, float, float]], vocab: DataFrame, pairs: DataFrame | None = None, logged: tuple[str, ...] = (), train: DataFrame | None = None) -> DataFrame:
+def design(cases: DataFrame, record_id: str, numeric: list[str], categorical: list[str], stats: dict[str, tuple[float, float, float]], vocab: list[str], pairs: DataFrame | None = None, logged: tuple[str, ...] = (), train: DataFrame | None = None) -> DataFrame:
     """cases with `features`, a sparse vector: z-scored numeric columns, then the 0/1 columns of the vocabulary. train: its rows
     give each 0/1 column's share p, and the column is divided by sqrt(p (1 - p)); one that is constant there stays as it is.
-    The 0/1 columns aren't centred, which keeps the matrix sparse."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    The 0/1 columns aren't centred, which keeps the matrix sparse. Vectors are put together inside the JVM."""
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, VectorAssembler
+    from pyspark.ml.linalg import Vectors
 
-    width = len(numeric) + (vocab.agg(F.max("slot")).first()[0] or 0) + 1
-    cells = F.array(*(F.concat_ws("=", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("SIN DATO"))) for c in categorical))
-    marks = cases.select(record_id, F.explode(cells).alias("feature"))
+    marked = cases.withColumn("__marks", _levels(categorical))
     if pairs is not None:
         kept = pairs.join(cases.select(record_id), record_id, "left_semi")
-        marks = marks.unionByName(kept.select(record_id, F.concat_ws("|", "block", "level", "code").alias("feature")))
-    held = marks.join(vocab, "feature").select(record_id, "slot").distinct()
-    if train is None:
-        held = held.withColumn("value", F.lit(1.0))
-    else:
-        total = train.count()
-        p = F.count(F.lit(1)) / F.lit(float(max(total, 1)))
-        shares = held.join(train.select(record_id), record_id, "left_semi").groupBy("slot").agg(p.alias("p"))
-        scale = F.when((F.col("p") > 0) & (F.col("p") < 1), 1 / F.sqrt(F.col("p") * (1 - F.col("p")))).otherwise(1.0)
-        held = held.join(shares, "slot", "left").withColumn("value", F.coalesce(scale, F.lit(1.0)))
-    slots = held.groupBy(record_id).agg(F.sort_array(F.collect_list(F.struct((F.col("slot") + len(numeric)).alias("slot"), "value"))).alias("slots"))
-    values = F.array(*((_numeric(c, stats[c][0], c in logged) - stats[c][1]) / (stats[c][2] or 1.0) for c in numeric))
-    vector = F.udf(lambda v, s: SparseVector(width, list(range(len(v))) + [x[0] for x in s or []], list(v) + [x[1] for x in s or []]), VectorUDT())
-    return cases.join(slots, record_id, "left").withColumn("features", vector(values, "slots")).drop("slots")
+        held = kept.groupBy(record_id).agg(F.collect_set(_code()).alias("__codes"))  # one record's codes
+        marked = marked.join(held, record_id, "left").withColumn("__marks", F.concat("__marks", F.coalesce("__codes", F.array().cast("array<string>")))).drop("__codes")
+    scale = [1.0] * len(vocab)
+    if train is not None:
+        total = max(train.count(), 1)
+        shares = marked.join(train.select(record_id), record_id, "left_semi").select(F.explode(F.array_distinct("__marks")).alias("feature")).groupBy("feature").agg((F.count(F.lit(1)) / total).alias("p"))
+        slot = {f: i for i, f in enumerate(vocab)}
+        for r in shares.collect():
+            if r["feature"] in slot and 0 < r["p"] < 1:
+                scale[slot[r["feature"]]] = 1 / (r["p"] * (1 - r["p"])) ** 0.5
+    for i, c in enumerate(numeric):
+        marked = marked.withColumn(f"__n{i}", (_numeric(c, stats[c][0], c in logged) - stats[c][1]) / (stats[c][2] or 1.0))
+    ones = CountVectorizerModel.from_vocabulary(vocab, "__marks", "__ones")
+    marked = ones.setBinary(True).transform(marked)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="__ones", outputCol="__scaled").transform(marked)
+    whole = VectorAssembler(inputCols=[*(f"__n{i}" for i in range(len(numeric))), "__scaled"], outputCol="features").transform(scaled)
+    return whole.select(*cases.columns, "features")
 
 
 def estimator(kind: str, n: int, seed: int = 17, small: bool = False):
@@ -98,7 +104,7 @@ def out_of_fold(cases: DataFrame, record_id: str, label: str, fold: str, kind: s
         if pairs is not None and lists is not None:
             own = pairs.join(cut(lists.where(F.col("fold") == f).select("block", "level", "code"), "lista"), ["block", "level", "code"], "left_semi")
         if vocab is None or lists is not None:
-            vocab = cut(vocabulary(known, categorical, own, record_id), "vocabulario")
+            vocab = vocabulary(known, categorical, own, record_id)
         data = design(known, record_id, numeric, categorical, stats, vocab, own, logged, train if linear else None).withColumn("label", F.col(label).cast("double"))
         n0, n1 = (train.where(F.col(label) == v).count() for v in (0, 1))
         data = cut(data.withColumn("w", F.when(F.lit(weighted) & (F.col("label") == 1), F.lit(n0 / max(n1, 1))).otherwise(1.0)).select(record_id, fold, "features", "label", "w"), "matriz")

@@ -380,10 +380,18 @@ def case_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@REG.add("rare_merge", f"""WITH {DISCHARGES_SQL}, n AS (SELECT coalesce(site, 'SIN DATO') AS site, count(*) AS n FROM b GROUP BY 1)
-SELECT CASE WHEN n < 100 THEN 'OTRO' ELSE site END AS site, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1""")
+MERGED = ["site", "admit_type", "discharge_type", "origin", "activity", "mdc", "sex"]
+
+
+@REG.add("rare_merge", f"WITH {DISCHARGES_SQL}, n AS (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", coalesce({c}, 'SIN DATO') AS value, count(*) AS n FROM b GROUP BY 2""" for c in MERGED) + """)
+SELECT "column", CASE WHEN n < 100 THEN 'OTRO' ELSE value END AS value, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1, 2""")
 def rare_merge(spark: SparkSession, d: str) -> DataFrame:
-    return features.merge_rare(discharges(spark, d), "site", 100).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    """Seven category columns, missing values named and rare ones united, and how often each value then stands."""
+    rows = discharges(spark, d).select(*MERGED)
+    for c in MERGED:
+        rows = features.merge_rare(rows, c, 100)
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in MERGED))
+    return rows.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _auroc_sql(score: str, source: str) -> str:

@@ -10,33 +10,42 @@ from cohortia.operators import quality
 from cohortia.plans.discharges import DISCHARGES_SQL, DX, PX, RECORDS_SQL, discharges, records
 from cohortia.plans.registry import Registry
 from cohortia.plans.sqltext import sql_blanks, sql_read, sql_read_grd
-from cohortia.session import table
+from cohortia.session import table, work_folder
 from cohortia.sources import delimited
 
 REG = Registry()
 _NO_DATA = ", ".join(f"'{w}'" for w in text.NO_DATA)
 
 
+TEXTS = [
+    "archivo_origen", "bloque_id", "sexo", "provincia", "prevision", "cod_hospital", "tipo_actividad", "tipo_ingreso", "tipo_procedencia", "especialidad_medica",
+    "servicioingreso", "servicioalta", "tipoalta", *DX, *PX, "ir_29301_cod_grd", "cdm",
+]
+OTHERS = ["id_egreso", "anio_archivo", "fila_origen", "fecha_carga", "id_paciente", "fecha_nacimiento", "fecha_ingreso", "fechaalta", "ir_29301_peso", "ir_29301_severidad", "ir_29301_mortalidad"]
+
+
 # ---------------------------------------------------------------- cleaning
 
 def _sql_clean(c: str) -> str:
     return f"upper(regexp_replace(trim({c}, {sql_blanks()}), '[\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+', ' ', 'g'))"
 
 
-@REG.add("clean_text", f"SELECT id_egreso, {_sql_clean('tipo_ingreso')} AS tipo_ingreso, {_sql_clean('servicioingreso')} AS servicioingreso, {_sql_clean('diagnostico1')} AS diagnostico1 FROM grd_2019_2024")
+@REG.add("clean_text", "SELECT id_egreso, " + ", ".join(f"{_sql_clean(c)} AS {c}" for c in TEXTS) + " FROM grd_2019_2024")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "grd_2019_2024")
-    return rows.select("id_egreso", *(text.clean_text(F.col(c)).alias(c) for c in ("tipo_ingreso", "servicioingreso", "diagnostico1")))
+    """Every text column cleaned."""
+    return table(spark, d, "grd_2019_2024").select("id_egreso", *(text.clean_text(F.col(c)).alias(c) for c in TEXTS))
+
+
+NO_CODE = {c: ("0",) for c in PX}
 
 
 @REG.add("null_tokens", " UNION ALL ".join(
     f"SELECT '{c}' AS col, count(*) FILTER ({_sql_clean(c)} IN ({_NO_DATA}{extra})) AS tokens, count(*) FILTER ({_sql_clean(c)} <> '' AND {_sql_clean(c)} NOT IN ({_NO_DATA}{extra})) AS kept FROM grd_2019_2024"
-    for c, extra in (("provincia", ""), ("especialidad_medica", ""), ("procedimiento1", ", '0'"), ("diagnostico2", ""))
+    for c, extra in ((c, ", '0'" if c in NO_CODE else "") for c in TEXTS)
 ))
 def null_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Cells with a no-data word and cells kept, with '0' as a word of its own for procedures."""
-    extra = {"procedimiento1": ("0",)}
-    cols = ["provincia", "especialidad_medica", "procedimiento1", "diagnostico2"]
+    """Cells of every text column with a no-data word and cells kept, with '0' as a word of its own for procedures."""
+    extra, cols = NO_CODE, TEXTS
     rows = table(spark, d, "grd_2019_2024").select(*(text.clean_text(F.col(c)).alias(c) for c in cols))
     sums = []
     for c in cols:
@@ -46,7 +55,8 @@ def null_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(*sums).select(F.inline(cells))
 
 
-EQUIVALENCES = {"PROGRAMADA": "ELECTIVA", "OBSTETRICA": "OBSTÉTRICA"}
+# Pairs are a parameter; these two unite writings of one meaning and leave the values that labels read as they are.
+EQUIVALENCES = {"FUGA": "FUGA DEL PACIENTE", "URGENTE": "URGENCIA"}
 
 
 @REG.add("equivalence_map", f"""WITH m(a, b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in EQUIVALENCES.items())}), t AS (SELECT {_sql_clean('tipo_ingreso')} AS v FROM grd_2019_2024)
@@ -159,9 +169,33 @@ def line_audit(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy(F.size(F.split("value", "[|]", -1)).cast("bigint").alias("fields")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+RAW = ["id_egreso", "cod_hospital", "tipo_ingreso", "tipoalta", "diagnostico1", "ir_29301_cod_grd", "fecha_ingreso"]
+
+
+@REG.add("delimited_round_trip", f"""SELECT {', '.join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in RAW)}, 2024 AS anio FROM grd_2019_2024""")
+def delimited_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Raw columns written as delimited text with a header and read back: all fields text, empty ones ''."""
+    return raw_extract(spark, d).select(*RAW, F.col("anio_archivo").cast("int").alias("anio"))
+
+
+@REG.add("source_lines", f"SELECT count(*) AS lines, 0 AS repeated, 1 AS least_from_two FROM grd_2019_2024")
+def source_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line has its own number in its file, the header being 1."""
+    per = raw_extract(spark, d).groupBy("archivo_origen").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fila_origen").alias("k"), F.min("fila_origen").alias("a"), F.max("fila_origen").alias("z"))
+    return per.agg(F.sum("n").alias("lines"), F.sum(F.col("n") - F.col("k")).alias("repeated"), F.min(((F.col("a") == 2) & (F.col("z") == F.col("n") + 1)).cast("int")).alias("least_from_two"))
+
+
+def raw_extract(spark: SparkSession, d: str) -> DataFrame:
+    folder = work_folder(spark, "extracto")
+    rows = table(spark, d, "grd_2019_2024").select(*(F.col(c).cast("string").alias(c) for c in RAW))
+    plain = {"header": True, "sep": "|", "quote": "", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**plain).csv(folder)
+    return delimited.read_delimited(spark, folder, 2024)
+
+
 # ---------------------------------------------------------------- profiling and control
 
-PROFILED = ["sexo", "prevision", "tipo_ingreso", "tipoalta", "diagnostico1", "procedimiento1", "cod_hospital"]
+PROFILED = TEXTS
 _CELLS = " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value, anio_archivo FROM grd_2019_2024" for c in PROFILED)
 
 
@@ -204,9 +238,9 @@ def top_k_codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "grd_2019_2024").select(code.alias("code")).where("code IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code").limit(25)
 
 
-@REG.add("null_pct_by_year", f"""WITH c AS ({_CELLS}) SELECT anio_archivo, col AS "column", round(1 - count(value)::DOUBLE / count(*), 6) AS missing FROM c GROUP BY 1, 2""")
+@REG.add("null_pct_by_year", " UNION ALL ".join(f"""SELECT anio_archivo, '{c}' AS "column", round(1 - count({c})::DOUBLE / count(*), 6) AS missing FROM grd_2019_2024 GROUP BY 1""" for c in TEXTS + OTHERS))
 def null_pct_by_year(spark: SparkSession, d: str) -> DataFrame:
-    return quality.null_share(table(spark, d, "grd_2019_2024"), "anio_archivo", PROFILED)
+    return quality.null_share(table(spark, d, "grd_2019_2024").withColumn("__year", F.col("anio_archivo")), "__year", TEXTS + OTHERS).withColumnRenamed("__year", "anio_archivo")
 
 
 @REG.add("monthly_control_table", f"""WITH {RECORDS_SQL} SELECT CAST(year(discharge) AS INTEGER) AS y, {', '.join(f'count(*) FILTER (month(discharge) = {m}) AS m{m:02d}' for m in range(1, 13))} FROM rec WHERE discharge IS NOT NULL GROUP BY 1""")
@@ -237,12 +271,10 @@ def data_dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("union_years", "SELECT anio_archivo, count(*) AS n, min(id_egreso) AS first_id, max(id_egreso) AS last_id FROM grd_2019_2024 GROUP BY 1")
 def union_years(spark: SparkSession, d: str) -> DataFrame:
-    """The yearly parts, stacked again under one schema."""
-    rows = table(spark, d, "grd_2019_2024")
-    out = None
-    for y in range(2019, 2025):
-        part = rows.where(F.col("anio_archivo") == y).select("anio_archivo", "id_egreso")
-        out = part if out is None else out.unionByName(part)
+    """The two identifier blocks and what has none, stacked again under one schema, and counted by year."""
+    rows = table(spark, d, "grd_2019_2024").select("anio_archivo", "id_egreso", "bloque_id")
+    parts = [rows.where("bloque_id = 'A'"), rows.where("bloque_id = 'B'"), rows.where("bloque_id IS NULL OR bloque_id NOT IN ('A', 'B')")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.groupBy("anio_archivo").agg(F.count(F.lit(1)).alias("n"), F.min("id_egreso").alias("first_id"), F.max("id_egreso").alias("last_id"))
 
 

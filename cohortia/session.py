@@ -34,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dirs[app]}"
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder, deleted when the driver's program ends."""
+    path = f"{shared_dir(spark)}/cohortia-{label}-{uuid.uuid4().hex}"
+    if not _cuts:
+        atexit.register(_drop_all)
+    _cuts[path] = spark
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df once under the shared folder and go on from the written table.
 
@@ -41,10 +50,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     a lost executor costs nothing that was written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cohortia-{label}-{uuid.uuid4().hex}"
-    if not _cuts:
-        atexit.register(_drop_all)
-    _cuts[path] = spark
+    path = work_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,8 +65,9 @@ def _drop_all() -> None:
     for path, spark in _cuts.items():
         try:
             _delete(spark, path)
-        except Exception:  # noqa: BLE001  (the session has ended; the folder's owner clears it)
-            return
+        except Exception:  # noqa: BLE001  (the session has ended: what lies in a file system of the driver can still go)
+            if path.startswith("file:") or path.startswith("/"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
 
 
 def drop_cut(df: DataFrame) -> None:

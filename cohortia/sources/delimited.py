@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortia.operators.skew import sized_join
+
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(value, file): the lines of a text file in any encoding that Java knows, without byte-order mark and line end.
+    """(value, file, block): the lines of text files in any encoding that Python knows, without byte-order mark and line end; block
+    is the byte at which the line's part of the file begins.
 
     UTF-8 goes through the splittable text source. Other encodings are decoded as whole files, one task each, as UTF-16
     can't be split at byte offsets.
     """
     name = encoding.lower().replace("_", "-")
     if name in ("utf-8", "utf8", "utf-8-sig"):
-        lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     else:
         def decode(batches):
             for b in batches:
@@ -25,20 +28,21 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataF
                     rows = text.removesuffix("\n").split("\n") if text else []
                     yield pd.DataFrame({"value": [r.removesuffix("\r") for r in rows], "file": p})
 
-        lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "value string, file string")
+        lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "value string, file string").withColumn("block", F.lit(0).cast("bigint"))
     clean = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r$", "")
-    return lines.select(clean.alias("value"), "file")
+    return lines.select(clean.alias("value"), "file", "block")
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(value, file, line): line numbers from 1 in file order. The text source keeps a file's order across its splits,
-    so zipWithIndex needs one counting pass and no shuffle; numbers restart with each file."""
-    lines = read_lines(spark, path, encoding)
-    indexed = spark.createDataFrame(
-        lines.rdd.zipWithIndex().map(lambda x: (x[0]["value"], x[0]["file"], x[1])), "value string, file string, pos bigint"
-    )
-    first = indexed.groupBy("file").agg(F.min("pos").alias("__first"))
-    return indexed.join(F.broadcast(first), "file").select("value", "file", (F.col("pos") - F.col("__first") + 1).alias("line"))  # one row per file
+    """(value, file, line): line numbers from 1 in each file's order.
+
+    Lines are numbered inside the JVM: each part of a file counts its own, and the parts before it, one row a part, are added.
+    """
+    lines = read_lines(spark, path, encoding).withColumn("__m", F.monotonically_increasing_id())
+    parts = lines.groupBy("file", "block").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("file", "block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    return sized_join(lines, offsets, ["file", "block"], "inner").select("value", "file", (F.col("__m") + F.col("__shift")).alias("line"))
 
 
 def audit_lines(lines: DataFrame, fields: int, sep: str = "|") -> DataFrame:

@@ -129,7 +129,7 @@ def test_design_divides_marks_by_their_deviation(spark):
     pairs = spark.createDataFrame([(i, "D", "COMPLETO", "Z") for i in (0, 9)], "id int, block string, level string, code string")
     train, vocab = cases.where("id < 8"), model.vocabulary(cases, ["c"], pairs, "id")
     got = {r["id"]: r["features"] for r in model.design(cases, "id", ["x"], ["c"], {"x": (0.0, 0.0, 1.0)}, vocab, pairs, train=train).collect()}
-    slot = {r["feature"]: r["slot"] + 1 for r in vocab.collect()}
+    slot = {f: i + 1 for i, f in enumerate(vocab)}
     level, code = 1 / math.sqrt(0.25 * 0.75), 1 / math.sqrt(0.125 * 0.875)  # 2 and 1 of 8 training rows
     assert abs(got[0][slot["c=a"]] - level) < 1e-9 and abs(got[9][slot["c=b"]] - level) < 1e-9 and got[9][slot["c=a"]] == 0
     assert abs(got[9][slot["D|COMPLETO|Z"]] - code) < 1e-9 and got[1][slot["D|COMPLETO|Z"]] == 0
