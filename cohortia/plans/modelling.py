@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortia.functions.draws import QUARTER, sql_draw, sql_exploded_draw, sql_poisson
 from cohortia.operators import codes, evaluate, features, model, partition
 from cohortia.operators.skew import sized_join
+from cohortia.plans.charlson import PREFIXES, REPLACES
 from cohortia.plans.cohort import LABELS_SQL, labelled
 from cohortia.plans.discharges import DISCHARGES_SQL, DX, PX, RECORDS_SQL, discharges, records
 from cohortia.plans.registry import Registry
@@ -337,31 +338,47 @@ def history_bands_rate(spark: SparkSession, d: str) -> DataFrame:
     return rates_by(j, ["band"], "readmit_30d")
 
 
-# Groups by chapter letter; weights and one mild/severe pair, as an example of the prefix tables that users bring.
-PREFIXES = [("heart", "I", 2), ("lung", "J", 1), ("kidney", "N1", 3), ("cancer", "C", 4), ("spread", "C7", 7), ("diabetes", "E1", 1), ("liver", "K7", 2), ("mental", "F", 1)]
-REPLACES = [("spread", "cancer")]
+_PX_SQL = f"""px(condition, prefix, weight) AS (VALUES {', '.join(f"('{c}', '{p}', {w})" for c, p, w in PREFIXES)})"""
+_DROP_SQL = " AND ".join(f"NOT (condition = '{mild}' AND EXISTS (SELECT 1 FROM mk s WHERE s.encounter_id = m.encounter_id AND s.condition = '{severe}'))" for severe, mild in REPLACES)
 
 
-@REG.add("comorbidity_score", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {PAIRS_SQL},
-px(condition, prefix, weight) AS (VALUES {', '.join(f"('{c}', '{p}', {w})" for c, p, w in PREFIXES)}),
-mk AS (SELECT DISTINCT encounter_id, condition, weight FROM pr JOIN px ON starts_with(replace(code, '.', ''), prefix) WHERE block = 'DIAGNOSTICO' AND level = 'COMPLETO'),
-kp AS (SELECT * FROM mk m WHERE NOT (condition = 'cancer' AND EXISTS (SELECT 1 FROM mk s WHERE s.encounter_id = m.encounter_id AND s.condition = 'spread')))
-SELECT encounter_id, CAST(count(*) AS INTEGER) AS conditions, CAST(sum(weight) AS BIGINT) AS score FROM kp GROUP BY 1""")
-def comorbidity_score(spark: SparkSession, d: str) -> DataFrame:
+def _comorbidity_sql(columns: list[str]) -> str:
+    codes_sql = " UNION ".join(f"SELECT id_egreso AS encounter_id, replace({sql_read(c)}, '.', '') AS bare FROM grd_2019_2024 WHERE {sql_read(c)} IS NOT NULL" for c in columns)
+    return f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {_PX_SQL}, dc AS ({codes_sql}), hit AS MATERIALIZED (SELECT DISTINCT bare, condition, weight FROM (SELECT DISTINCT bare FROM dc) JOIN px ON starts_with(bare, prefix)),
+mk AS MATERIALIZED (SELECT DISTINCT encounter_id, condition, weight FROM dc JOIN hit USING (bare) SEMI JOIN lab USING (encounter_id))"""
+
+
+def diagnosis_pairs(spark: SparkSession, d: str, columns: list[str], cases: DataFrame) -> DataFrame:
+    wide = table(spark, d, "grd_2019_2024").select(F.col("id_egreso").alias("encounter_id"), *columns)
+    return codes.code_pairs(wide.join(cases.select("encounter_id"), "encounter_id"), "encounter_id", {"DIAGNOSTICO": columns})
+
+
+def _comorbidity(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
     prefixes = spark.createDataFrame(PREFIXES, "condition string, prefix string, weight bigint")
-    pairs = case_pairs(spark, d, ("COMPLETO",)).where("block = 'DIAGNOSTICO'")
-    return features.comorbidity(pairs, prefixes, REPLACES, "encounter_id")
+    return features.comorbidity(diagnosis_pairs(spark, d, columns, labelled(spark, d)), prefixes, REPLACES, "encounter_id")
+
+
+_SCORE_SQL = f"SELECT encounter_id, CAST(count(*) AS INTEGER) AS conditions, CAST(sum(weight) AS BIGINT) AS score FROM mk m WHERE {_DROP_SQL} GROUP BY 1"
+
+
+@REG.add("comorbidity_score", f"{_comorbidity_sql(DX[1:])} {_SCORE_SQL}")
+def comorbidity_score(spark: SparkSession, d: str) -> DataFrame:
+    """Charlson conditions and score of the cases that have any, from the secondary diagnoses."""
+    return _comorbidity(spark, d, DX[1:])
+
+
+@REG.add("comorbidity_with_principal", f"{_comorbidity_sql(DX)} {_SCORE_SQL}")
+def comorbidity_with_principal(spark: SparkSession, d: str) -> DataFrame:
+    return _comorbidity(spark, d, DX)
 
 
-@REG.add("condition_rates", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {PAIRS_SQL},
-px(condition, prefix, weight) AS (VALUES {', '.join(f"('{c}', '{p}', {w})" for c, p, w in PREFIXES)}),
-mk AS (SELECT DISTINCT encounter_id, condition FROM pr JOIN px ON starts_with(replace(code, '.', ''), prefix) WHERE block = 'DIAGNOSTICO' AND level = 'COMPLETO')
+@REG.add("condition_rates", f"""{_comorbidity_sql(DX[1:])}
 SELECT condition, count(*) AS n, round(avg(readmit_30d), 6) AS rate, round(count(*)::DOUBLE / (SELECT count(readmit_30d) FROM lab), 6) AS prevalence FROM mk JOIN lab USING (encounter_id) WHERE readmit_30d IS NOT NULL GROUP BY 1""")
 def condition_rates(spark: SparkSession, d: str) -> DataFrame:
     """Prevalence and re-admission rate of each comorbid condition."""
     prefixes = spark.createDataFrame(PREFIXES, "condition string, prefix string, weight bigint")
     cases = cut(labelled(spark, d).select("encounter_id", "readmit_30d"), "casos")
-    marks = features.condition_marks(case_pairs(spark, d, ("COMPLETO",), cases).where("block = 'DIAGNOSTICO'"), prefixes, "encounter_id")
+    marks = features.condition_marks(diagnosis_pairs(spark, d, DX[1:], cases), prefixes, "encounter_id")
     return features.condition_rates(marks, cases, "encounter_id", "readmit_30d")
 
 
