@@ -168,8 +168,8 @@ def p7_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- 8: evaluation texts leaking into training text
 
-def leaks(spark: SparkSession, d: str, min_score: int = 16) -> DataFrame:
-    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "items_evaluacion"), "item_id", "texto", min_score=min_score)
+def leaks(spark: SparkSession, d: str, n: int = 5, min_score: int = 16) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "items_evaluacion"), "item_id", "texto", n=n, min_score=min_score)
 
 
 def _windows_sql(t: str, key: str, text: str) -> str:
@@ -183,8 +183,9 @@ WITH i AS ({_windows_sql('items_evaluacion', 'item_id', 'texto')}), d AS ({_wind
 SELECT DISTINCT doc_id, item_id FROM i JOIN d USING (g)
 """)
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs with 12 equal words in a row. Such a run alone scores 24, so the bound may ask for that: the filter pushed down."""
-    return leaks(spark, d, leakage.MATCH * 12).where("racha >= 12").select("doc_id", "item_id")
+    """Pairs with 12 equal words in a row. Such a run holds a seed of 12 words and scores 24 by itself, so seeds may be that long and
+    the bound may ask for that score: the filter pushed down, at no loss."""
+    return leaks(spark, d, 12, leakage.MATCH * 12).where("racha >= 12").select("doc_id", "item_id")
 
 
 @REG.add("p8_leaks")
