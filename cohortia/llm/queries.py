@@ -228,7 +228,7 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     whole = mix.agg(F.sum(F.col("tokens") * F.col("copias")).alias("t"))
     return report.select(
         "source", (F.col("repeticiones_maximas") <= F.col("max_repeticiones")).alias("dentro_del_maximo"),
-        (F.abs(F.col("tokens_mezcla") - F.col("peso_objetivo") * whole.scalar()) <= F.col("mayor")).alias("cuota_cumplida"), (F.col("veces") == 1).alias("una_vez"),
+        (F.abs(F.col("tokens_mezcla") - F.col("peso_objetivo") * whole.scalar()) <= F.col("mayor")).alias("cuota_cumplida"), (F.coalesce("veces", F.lit(1)) == 1).alias("una_vez"),
     )
 
 

@@ -21,7 +21,8 @@ RARE = 9.0
 ENDINGS = ("mente", "ción", "ciones", "dad", "dades", "tion", "tions", "ly", "ity", "ment")
 STOP = re.compile(r"[.!?;:\n]+")
 
-# Connectives and subordinators of Spanish and English, and marks of subordinate clauses.
+# Word lists of this library: connectives and subordinators of Spanish and English, and words that open clauses, of which the
+# share among all words stands in for clause depth.
 CONNECTIVES = frozenset(
     "aunque porque pues mientras cuando donde según mediante conforme asimismo además "
     "embargo obstante sino luego entonces así dado debido tras hasta desde sin "

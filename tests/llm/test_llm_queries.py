@@ -3,7 +3,7 @@ import pytest
 from tests.test_structure import compare_with_sql
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p5_found", "p7_found", "p7_codes", "p7_sequences", "p8_found"])
+@pytest.mark.parametrize("name", ["p2_found", "p2_split", "p2_balance", "p5_found", "p7_found", "p7_codes", "p7_sequences", "p8_found", "p9_kept"])
 def test_query_equals_sql(spark, data, name):
     compare_with_sql(spark, data, name)
 

@@ -38,6 +38,25 @@ def test_held_out_accuracy(spark):
     assert (got[9001], got[9002], got[9003], got[9004]) == (None, None, None, 4) and len(got) == len(truth) + 4
 
 
+def test_held_out_labels_of_the_tables(spark):
+    """Two of five labelled documents of the generated tables are held out, by a hash of the id."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("the generated tables are not here")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "etiquetas_lectura"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) < 2
+    got = R.reading_levels(docs, "doc_id", "text", labels.where(~held), "doc_id", "nivel").withColumnRenamed("nivel", "p")
+    pairs = [(r["nivel"], r["p"]) for r in labels.where(held & F.col("nivel").isNotNull()).join(got, "doc_id").where("p IS NOT NULL").collect()]
+    hardest = {(a == 4, b == 4) for a, b in pairs}
+    assert len(pairs) > 300 and sum(a == b for a, b in pairs) / len(pairs) > 0.92
+    wrong = sum((a == 4) != (b == 4) for a, b in pairs)
+    assert (True, True) in hardest and wrong <= 0.02 * sum(a == 4 for a, _ in pairs) + 1
+
+
 def test_empty_and_unusable_labels(spark):
     _, docs, labels = corpus(spark, 30)
     assert R.reading_levels(docs.limit(0), "doc_id", "text", labels.limit(0), "doc_id", "nivel").count() == 0
