@@ -5,6 +5,8 @@ Independent of partitioning and row order, and expressible in any engine with md
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,28 +38,25 @@ def sql_exploded_draw(seed: int, purpose: str, draw: str, key: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{purpose}', CAST(({draw} - 1) // 4 AS VARCHAR), CAST({key} AS VARCHAR))), CAST((({draw} - 1) % 4) * 8 + 1 AS INTEGER), 8) AS BIGINT)"
 
 
-def poisson_weight(u: Column, rate: float = 1.0, most: int = 12, span: int = 16**15) -> Column:
-    """A Poisson count from a draw, by inversion; each unit's bootstrap weight without any exchange of state."""
-    import math
-
-    share = u.cast("double") / F.lit(float(span))
-    out, cumulated = F.lit(most), []
-    total, term = 0.0, math.exp(-rate)
+def poisson_steps(rate: float = 1.0, most: int = 12) -> list[float]:
+    """The cumulated probabilities of 0, 1, ... below most: a share's place among them is its Poisson count."""
+    total, term, out = 0.0, math.exp(-rate), []
     for k in range(most):
         total += term
-        cumulated.append((k, total))
+        out.append(total)
         term *= rate / (k + 1)
-    for k, c in reversed(cumulated):
+    return out
+
+
+def poisson_weight(u: Column, rate: float = 1.0, most: int = 12, span: int = 16**15) -> Column:
+    """A Poisson count from a draw, by inversion; each unit's bootstrap weight without any exchange of state."""
+    share = u.cast("double") / F.lit(float(span))
+    out = F.lit(most)
+    for k, c in reversed(list(enumerate(poisson_steps(rate, most)))):
         out = F.when(share < F.lit(c), k).otherwise(out)
     return out
 
 
 def sql_poisson(u: str, rate: float = 1.0, most: int = 12, span: int = 16**15) -> str:
-    import math
-
-    total, term, cases = 0.0, math.exp(-rate), []
-    for k in range(most):
-        total += term
-        cases.append(f"WHEN CAST({u} AS DOUBLE) / {float(span)!r}::DOUBLE < {total!r}::DOUBLE THEN {k}")
-        term *= rate / (k + 1)
+    cases = [f"WHEN CAST({u} AS DOUBLE) / {float(span)!r}::DOUBLE < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(poisson_steps(rate, most))]
     return "CASE " + " ".join(cases) + f" ELSE {most} END"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortia.functions.draws import QUARTER, exploded_draws, poisson_weight
+from cohortia.functions.draws import QUARTER, exploded_draws, poisson_steps, poisson_weight
 from cohortia.operators.ordered import running_sums
 from cohortia.session import cut
 
@@ -104,12 +108,54 @@ def bootstrap_weights(units: DataFrame, unit: str, draws: int, seed: int = 18) -
     return each.withColumn("w", poisson_weight(F.col("__u"), span=QUARTER)).where("w > 0").select("draw", unit, "w")
 
 
-def bootstrap_metrics(df: DataFrame, unit: str, score: str, label: str, draws: int, seed: int = 18) -> DataFrame:
-    """(draw, auprc, auroc): rows take their unit's weight, computed from a hash in place, so no weights table is joined. Rows of
-    one unit, score and label are summed before they are drawn, and the table of all draws is made once."""
+def bootstrap_metrics(df: DataFrame, unit: str, score: str, label: str, draws: int, seed: int = 18, rows: int = 2000) -> DataFrame:
+    """(draw, auprc, auroc): rows take their unit's weight of bootstrap_weights(), worked out in place, so no weights table is joined.
+
+    Rows of one unit, score and label are summed first. Arrow batches then draw `rows` of them at a time for all draws as one matrix and
+    sum it by score in a table of at most about twice as many scores, so what is shuffled is partial sums per draw and score,
+    never rows times draws.
+    """
     known = df.where(F.col(unit).isNotNull() & F.col(score).isNotNull() & F.col(label).isNotNull())
-    known = exploded_draws(known.groupBy(unit, score, label).agg(F.count(F.lit(1)).alias("__n")), draws, seed, "bootstrap", unit)
-    weighed = score_table(known.withColumn("__w", poisson_weight(F.col("__u"), span=QUARTER)).where("__w > 0"), score, label, ("draw",), F.col("__w") * F.col("__n"))
+    known = known.groupBy(F.col(unit).cast("string").alias("u"), F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    # Small rows bring `draws` weights each: tasks are cut for the work, not for the bytes.
+    known = known.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u")
+    steps = np.array(poisson_steps())
+    blocks = range((draws - 1) // 4 + 1)
+
+    def flush(values: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        i, d = np.nonzero(p + q)
+        return pa.RecordBatch.from_arrays([pa.array(d + 1, pa.int32()), pa.array(values[i]), pa.array(p[i, d]), pa.array(q[i, d])], ["draw", "score", "p", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = (np.empty(0), np.empty((0, draws)), np.empty((0, draws)))
+        values, p, q = empty  # sums of the scores seen so far
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                units, s, y, n = whole.slice(at, rows).columns
+                digests = b"".join(md5(f"{seed}|bootstrap|{b}|{u}".encode()).digest() for u in units.to_pylist() for b in blocks)
+                u = np.frombuffer(digests, ">u4").reshape(len(units), -1)[:, :draws]
+                w = np.searchsorted(steps, u / QUARTER, side="right") * n.to_numpy()[:, None]
+                own, place = np.unique(s.to_numpy(), return_inverse=True)
+                order = np.argsort(place, kind="stable")
+                starts = np.searchsorted(place[order], np.arange(len(own)))
+                known = np.union1d(values, own)
+                held, new = np.searchsorted(known, values), np.searchsorted(known, own)
+                y = y.to_numpy()[order, None]
+                sums = []
+                for old, v in ((p, y), (q, 1 - y)):
+                    both = np.zeros((len(known), draws))
+                    both[held] = old
+                    both[new] += np.add.reduceat(w[order] * v, starts, axis=0)
+                    sums.append(both)
+                values, (p, q) = known, sums
+                if len(values) > rows:
+                    yield flush(values, p, q)
+                    values, p, q = empty
+        if len(values):
+            yield flush(values, p, q)
+
+    drawn = known.mapInArrow(run, "draw int, score double, p double, q double")
+    weighed = drawn.groupBy("draw", "score").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     return ranking_metrics(cut(weighed, "sorteos"), ("draw",))
 
 
