@@ -75,6 +75,15 @@ def short_mask(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value_mask(c), "9+", "9"), "A+", "A")
 
 
+# Fixed value: the shape of a national identity number, with or without check digit.
+ID_SHAPE = r"[0-9]{1,2}\.?[0-9]{3}\.?[0-9]{3}(-[0-9kK])?"
+
+
+def redact(c: Column, shown: str = "omitted") -> Column:
+    """The value, or `shown` where all of it, blanks aside, has the shape of an identity number."""
+    return F.when(trim_blanks(c).rlike(f"^(?:{ID_SHAPE})$"), F.lit(shown)).otherwise(c)
+
+
 def fold_spanish(c: Column) -> Column:
     """Accent folding for the letters of Spanish, inside the JVM."""
     return F.translate(c, "ÁÉÍÓÚÜÑáéíóúüñ", "AEIOUUNaeiouun")

@@ -55,6 +55,13 @@ def balance(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("column", by)), 6))
 
 
+def within_tolerance(shares: DataFrame, by: str, points: float = 0.005, parts: int = 2) -> DataFrame:
+    """balance() with within: 1 where all subsets hold the value and their shares differ by at most `points`."""
+    w = Window.partitionBy("column", "value")
+    ok = (F.max("share").over(w) - F.min("share").over(w) <= points) & (F.count(by).over(w) == parts)
+    return shares.withColumn("within", ok.cast("int"))
+
+
 def straddling_share(units: DataFrame, size: str, parts: int = 5) -> Column:
     """Expected share of cases whose unit would straddle folds if rows were dealt singly: mean of 1 - (1/k)**(m - 1)."""
     return F.sum(F.col(size) * (1 - F.pow(F.lit(1.0 / parts), F.col(size) - 1))) / F.sum(size)

@@ -45,14 +45,17 @@ def dup_key_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 @REG.add("keep_most_complete", f"""
-WITH {RECORDS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY patient_id, site, admit, discharge, sex, birth
-    ORDER BY n_dx DESC, n_px DESC, weight DESC NULLS LAST, encounter_id) AS k,
-  patient_id IS NOT NULL AND site IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL AS full_key FROM rec)
+WITH {RECORDS_SQL}, x AS (SELECT id_egreso FROM (SELECT id_egreso, row_number() OVER (PARTITION BY archivo_origen, {', '.join(CONTENT)} ORDER BY fila_origen) AS c FROM grd_2019_2024) WHERE c = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY patient_id, site, admit, discharge, sex, birth ORDER BY n_dx DESC, n_px DESC, weight DESC NULLS LAST, encounter_id) AS k,
+  patient_id IS NOT NULL AND site IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL AS full_key FROM rec SEMI JOIN x ON x.id_egreso = rec.encounter_id)
 SELECT encounter_id FROM r WHERE NOT full_key OR k = 1
 """)
 def keep_most_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Exact copies go first, also those without a full key; then one record of each group stays."""
     order = [("n_dx", False), ("n_px", False), ("weight", True)]
-    return dedup.keep_most_complete(records(spark, d), STAY_KEY, ["sex", "birth"], "encounter_id", order).select("encounter_id")
+    copies = dedup.exact_copies(table(spark, d, "grd_2019_2024"), CONTENT, "archivo_origen", "fila_origen").where("dup_exact").select(F.col("id_egreso").alias("encounter_id"))
+    rows = records(spark, d).join(copies, "encounter_id", "left_anti")
+    return dedup.keep_most_complete(rows, STAY_KEY, ["sex", "birth"], "encounter_id", order).select("encounter_id")
 
 
 @REG.add("repeat_sizes", f"""

@@ -49,11 +49,13 @@ def partition_ids(spark: SparkSession, d: str) -> DataFrame:
 ps AS (SELECT patient_id, block, CASE WHEN part = 5 THEN 'PRUEBA' ELSE 'DESARROLLO' END AS subset FROM {_deal_sql('split', 20250)}),
 x AS (SELECT b.*, subset FROM b JOIN ps USING (patient_id, block)),
 c AS (SELECT 'admit_type' AS "column", coalesce(admit_type, 'SIN DATO') AS value, subset FROM x UNION ALL SELECT 'mdc', coalesce(mdc, 'SIN DATO'), subset FROM x UNION ALL SELECT 'year', year::VARCHAR, subset FROM x),
-n AS (SELECT "column", value, subset, count(*) AS n FROM c GROUP BY 1, 2, 3)
-SELECT "column", value, subset, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY "column", subset), 6) AS share FROM n""")
+n AS (SELECT "column", value, subset, count(*) AS n FROM c GROUP BY 1, 2, 3),
+s AS (SELECT "column", value, subset, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY "column", subset), 6) AS share FROM n)
+SELECT *, CAST(max(share) OVER p - min(share) OVER p <= 0.005 AND count(*) OVER p = 2 AS INTEGER) AS within FROM s WINDOW p AS (PARTITION BY "column", value)""")
 def partition_balance(spark: SparkSession, d: str) -> DataFrame:
-    ids = partition.split_patients(strata(spark, d), FOLDS, 20_250).select("patient_id", "block", "subset")
-    return partition.balance(discharges(spark, d).join(ids, ["patient_id", "block"]), "subset", ["admit_type", "mdc", "year"])
+    """Composition of both subsets, and whether each value's shares lie within half a point of each other."""
+    ids = cut(partition.split_patients(strata(spark, d), FOLDS, 20_250).select("patient_id", "block", "subset"), "reparto")
+    return partition.within_tolerance(partition.balance(sized_join(discharges(spark, d), ids, ["patient_id", "block"], "inner"), "subset", ["admit_type", "mdc", "year"]), "subset")
 
 
 def folded(spark: SparkSession, d: str) -> DataFrame:
@@ -539,6 +541,16 @@ def metrics_by_fold(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.ranking_metrics(evaluate.score_table(rows, "score", "y", ("fold",)), ("fold",))
 
 
+@REG.add("metrics_by_year", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {SCORED_SQL}, k AS ({_ranking_sql('sc', 'year')}), o AS (SELECT year, count(*) AS n, round(avg(y), 6) AS observed, round(avg(score), 6) AS predicted FROM sc GROUP BY 1)
+SELECT year, n, auprc, auroc, observed, predicted FROM k JOIN o USING (year)""")
+def metrics_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """Discrimination per year, and the observed rate beside the mean of what was predicted."""
+    rows = cut(scored(spark, d), "puntajes")
+    ranks = evaluate.ranking_metrics(evaluate.score_table(rows, "score", "y", ("year",)), ("year",))
+    shares = rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("observed"), F.round(F.avg("score"), 6).alias("predicted"))
+    return ranks.join(F.broadcast(shares), "year")  # one row per year
+
+
 @REG.add("brier_prevalence", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, {SCORED_SQL}
 SELECT year, count(*) AS n, round(avg(y), 6) AS prevalence, round(avg((score - y) * (score - y)), 6) AS brier, round(avg(y) * (1 - avg(y)), 6) AS reference_brier FROM sc GROUP BY year""")
 def brier_prevalence(spark: SparkSession, d: str) -> DataFrame:

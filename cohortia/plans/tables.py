@@ -106,11 +106,18 @@ def accent_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cat_hospitales").groupBy(text.fold_spanish(F.col("nombre")).alias("folded")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@REG.add("redact_id_shapes", "WITH t AS (SELECT doc_id, regexp_matches(text, '[0-9]{1,2}\\.?[0-9]{3}\\.?[0-9]{3}-[0-9kK]') AS hit FROM documents) SELECT count(*) AS texts, count(*) FILTER (hit) AS with_shape FROM t")
+_SHAPED = {c: f"CASE WHEN id_egreso % 4 = 0 THEN ' 12.345.678-K' WHEN id_egreso % 4 = 1 THEN '9876543' ELSE {c} END" for c in ("provincia", "diagnostico1")}
+
+
+@REG.add("redact_id_shapes", " UNION ALL ".join(
+    f"SELECT '{c}' AS col, CASE WHEN regexp_full_match(trim({v}), '{text.ID_SHAPE}') THEN 'omitted' ELSE {v} END AS shown, count(*) AS n FROM grd_2019_2024 GROUP BY 2" for c, v in _SHAPED.items()
+))
 def redact_id_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with the shape of a national identity number."""
-    hit = F.col("text").rlike(r"[0-9]{1,2}\.?[0-9]{3}\.?[0-9]{3}-[0-9kK]")
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("texts"), F.count(F.when(hit, 1)).alias("with_shape"))
+    """Two columns into which identity numbers were written, as a report may show them."""
+    rows = table(spark, d, "grd_2019_2024")
+    k = F.col("id_egreso") % 4
+    cells = F.array(*(F.struct(F.lit(c).alias("col"), text.redact(F.when(k == 0, " 12.345.678-K").when(k == 1, "9876543").otherwise(F.col(c))).alias("shown")) for c in _SHAPED))
+    return rows.select(F.inline(cells)).groupBy("col", "shown").agg(F.count(F.lit(1)).alias("n"))
 
 
 @REG.add("wide_nonnull_count", f"WITH {RECORDS_SQL} SELECT encounter_id, n_dx, n_px FROM rec")

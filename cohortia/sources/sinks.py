@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import stat
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortia.functions.text import spanish_number
@@ -45,6 +45,13 @@ def fingerprint(df: DataFrame) -> str:
     return f"{r[0]}-{r[1]}-{r[2]}-{df.schema.simpleString()}"
 
 
+def append_log(spark: SparkSession, path: str, **entry: str | int | float | bool) -> None:
+    """One more row of a run log, with the time; earlier rows are never rewritten."""
+    kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+    row = spark.createDataFrame([tuple(entry.values())], ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in entry.items()))
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+
 def split_write(df: DataFrame, label: str, paths: dict[str, str], sealed: tuple[str, ...] = ()) -> None:
     """One table per label value; those in `sealed` are left read-only where the path is local."""
     for value, path in paths.items():

@@ -86,3 +86,16 @@ def test_sinks_and_registry(spark, tmp_path):
     assert reg.valid("t", rows=3) and not reg.valid("t", rows=2)
     with pytest.raises(ValueError):
         reg.require("t", "h1")
+
+
+def test_run_log_only_grows(spark, tmp_path):
+    for i in range(2):
+        sinks.append_log(spark, f"{tmp_path}/log", step="train", fold=i, ok=True, seconds=1.5)
+    got = spark.read.parquet(f"{tmp_path}/log").orderBy("fold").collect()
+    assert [(r["step"], r["fold"], r["ok"], r["at"] is not None) for r in got] == [("train", 0, True, True), ("train", 1, True, True)]
+
+
+def test_redaction(spark):
+    rows = ["12.345.678-k", " 1.234.567 ", "12345678", "123", "x 12.345.678-9", None]
+    got = [r["v"] for r in spark.createDataFrame([(v,) for v in rows], "v string").select(text.redact(F.col("v")).alias("v")).collect()]
+    assert got == ["omitted"] * 3 + rows[3:]
