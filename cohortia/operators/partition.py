@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortia.functions.draws import draw
 from cohortia.operators.ordered import running_sums
+from cohortia.operators.skew import sized_join
+from cohortia.session import cut
 
 
 def patient_strata(cases: DataFrame, labels: list[str]) -> DataFrame:
@@ -38,13 +40,14 @@ def split_patients(strata: DataFrame, parts: int = 5, seed: int = 20_250) -> Dat
     return dealt.withColumn("subset", F.when(F.col("part") == parts, "PRUEBA").otherwise("DESARROLLO"))
 
 
-def temporal_groups(cases: DataFrame, first_evaluation: int = 2023) -> DataFrame:
-    """Adds period (TRAIN, EVALUATE) and seen: for evaluation cases whether the identifier has a case in a training year of the
-    same block; null for training cases. The seen identifiers are a semi-join on distinct keys."""
+def temporal_groups(cases: DataFrame, first_evaluation: int = 2023, known: DataFrame | None = None) -> DataFrame:
+    """Adds period (TRAIN, EVALUATE) and seen: for evaluation cases whether the identifier has a row of `known` (by default a case)
+    in a training year of the same block; null for training cases. The seen identifiers are joined as distinct keys by checked
+    size."""
     period = F.when(F.col("year") < first_evaluation, "TRAIN").otherwise("EVALUATE")
-    marked = cases.withColumn("period", period)
-    known = marked.where("period = 'TRAIN'").select("patient_id", "block").distinct().withColumn("__seen", F.lit(1))
-    joined = marked.join(known, ["patient_id", "block"], "left")
+    held = (cases if known is None else known).where((F.col("year") < first_evaluation) & F.col("patient_id").isNotNull())
+    seen = cut(held.select("patient_id", "block").distinct().withColumn("__seen", F.lit(1)), "vistos")
+    joined = sized_join(cases.withColumn("period", period), seen, ["patient_id", "block"])
     return joined.withColumn("seen", F.when(F.col("period") == "EVALUATE", F.coalesce("__seen", F.lit(0)))).drop("__seen")
 
 

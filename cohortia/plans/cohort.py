@@ -372,6 +372,15 @@ def rates_by_site_year(spark: SparkSession, d: str) -> DataFrame:
     return labels.rates_by(labelled(spark, d), ["site", "year"], "readmit_30d")
 
 
+@REG.add("rates_by_presence", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, w AS (SELECT site, min(year) AS first_year, count(DISTINCT year) = (SELECT count(DISTINCT year) FROM b) AS whole FROM b WHERE site IS NOT NULL GROUP BY 1)
+SELECT year, CAST(whole AS INTEGER) AS all_years, count(*) AS cases, count(readmit_30d) AS observed, CAST(coalesce(sum(readmit_30d), 0) AS BIGINT) AS positives,
+  round(coalesce(sum(readmit_30d), 0)::DOUBLE / nullif(count(readmit_30d), 0), 6) AS rate FROM lab JOIN w USING (site) GROUP BY 1, 2""")
+def rates_by_presence(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per year of the sites that report in all years and of those that came or went."""
+    sites = labels.site_presence(discharges(spark, d)).select("site", "all_years")
+    return labels.rates_by(sized_join(labelled(spark, d), sites, ["site"], "inner"), ["year", "all_years"], "readmit_30d")
+
+
 @REG.add("censoring_bands", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, k AS (SELECT *, make_date(year(discharge), 12, 31) AS e FROM lab WHERE readmit_30d IS NOT NULL)
 SELECT CASE WHEN e - discharge < 7 THEN '00-06' WHEN e - discharge < 15 THEN '07-14' WHEN e - discharge < 22 THEN '15-21' WHEN e - discharge < 31 THEN '22-30' WHEN e - discharge < 61 THEN '31-60' WHEN e - discharge < 91 THEN '61-90' ELSE '91+' END AS band,
   count(*) AS cases, CAST(sum(readmit_30d) AS BIGINT) AS positives, CAST(sum((readmit_30d = 1 AND discharge + CAST(days_to_next AS INTEGER) > e)::INTEGER) AS BIGINT) AS invisible FROM k GROUP BY 1""")
@@ -493,6 +502,16 @@ def scenario_diff(spark: SparkSession, d: str) -> DataFrame:
     return criteria.scenario_diff(base, other, "encounter_id", ["readmit_30d"])
 
 
+@REG.add("referral_breakdown", f"""WITH {DISCHARGES_SQL}, {FLAGS_BASE_SQL}, fb_q AS (SELECT * FROM fb), {_flags_sql('_q', {'E07': False, 'E08': False})}
+SELECT CASE WHEN referred_private THEN 'PRIVATE' ELSE 'HOSPITAL' END AS referred, coalesce(reason, 'CASE') AS outcome, count(*) AS n FROM ru_q WHERE referred_hospital OR referred_private GROUP BY 1, 2""")
+def referral_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of referred discharges when their own rules are off: a case, or the rule that then takes them."""
+    rules = criteria.validate_rules(RULES, {"E07": False, "E08": False})
+    rows = ruled(flagged(spark, d), rules, labels.LabelRules()).where("referred_hospital OR referred_private")
+    kind = F.when(F.col("referred_private"), "PRIVATE").otherwise("HOSPITAL")
+    return rows.groupBy(kind.alias("referred"), F.coalesce("reason", F.lit("CASE")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @REG.add("transfer_breakdown", f"""WITH {DISCHARGES_SQL}, {EPISODES_SQL},
 k AS (SELECT *, cont AND NOT mark AND admit >= l_discharge AND NOT (admit = l_discharge AND site IS NOT DISTINCT FROM l_site) AS split FROM ep)
 SELECT coalesce(admit_type, 'SIN DATO') AS admit_type, count(*) AS splits, CAST(sum((admit_type IN ('URGENCIA', 'OBSTETRICA'))::INTEGER) AS BIGINT) AS would_count FROM k WHERE split GROUP BY 1""")

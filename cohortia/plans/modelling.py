@@ -9,7 +9,7 @@ from cohortia.functions.draws import QUARTER, sql_draw, sql_exploded_draw, sql_p
 from cohortia.operators import codes, evaluate, features, model, partition
 from cohortia.operators.skew import sized_join
 from cohortia.plans.charlson import PREFIXES, REPLACES
-from cohortia.plans.cohort import LABELS_SQL, labelled
+from cohortia.plans.cohort import LABELS_SQL, flagged, labelled
 from cohortia.plans.discharges import DISCHARGES_SQL, DX, PX, RECORDS_SQL, discharges, records
 from cohortia.plans.registry import Registry
 from cohortia.plans.sqltext import sql_read
@@ -17,6 +17,7 @@ from cohortia.session import cut, table
 
 REG = Registry()
 LABELS = ["readmit_30d", "readmit_30d_mdc", "readmit_7d", "readmit_7d_mdc"]
+HOSPITAL = "HOSPITALIZACIÓN"  # fixed value: the activity of a full hospital stay
 LEAST_N, LEAST_V, FOLDS = 100, 0.01, 5
 
 
@@ -79,15 +80,26 @@ def cv_folds(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("temporal_groups", f"WITH {DISCHARGES_SQL}, {LABELS_SQL} SELECT year, CASE WHEN year < 2023 THEN 'TRAIN' ELSE 'EVALUATE' END AS period, count(*) AS cases FROM lab GROUP BY ALL")
 def temporal_groups(spark: SparkSession, d: str) -> DataFrame:
-    cases = labelled(spark, d).join(discharges(spark, d).select("encounter_id", "patient_id"), "encounter_id")
-    return partition.temporal_groups(cases).groupBy("year", "period").agg(F.count(F.lit(1)).alias("cases"))
+    return partition.temporal_groups(with_patients(spark, d)).groupBy("year", "period").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def with_patients(spark: SparkSession, d: str) -> DataFrame:
+    return cut(labelled(spark, d).join(discharges(spark, d).select("encounter_id", "patient_id"), "encounter_id"), "casos")
 
 
 @REG.add("seen_patient", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, k AS (SELECT DISTINCT patient_id, block FROM lab WHERE year < 2023)
 SELECT encounter_id, CASE WHEN year >= 2023 THEN CAST(k.patient_id IS NOT NULL AS INTEGER) END AS seen FROM lab LEFT JOIN k USING (patient_id, block)""")
 def seen_patient(spark: SparkSession, d: str) -> DataFrame:
-    cases = labelled(spark, d).join(discharges(spark, d).select("encounter_id", "patient_id"), "encounter_id")
-    return partition.temporal_groups(cases).select("encounter_id", "seen")
+    """Whether the patient has a case in a training year."""
+    return partition.temporal_groups(with_patients(spark, d)).select("encounter_id", "seen")
+
+
+@REG.add("seen_patient_any", f"""WITH {DISCHARGES_SQL}, {LABELS_SQL}, k AS (SELECT DISTINCT patient_id, block FROM b WHERE year < 2023 AND patient_id IS NOT NULL)
+SELECT encounter_id, CASE WHEN year >= 2023 THEN CAST(k.patient_id IS NOT NULL AS INTEGER) END AS seen FROM lab LEFT JOIN k USING (patient_id, block)""")
+def seen_patient_any(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the patient has any discharge in a training year."""
+    rows = discharges(spark, d).select("patient_id", "block", "year")
+    return partition.temporal_groups(with_patients(spark, d), known=rows).select("encounter_id", "seen")
 
 
 @REG.add("registered_split_check", """WITH a AS (SELECT DISTINCT id_egreso FROM grd_depurado WHERE id_persona IS NOT NULL), b AS (SELECT DISTINCT id_egreso FROM particion)
@@ -281,10 +293,14 @@ def union_of_lists_jaccard(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- features
 
 def episode_ends(spark: SparkSession, d: str) -> DataFrame:
-    rows = discharges(spark, d).where("person_id IS NOT NULL AND episode_id IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL")
+    """One row per episode: its days, whether it was opened unplanned, holds a hospital stay, day surgery or a treatment session
+    (a periodic treatment counts as one)."""
+    rows = flagged(spark, d).where("person_id IS NOT NULL AND episode_id IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL")
     opening = F.col("encounter_id") == F.col("episode_id")
+    any_row = lambda c: F.max(F.coalesce(c, F.lit(False)))
     return rows.groupBy("person_id", "episode_id").agg(
-        F.max("discharge").alias("end"), F.max(F.when(opening, F.col("admit_type").isin("URGENCIA", "OBSTETRICA"))).alias("unplanned"), F.min("admit").alias("begin")
+        F.max("discharge").alias("end"), F.max(F.when(opening, F.col("admit_type").isin("URGENCIA", "OBSTETRICA"))).alias("unplanned"), F.min("admit").alias("begin"),
+        any_row(F.col("activity") == HOSPITAL).alias("hospital"), any_row(F.col("day_surgery")).alias("surgery"), any_row(F.col("session") | F.col("periodic")).alias("sessions"),
     )
 
 
@@ -295,16 +311,21 @@ def index_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 INDEX_SQL = """
-en AS (SELECT person_id, episode_id, max(discharge) AS e, min(admit) AS i, max(CASE WHEN encounter_id = episode_id THEN admit_type IN ('URGENCIA', 'OBSTETRICA') END) AS unplanned FROM b
+en AS (SELECT person_id, episode_id, max(discharge) AS e, min(admit) AS i, max(CASE WHEN encounter_id = episode_id THEN admit_type IN ('URGENCIA', 'OBSTETRICA') END) AS unplanned,
+  max(coalesce(activity = 'HOSPITALIZACIÓN', false)) AS hospital, max(day_surgery) AS surgery, max(session OR periodic) AS sessions FROM fb
   WHERE person_id IS NOT NULL AND episode_id IS NOT NULL AND admit IS NOT NULL AND discharge IS NOT NULL GROUP BY 1, 2),
 ic AS (SELECT lab.encounter_id, lab.person_id, lab.episode_id, en.i, lab.block FROM lab JOIN en ON en.episode_id = lab.episode_id),
-hs AS (SELECT ic.encounter_id, count(en.e) FILTER (en.e BETWEEN ic.i - 365 AND ic.i) AS stays, count(en.e) FILTER (en.e BETWEEN ic.i - 365 AND ic.i AND en.unplanned) AS unplanned,
-  least(coalesce(ic.i - max(en.e) FILTER (en.e <= ic.i), 366), 366) AS days_since
+hs AS (SELECT ic.encounter_id, count(en.e) FILTER (en.e BETWEEN ic.i - 365 AND ic.i AND en.hospital) AS stays, count(en.e) FILTER (en.e BETWEEN ic.i - 365 AND ic.i AND en.unplanned AND en.hospital) AS unplanned,
+  count(en.e) FILTER (en.e BETWEEN ic.i - 365 AND ic.i AND en.surgery) AS surgeries, count(en.e) FILTER (en.e BETWEEN ic.i - 365 AND ic.i AND en.sessions) AS sessions,
+  least(coalesce(ic.i - max(en.e) FILTER (en.e <= ic.i AND en.hospital), 366), 366) AS days_since
   FROM ic LEFT JOIN en ON en.person_id = ic.person_id AND en.episode_id <> ic.episode_id GROUP BY ic.encounter_id, ic.i)"""
 
 
 def case_history(spark: SparkSession, d: str) -> DataFrame:
-    return features.history(index_cases(spark, d), episode_ends(spark, d), 365, {"stays": F.lit(True), "unplanned": F.col("unplanned")})
+    return features.history(
+        index_cases(spark, d), cut(episode_ends(spark, d), "episodios"), 365,
+        {"stays": F.col("hospital"), "unplanned": F.col("unplanned") & F.col("hospital"), "surgeries": F.col("surgery"), "sessions": F.col("sessions")},
+    )
 
 
 @REG.add("prior_stays_365d", f"WITH {DISCHARGES_SQL}, {LABELS_SQL}, {INDEX_SQL} SELECT encounter_id, stays FROM hs")
@@ -317,9 +338,14 @@ def prior_unplanned_365d(spark: SparkSession, d: str) -> DataFrame:
     return case_history(spark, d).select("encounter_id", "unplanned")
 
 
+@REG.add("prior_surgeries_and_sessions", f"WITH {DISCHARGES_SQL}, {LABELS_SQL}, {INDEX_SQL} SELECT encounter_id, surgeries, sessions FROM hs")
+def prior_surgeries_and_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return case_history(spark, d).select("encounter_id", "surgeries", "sessions")
+
+
 @REG.add("days_since_last", f"WITH {DISCHARGES_SQL}, {LABELS_SQL}, {INDEX_SQL} SELECT encounter_id, CAST(days_since AS BIGINT) AS days_since FROM hs")
 def days_since_last(spark: SparkSession, d: str) -> DataFrame:
-    return features.days_since_last(index_cases(spark, d), episode_ends(spark, d), 365)
+    return features.days_since_last(index_cases(spark, d), episode_ends(spark, d).where("hospital"), 365)
 
 
 @REG.add("window_truncated", f"WITH {DISCHARGES_SQL}, {LABELS_SQL}, {INDEX_SQL} SELECT encounter_id, CAST(i - 365 < CASE block WHEN 'A' THEN DATE '2019-01-01' WHEN 'B' THEN DATE '2021-01-01' END AS INTEGER) AS truncated FROM ic")
