@@ -341,8 +341,8 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                 docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 rows = [
                     (docs[i + j], index.ids[k], score, run, a, z)
-                    for i in range(0, len(docs), 2000)
-                    for j, k, score, run, a, z in leaks_in(texts[i : i + 2000], index, max(min_score, 1))
+                    for i, to in _portions(texts)
+                    for j, k, score, run, a, z in leaks_in(texts[i:to], index, max(min_score, 1))
                 ]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
                 columns = zip(*rows) if rows else [()] * 6
@@ -353,6 +353,19 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     return spark.createDataFrame([], OUT) if out is None else out
 
 
+def _portions(texts: list[str | None], most: int = 2000, most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """The texts in portions that fit in memory together with their arrays; a longer text is a portion by itself."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > first and (i - first == most or size + n > most_chars):
+            yield first, i
+            first, size = i, 0
+        size += n
+    if texts:
+        yield first, len(texts)
+
+
 def _blocks(items: DataFrame, most_words: int) -> Iterator[tuple[list[int], list[list[str]]]]:
     """The query set in blocks; at most one partition's rows wait on the driver."""
     ids, texts, size = [], [], 0

@@ -121,3 +121,9 @@ def test_recall_of_edited_copies(spark):
     d, t = frames(spark, docs, [(k, " ".join(w)) for k, w in enumerate(items)])
     found = {(r["doc_id"], r["item_id"]) for r in L.find_leaks(d, "doc_id", "text", t, "item_id", "texto").collect()}
     assert len(found & planted) >= 0.9 * len(planted) and len(found - planted) <= 0.05 * len(found)
+
+
+def test_portions():
+    assert list(L._portions([])) == [] and list(L._portions([None, "", "a"])) == [(0, 3)]
+    assert list(L._portions(["a"] * 5, most=2)) == [(0, 2), (2, 4), (4, 5)]
+    assert list(L._portions(["aaa", "b" * 9, "c", "d"], most_chars=5)) == [(0, 1), (1, 2), (2, 4)]
