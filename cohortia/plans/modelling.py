@@ -410,18 +410,39 @@ def condition_rates(spark: SparkSession, d: str) -> DataFrame:
     return features.condition_rates(marks, cases, "encounter_id", "readmit_30d")
 
 
-@REG.add("case_features", f"""WITH {DISCHARGES_SQL}, {RECORDS_SQL}, {LABELS_SQL}, {INDEX_SQL}
-SELECT lab.encounter_id, CAST(floor((ic.i - lab.birth) / 365.25::DOUBLE) AS BIGINT) AS age, coalesce(lab.sex, 'SIN DATO') AS sex, CAST(lab.discharge - ic.i AS INTEGER) AS stay, coalesce(lab.admit_type, 'SIN DATO') AS admit_type,
-  coalesce(lab.mdc, 'SIN DATO') AS mdc, CASE WHEN lab.weight <> 0 THEN lab.weight END AS weight, rec.n_dx, rec.n_px, CAST(month(lab.discharge) AS INTEGER) AS month, CAST(isodow(lab.discharge) >= 6 AS INTEGER) AS weekend
-FROM lab JOIN ic USING (encounter_id) JOIN rec USING (encounter_id)""")
+RAW_CATEGORIES = {"insurance": "prevision", "province": "provincia", "speciality": "especialidad_medica", "service": "servicioingreso"}
+RAW_LEVELS = {"severity": "ir_29301_severidad", "mortality_risk": "ir_29301_mortalidad"}
+_NAMED = lambda cols, t: ", ".join(f"coalesce({t}.{c}, 'SIN DATO') AS {c}" for c in cols)
+
+
+@REG.add("case_features", f"""WITH {DISCHARGES_SQL}, {RECORDS_SQL}, {LABELS_SQL}, {INDEX_SQL},
+rw AS (SELECT id_egreso AS encounter_id, {', '.join(f'{sql_read(c)} AS {n}' for n, c in RAW_CATEGORIES.items())}, {', '.join(f'CAST({c} AS INTEGER) AS {n}' for n, c in RAW_LEVELS.items())} FROM grd_2019_2024),
+es AS (SELECT episode_id, count(*) AS parts, count(DISTINCT site) AS sites, max(CASE WHEN encounter_id = episode_id THEN admit_type END) AS opened_as FROM b WHERE episode_id IS NOT NULL GROUP BY 1)
+SELECT lab.encounter_id, CAST(floor((ic.i - lab.birth) / 365.25::DOUBLE) AS BIGINT) AS age, CAST(lab.discharge - ic.i AS INTEGER) AS stay, {_NAMED(['sex', 'admit_type', 'mdc', 'origin', 'activity', 'discharge_type'], 'lab')}, {_NAMED(RAW_CATEGORIES, 'rw')},
+  coalesce(es.opened_as, 'SIN DATO') AS opened_as, CASE WHEN lab.weight <> 0 THEN lab.weight END AS weight, rec.n_dx, rec.n_px, rw.severity, rw.mortality_risk, es.parts, es.sites, CAST(es.parts > 1 AS INTEGER) AS transferred,
+  CAST(month(lab.discharge) AS INTEGER) AS month, CAST(isodow(lab.discharge) >= 6 AS INTEGER) AS weekend
+FROM lab JOIN ic USING (encounter_id) JOIN rec USING (encounter_id) JOIN rw USING (encounter_id) JOIN es ON es.episode_id = lab.episode_id""")
 def case_features(spark: SparkSession, d: str) -> DataFrame:
-    """Features of the case itself: missing categories get a label, a weight of 0 is missing."""
-    own = discharges(spark, d).select("encounter_id", "sex", "birth", "weight")
+    """Features of the case and its episode: missing categories get a label, a weight of 0 is missing."""
+    from cohortia.functions.text import read_value
+
+    rows = discharges(spark, d)
+    own = rows.select("encounter_id", "sex", "birth", "weight", "origin", "activity")
+    raw = table(spark, d, "grd_2019_2024").select(
+        F.col("id_egreso").alias("encounter_id"), *(read_value(c).alias(n) for n, c in RAW_CATEGORIES.items()), *(F.col(c).cast("int").alias(n) for n, c in RAW_LEVELS.items())
+    )
+    opening = F.col("encounter_id") == F.col("episode_id")
+    whole = rows.where("episode_id IS NOT NULL").groupBy("episode_id").agg(
+        F.count(F.lit(1)).alias("parts"), F.count_distinct("site").alias("sites"), F.max(F.when(opening, F.col("admit_type"))).alias("opened_as")
+    )
     counts = records(spark, d).select("encounter_id", "n_dx", "n_px")
     named = lambda c: F.coalesce(c, F.lit("SIN DATO")).alias(c)
-    return index_cases(spark, d).join(own, "encounter_id").join(counts, "encounter_id").select(
-        "encounter_id", F.floor(F.datediff("admit", "birth") / 365.25).alias("age"), named("sex"), F.datediff("discharge", "admit").alias("stay"), named("admit_type"), named("mdc"),
-        F.when(F.col("weight") != 0, F.col("weight")).alias("weight"), "n_dx", "n_px", F.month("discharge").alias("month"), (F.weekday("discharge") >= 5).cast("int").alias("weekend"),
+    joined = index_cases(spark, d).join(own, "encounter_id").join(counts, "encounter_id").join(raw, "encounter_id").join(whole, "episode_id")
+    return joined.select(
+        "encounter_id", F.floor(F.datediff("admit", "birth") / 365.25).alias("age"), F.datediff("discharge", "admit").alias("stay"),
+        *map(named, ("sex", "admit_type", "mdc", "origin", "activity", "discharge_type", *RAW_CATEGORIES, "opened_as")),
+        F.when(F.col("weight") != 0, F.col("weight")).alias("weight"), "n_dx", "n_px", *RAW_LEVELS, "parts", "sites", (F.col("parts") > 1).cast("int").alias("transferred"),
+        F.month("discharge").alias("month"), (F.weekday("discharge") >= 5).cast("int").alias("weekend"),
     )
 
 
@@ -498,9 +519,9 @@ def code_matrix_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- training
 
-MODEL_NUMERIC = ["stay", "weight", "stays", "unplanned", "age", "n_dx", "n_px", "days_since", "weekend", "truncated"]
-MODEL_CATEGORIES = ["sex", "mdc", "admit_type", "month", "site"]
-MODEL_LOGGED = ("stay", "weight", "stays", "unplanned")
+MODEL_NUMERIC = ["stay", "weight", "stays", "unplanned", "surgeries", "sessions", "age", "n_dx", "n_px", "days_since", "weekend", "truncated", "severity", "mortality_risk", "parts", "sites"]
+MODEL_CATEGORIES = ["sex", "mdc", "admit_type", "month", "site", "origin", "activity", "discharge_type", *RAW_CATEGORIES, "opened_as"]
+MODEL_LOGGED = ("stay", "weight", "stays", "unplanned", "surgeries", "sessions")
 
 
 def training_table(spark: SparkSession, d: str) -> DataFrame:
@@ -508,7 +529,7 @@ def training_table(spark: SparkSession, d: str) -> DataFrame:
     own = case_features(spark, d)
     sites = labelled(spark, d).select("encounter_id", F.coalesce("site", F.lit("SIN DATO")).alias("site"))
     cases = folded(spark, d).select("encounter_id", "fold", "readmit_30d").join(own, "encounter_id").join(sites, "encounter_id")
-    for more in (case_history(spark, d).select("encounter_id", "stays", "unplanned"), days_since_last(spark, d).select("encounter_id", "days_since"), window_truncated(spark, d)):
+    for more in (case_history(spark, d).select("encounter_id", "stays", "unplanned", "surgeries", "sessions"), days_since_last(spark, d).select("encounter_id", "days_since"), window_truncated(spark, d)):
         cases = cases.join(more, "encounter_id")
     return cases.select("encounter_id", "fold", "readmit_30d", *MODEL_NUMERIC, *MODEL_CATEGORIES)
 

@@ -5,7 +5,9 @@ import pathlib
 import pytest
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
-CHECKED = ["p1_found", "p3_found", "p4_found", "p6_found", "assign_persons", "episode_id", "waterfall_steps", "readmission_30d_by_year_mdc", "partition_ids", "chi2_cramers_v", "prior_stays_365d", "auprc_auroc", "control_table"]
+CHECKED = ["p1_found", "p3_found", "p4_found", "p6_found", "assign_persons", "episode_id", "waterfall_steps", "readmission_30d_by_year_mdc", "partition_ids", "chi2_cramers_v", "prior_stays_365d", "auprc_auroc", "control_table",
+           "exclusion_reason", "keep_most_complete", "code_counts_per_fold", "metrics_by_year", "p3_calendar", "p6_reopened", "delimited_round_trip", "comorbidity_score", "redact_id_shapes",
+           "bootstrap_interval", "case_features", "scenario_diff", "seen_patient_any", "rare_merge"]
 
 
 def test_core_does_not_import_llm():
