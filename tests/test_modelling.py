@@ -189,3 +189,38 @@ def test_bootstrap_metrics_equal_repeated_rows(spark):
     w = {(r["draw"], r["u"]): r["w"] for r in evaluate.bootstrap_weights(df, "u", 3).collect()}
     for r in evaluate.bootstrap_metrics(df, "u", "s", "y", 3).collect():
         assert abs(r["auroc"] - brute_auroc([(s, y) for u, s, y in rows for _ in range(w.get((r["draw"], u), 0))])) < 1e-6
+
+
+def learnable(spark, n=400):
+    rng = random.Random(6)
+    cases, pairs = [], []
+    for i in range(n):
+        x, z, c = rng.choice([None, *range(12)]), rng.random(), rng.choice("abcd")
+        pairs += [(i, "D", "COMPLETO", k) for k in "UVW" if rng.random() < 0.3]
+        odds = 0.1 + 0.04 * (x or 0) + 0.2 * (c == "b") + 0.2 * any(p[0] == i and p[3] == "U" for p in pairs[-3:])
+        cases.append((i, i % 3 + 1, None if i == 7 else int(rng.random() < odds), x, int(z * 20) / 4, c))
+    lists = [(f, "D", "COMPLETO", k) for f, ks in ((1, "UV"), (2, "U"), (3, "UVW")) for k in ks]
+    return (
+        spark.createDataFrame(cases, "id int, fold int, y int, x int, z double, c string"), spark.createDataFrame(pairs, "id int, block string, level string, code string"),
+        spark.createDataFrame(lists, "fold int, block string, level string, code string"),
+    )
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_boosting_in_a_task_equals_sparks(spark, weighted):
+    cases, pairs, lists = learnable(spark)
+    run = lambda k: {r["id"]: (r["fold"], r["probability"]) for r in model.out_of_fold(cases, "id", "y", "fold", "GB", ["x", "z"], ["c"], pairs, weighted=weighted, small=True, lists=lists, task_rows=k).collect()}
+    own, sparks = run(1000), run(0)
+    assert own.keys() == sparks.keys() and len(own) == 399
+    assert all(own[i][0] == f and abs(own[i][1] - p) < 1e-5 for i, (f, p) in sparks.items())
+
+
+def test_labels_are_found_once_for_training(spark, data, monkeypatch):
+    """Every feature reads the same written labels and episodes."""
+    found = {"labelled": 0, "episode_ends": 0}
+    for name in found:
+        whole = getattr(modelling, name)
+        monkeypatch.setattr(modelling, name, lambda *a, n=name, f=whole: found.update({n: found[n] + 1}) or f(*a))
+    monkeypatch.setattr(model, "out_of_fold", lambda cases, *a, **k: cases)
+    table = modelling.REG.queries["cv_gbt_oof"](spark, data)
+    assert found == {"labelled": 1, "episode_ends": 1} and table.count() == modelling.REG.queries["cv_folds"](spark, data).count()
