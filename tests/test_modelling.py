@@ -215,6 +215,18 @@ def test_boosting_in_a_task_equals_sparks(spark, weighted):
     assert all(own[i][0] == f and abs(own[i][1] - p) < 1e-5 for i, (f, p) in sparks.items())
 
 
+def test_forest_in_a_task_is_like_sparks(spark):
+    cases, pairs, lists = learnable(spark, 1500)
+    run = lambda df, k: {r["id"]: r["probability"] for r in model.out_of_fold(df, "id", "y", "fold", "RF", ["x", "z"], ["c"], pairs, lists=lists, task_rows=k).collect()}
+    own = run(cases, 5000)
+    assert own == run(cases.repartition(5), 5000)  # the order of rows has no say
+    sparks = run(cases, 0)
+    a, b = [own[i] for i in sparks], list(sparks.values())
+    mean = lambda v: sum(v) / len(v)
+    cov = lambda u, v: mean([(x - mean(u)) * (y - mean(v)) for x, y in zip(u, v)])
+    assert cov(a, b) / math.sqrt(cov(a, a) * cov(b, b)) > 0.9 and abs(mean(a) - mean(b)) < 0.02
+
+
 def test_labels_are_found_once_for_training(spark, data, monkeypatch):
     """Every feature reads the same written labels and episodes."""
     found = {"labelled": 0, "episode_ends": 0}
