@@ -86,23 +86,40 @@ def distance(tokens: tuple[str, ...], agreed: list[str]) -> int:
     return sum(i < 0 or j < 0 or agreed[i] != tokens[j] for i, j in pairs)
 
 
-def seat(tokens: tuple[str, ...], profile: Profile) -> tuple[int, int]:
-    """(places left empty, tokens outvoted) when a record whose tokens are part of the profile is laid on it: every token takes a
-    place, in order, with the greatest weight agreed upon."""
+def seats(tokens: tuple[str, ...], profile: Profile) -> list[int]:
+    """The places of a record whose tokens are part of the profile when it is laid on it: every token takes a place, in order, with
+    the greatest weight agreed upon, then with fewest tokens outvoted."""
     m, n = len(tokens), len(profile)
     if m > n:
         raise ValueError("the profile doesn't hold the record")
+    if m == n:
+        return list(range(n))
     most = [(0.0, 0)] * (n + 1)  # (agreed weight, -outvoted) of the tokens so far in the first j places
+    taken: list[list[bool]] = []
     for i, t in enumerate(tokens, 1):
-        row = [(-1.0, 0)] * (n + 1)
+        row, took = [(-1.0, 0)] * (n + 1), [False] * (n + 1)
         for j in range(i, n - m + i + 1):
             place = profile[j - 1]
             weight = place.get(t, 0.0)
             w, lost = most[j - 1]
             here = (w + weight, lost - (weight < max(place.values())))
-            row[j] = max(row[j - 1], here) if j > i else here
+            took[j] = j == i or here > row[j - 1]
+            row[j] = here if took[j] else row[j - 1]
         most = row
-    return n - m, -most[n][1]
+        taken.append(took)
+    out, j = [], n
+    for took in reversed(taken):
+        while not took[j]:
+            j -= 1
+        j -= 1
+        out.append(j)
+    return out[::-1]
+
+
+def seat(tokens: tuple[str, ...], profile: Profile) -> tuple[int, int]:
+    """(places left empty, tokens outvoted) of a record laid on the profile by seats()."""
+    at = seats(tokens, profile)
+    return len(profile) - len(at), sum(profile[j].get(t, 0.0) < max(profile[j].values()) for t, j in zip(tokens, at))
 
 
 # ---------------------------------------------------------------- mergeable state of a group
@@ -125,16 +142,28 @@ def add_record(state: dict, values: dict[str, tuple[str, ...]], copies: int) ->
         held["values"][key] = held["values"].get(key, 0) + weight
 
 
+def ranked_consensus(profiles: list[Profile], candidates: list[list]) -> list[list[str]]:
+    """The consensus of each ranking field when every candidate votes at its places, gaps too, with more weight than all candidates
+    together that fill less, field by field, or come after it by the tie-breaks."""
+    order = sorted(candidates, key=lambda c: ([-len(t) for t in c[0]], c[1]), reverse=True)
+    agreed = []
+    for k, profile in enumerate(profiles[:len(candidates[0][0])]):
+        votes: Profile = [{} for _ in profile]
+        for i, (fields, _) in enumerate(order):
+            for t, j in zip(fields[k], seats(fields[k], profile)):
+                votes[j][t] = votes[j].get(t, 0) + (1 << i)
+        agreed.append(consensus([v for v in votes if v], (1 << len(order)) - 1))
+    return agreed
+
+
 def choose(state: dict, candidates: list[list]) -> None:
-    """best: of the candidates [tokens of each ranking field, tie-breaks], the one that leaves fewest places of the group's
-    profiles empty, field by field, and then the least tie-breaks.
+    """best: of the candidates [tokens of each ranking field, tie-breaks], the one with the smallest edit distance to the
+    consensus of ranked_consensus(), field by field, and then the least tie-breaks.
 
-    What a record lacks says nothing against what others have, so all places count here, outvoted gaps too. As the places are those of
-    the whole group, the better of two records on the profile of a part is the better one on the whole: one
-    candidate a part is enough.
+    One candidate a part of the group is enough: who outvotes its part either outvotes the other part's or is outvoted by it.
     """
-    profiles = [held["profile"] for held in state["fields"].values()]
-    state["best"] = min(candidates, key=lambda c: ([seat(t, p)[0] for t, p in zip(c[0], profiles)], c[1]))
+    agreed = ranked_consensus([held["profile"] for held in state["fields"].values()], candidates)
+    state["best"] = min(candidates, key=lambda c: ([distance(t, a) for t, a in zip(c[0], agreed)], c[1]))
 
 
 def merge_states(a: dict, b: dict) -> dict:
@@ -189,9 +218,10 @@ def representatives(
     Method: the values of a field are token sequences (codes: the filled numbered columns in order; words: the words
     of a text column). They are aligned progressively into a profile, and each token votes at its place with the weight
     of its record. Built values: records that have nothing at a place vote for a gap there, and the existing value closest to
-    the consensus is emitted. The record that stays: the one that leaves fewest places of the group's profile empty, over the
-    fields of `codes` in order; ties go to the highest `trust`, the latest `recency` (missing last in both) and the
-    smallest id. As every record of a group is laid on the same places, this is the record with most columns filled.
+    the consensus is emitted. The record that stays: the one closest to the consensus of a second vote on the same places, over
+    the fields of `codes` in order. There a record outvotes all others together that fill fewer columns or, filling as many, have
+    less `trust`, then an earlier `recency` (missing last in both), then a greater id. So it is the record with most columns
+    filled, ties broken in that order.
 
     Scale: groups are found from key hashes alone, which is all that is shuffled of rows without a double. Up to
     broadcast_groups repeated hashes (two numbers each) are broadcast to the wide rows; beyond, both sides are joined by

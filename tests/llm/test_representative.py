@@ -106,3 +106,32 @@ def test_beyond_the_broadcast_bound(spark):
     assert near == far and len(near) > 30
     bare = run(frame(spark, rows), build=False).collect()
     assert sorted(r["id"] for r in bare) == brute(rows) and all(r["dx"] is None for r in bare)
+
+
+def chosen(records, fields=1):
+    """Id of the record that stays of [tokens of each field, trust]."""
+    state = R.new_state([f"f{i}" for i in range(fields)])
+    for tokens, _ in records:
+        R.add_record(state, {f"f{i}": t for i, t in enumerate(tokens)}, 1)
+    R.choose(state, [[tokens, [0, -trust, 0, i]] for i, (tokens, trust) in enumerate(records)])
+    return state["best"][-1][-1]
+
+
+def test_vote_and_distance_choose_the_record_that_stays(monkeypatch):
+    few = [[("A", "B")], 1.0]
+    assert chosen([few, few, few, [[("X", "Y", "Z")], 0.0]]) == 3  # outvotes all that fill less
+    assert chosen([[[("A", "B")], 1.0], [[("A", "C")], 2.0], [[("A", "B")], 1.5]]) == 1
+    assert chosen([[[("A",), ("P",)], 1.0], [[("B",), ("P", "Q")], 0.0]], 2) == 1
+    with monkeypatch.context() as m:
+        m.setattr(R, "consensus", lambda profile, total: ["A", "B"])
+        assert chosen([[[("X", "Y", "Z")], 0.0], few]) == 1
+    monkeypatch.setattr(R, "distance", lambda tokens, agreed: len(tokens))
+    assert chosen([[[("X", "Y", "Z")], 0.0], few]) == 1
+
+
+def test_consensus_of_the_ranked_vote_is_the_definitions_record():
+    rng = random.Random(3)
+    for _ in range(300):
+        records = [[[tuple(rng.choice("ABC") for _ in range(rng.randrange(5))) for _ in range(2)], float(rng.randrange(3))] for _ in range(rng.randrange(2, 7))]
+        wanted = min(range(len(records)), key=lambda i: ([-len(t) for t in records[i][0]], -records[i][1], i))
+        assert chosen(records, 2) == wanted
