@@ -1,10 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortia.operators import codes, evaluate, features, model, partition, quality
+from cohortia.operators import codes, evaluate, features, model, partition, quality, trees
 from cohortia.plans import modelling
 
 
@@ -227,6 +228,25 @@ def test_forest_in_a_task_is_like_sparks(spark):
     assert cov(a, b) / math.sqrt(cov(a, a) * cov(b, b)) > 0.9 and abs(mean(a) - mean(b)) < 0.02
 
 
+@pytest.mark.parametrize("w", [None, (1.0, 3.7)])
+def test_forest_nodes_counted_alone_or_together_are_the_same(monkeypatch, w):
+    """A large node passes over its own columns, small ones are counted at once: neither changes a probability."""
+    rng = np.random.default_rng(5)
+    n, sizes, n_codes = 3000, [3, 40, 1], 6
+
+    def made(n):
+        rows, codes = np.nonzero(rng.random((n, n_codes)) < [0.5, 0.1, 0.02, 0.3, 0.0, 1.0])
+        return trees.Cases([rng.integers(0, 32, n).astype(np.uint8) for _ in range(3)], [rng.integers(0, k, n).astype(np.uint8) for k in sizes], sizes, rows, codes, n_codes)
+
+    train, test = made(n), made(500)
+    y = ((train.cols[0] > 12) ^ (train.cols[4] < 9) ^ train.holds(np.arange(n), np.zeros(n, np.int64)) ^ (rng.random(n) < 0.2)).astype(float)
+    found = []
+    for large in (1, 60, n + 1):
+        monkeypatch.setattr(trees, "LARGE", large)
+        found.append(trees.forest(train, y, w, test, 8, 9, 3, chunk=7))
+    assert np.array_equal(found[0], found[1]) and np.array_equal(found[0], found[2]) and found[0].std() > 0.05
+
+
 def test_labels_are_found_once_for_training(spark, data, monkeypatch):
     """Every feature reads the same written labels and episodes."""
     found = {"labelled": 0, "episode_ends": 0}
