@@ -247,6 +247,23 @@ def test_forest_nodes_counted_alone_or_together_are_the_same(monkeypatch, w):
     assert np.array_equal(found[0], found[1]) and np.array_equal(found[0], found[2]) and found[0].std() > 0.05
 
 
+def test_columns_counted_as_one_are_parted_again(monkeypatch):
+    """Boosting counts combinations of columns in large nodes: each column gets what it gets alone."""
+    rng = np.random.default_rng(6)
+    n, sizes = 5000, [3, 300, 1, 12]
+    train = trees.Cases([rng.integers(0, k, n).astype(np.uint8) for k in (2, 32, 5)], [rng.integers(0, k, n).astype(np.min_scalar_type(k)) for k in sizes], sizes, np.arange(n), rng.integers(0, 4, n), 4)
+    at, g, mark = np.sort(rng.permutation(n)[:4000]), rng.integers(-8, 8, n) / 8, np.zeros(n, bool)
+    monkeypatch.setattr(trees, "CELLS", 1000)
+    groups = trees.joined(train)
+    assert sorted(c for _, m, _ in groups for c in m) == list(range(7)) and len(groups) == 3
+    for rows in (None, at):
+        for w in (None, rng.integers(1, 3, n).astype(float)):
+            monkeypatch.setattr(trees, "CELLS", 1000)
+            one = trees._counts(train, groups, rows, w, g, mark)
+            monkeypatch.setattr(trees, "CELLS", n + 1)
+            assert np.array_equal(one, trees._counts(train, groups, rows, w, g, mark)) and one[0, :32].sum() == (len(g if rows is None else rows) if w is None else w[slice(None) if rows is None else rows].sum())
+
+
 def test_labels_are_found_once_for_training(spark, data, monkeypatch):
     """Every feature reads the same written labels and episodes."""
     found = {"labelled": 0, "episode_ends": 0}
