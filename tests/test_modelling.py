@@ -247,6 +247,21 @@ def test_forest_nodes_counted_alone_or_together_are_the_same(monkeypatch, w):
     assert np.array_equal(found[0], found[1]) and np.array_equal(found[0], found[2]) and found[0].std() > 0.05
 
 
+def test_trees_are_dealt_to_all_cores(spark, monkeypatch):
+    for folds, grown, cores in ((5, 100, 8), (5, 100, 2), (3, 7, 64), (1, 1, 1), (5, 10, 6)):
+        shares = model.tree_shares(folds, grown, cores)
+        assert sorted((f, t) for s in shares for f, a, b in s for t in range(a, b)) == [(f, t) for f in range(folds) for t in range(grown)]
+        sizes = [sum(b - a for _, a, b in s) for s in shares]
+        assert len(shares) == min(max(folds, cores), 4 * folds) and max(sizes) - min(sizes) <= 1
+    cases, pairs, lists = learnable(spark, 600)
+    run = lambda: {r["id"]: r["probability"] for r in model.out_of_fold(cases, "id", "y", "fold", "RF", ["x", "z"], ["c"], pairs, lists=lists, small=True).collect()}
+    deal, found = model.tree_shares, []
+    for cores in (1, 9):  # who grows a tree has no say
+        monkeypatch.setattr(model, "tree_shares", lambda folds, trees, _, c=cores: deal(folds, trees, c))
+        found.append(run())
+    assert found[0].keys() == found[1].keys() and all(abs(p - found[1][i]) < 2e-6 for i, p in found[0].items())
+
+
 def test_columns_counted_as_one_are_parted_again(monkeypatch):
     """Boosting counts combinations of columns in large nodes: each column gets what it gets alone."""
     rng = np.random.default_rng(6)
